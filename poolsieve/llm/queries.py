@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, warc
+from . import chat, merkle, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": warc.op4_warc,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op7_document_fingerprints": merkle.op7_document_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op4_warc": warc.OP4_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
+    "op7_document_fingerprints": merkle.OP7_SQL,
 }
