@@ -1,13 +1,13 @@
 """WARC archives: a writer through Spark's text sink, and a reader that salvages damaged archives.
 
 Writer: one row holds one whole record; the sink's line separator is the record's closing CRLF CRLF,
-so the part files are ordinary uncompressed WARC 1.1 files on any store Spark can write to. Payloads
+so the part files are ordinary WARC 1.1 files, each gzipped as a whole, on any store Spark can write to. Payloads
 that repeat are written once (``response``); the others become ``revisit`` records.
 
 Reader: files are read whole (the writer bounds their size) and parsed record by record. Each record is
 checked (version line, header, length, terminator, block and payload digest). After a failed check the
 reader searches for the next gzip member or version line, goes on there, and logs the bytes between as a
-quarantined gap. Members compressed with gzip, one record each, are read as well as plain records.
+quarantined gap. Plain records and gzip members, of one record or of many, are read.
 """
 
 from __future__ import annotations
@@ -80,43 +80,56 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, last + 4 - at, headers, block), last + 4
 
 
-def parse_member(data: bytes, at: int) -> tuple[Record, int]:
-    """The gzip member that begins at ``at``, holding one record."""
-    inflate = zlib.decompressobj(31)
-    try:
-        inner = inflate.decompress(data[at:])
-    except zlib.error as e:
-        raise Broken(f"gzip: {e}") from e
-    if not inflate.eof:
-        raise Broken("gzip member without end")
-    end = len(data) - len(inflate.unused_data)
-    record, used = parse_record(inner, 0)
-    if used != len(inner):
-        raise Broken("gzip member holds more than a record")
-    record.offset, record.length = at, end - at
-    return record, end
-
-
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """All sound records of an archive, and (offset, length, reason) of each gap between them."""
+def inflate_member(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What can be inflated of the gzip member that begins at ``at``, and where it ends; None if it is damaged."""
+    inflate, inner, step = zlib.decompressobj(31), [], 1 << 16
+    for i in range(at, len(data), step):
+        try:
+            inner.append(inflate.decompress(data[i : i + step]))
+        except zlib.error:
+            return b"".join(inner), None
+        if inflate.eof:
+            return b"".join(inner), min(i + step, len(data)) - len(inflate.unused_data)
+    return b"".join(inner), None
+
+
+def salvage(data: bytes, inside: tuple[int, int] | None = None) -> Iterator[Record | tuple[int, int, str]]:
+    """All sound records of an archive, and (offset, length, reason) of each gap between them.
+
+    A gzip member may hold one record or many. Of a damaged member, the records before the damage are
+    recovered, and the search goes on behind its first byte. ``inside``: the place of the member that
+    ``data`` was inflated from, told instead of places in ``data``.
+    """
     at, gap, reason = 0, None, ""
     while at < len(data):
+        found: list[Record | tuple[int, int, str]] = []
         try:
-            record, end = parse_member(data, at) if data.startswith(MEMBER, at) else parse_record(data, at)
+            if data.startswith(MEMBER, at) and not inside:
+                inner, end = inflate_member(data, at)
+                found = list(salvage(inner, (at, (end or len(data)) - at)))
+                if end is None:
+                    found = [x for x in found if isinstance(x, Record)]
+                    raise Broken("damaged gzip member")
+            else:
+                record, end = parse_record(data, at)
+                found = [record]
+                if inside:
+                    record.offset, record.length = inside
         except Broken as e:
             if gap is None:
                 gap, reason = at, str(e)
+            yield from found
             line = VERSION.search(data, at + 1)
             later = [data.find(MEMBER, at + 1), line.start() if line else -1]
             at = min((x for x in later if x >= 0), default=len(data))
             continue
         if gap is not None:
-            yield gap, at - gap, reason
+            yield (*(inside or (gap, at - gap)), reason)
             gap = None
-        yield record
+        yield from found
         at = end
     if gap is not None:
-        yield gap, len(data) - gap, reason
+        yield (*(inside or (gap, len(data) - gap)), reason)
 
 
 def read_rows(name: str, data: bytes) -> Iterator[dict]:
@@ -194,11 +207,11 @@ def archive_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return row.select(F.concat(header, F.col("block")).alias("value"))
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, target_bytes: int = TARGET_BYTES) -> None:
-    """Writes ``pages`` as WARC files of about ``target_bytes`` under ``path``."""
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, target_bytes: int = TARGET_BYTES, compression: str = "gzip") -> None:
+    """Writes ``pages`` as WARC files of about ``target_bytes``, before compression (``gzip`` or ``none``), under ``path``."""
     n, mean = pages.agg(F.count("*"), F.avg(F.octet_length("html"))).first()
     per_file = max(1, int(target_bytes / ((mean or 0) + 700)))
-    archive_records(pages, min_bytes).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    archive_records(pages, min_bytes).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
