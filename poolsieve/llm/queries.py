@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, merkle, mixing, warc
+from . import chat, merkle, mixing, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op4_warc": warc.op4_warc,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_document_fingerprints": merkle.op7_document_fingerprints,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {
     "op4_warc": warc.OP4_SQL,
