@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, merkle, mixing, packing, warc
+from . import chat, langid, merkle, mixing, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_language_id": langid.op3_language_id,
     "op4_warc": warc.op4_warc,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_document_fingerprints": merkle.op7_document_fingerprints,
