@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, merkle, mixing, packing, warc
+from . import chat, langid, merkle, mixing, packing, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": warc.op4_warc,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_document_fingerprints": merkle.op7_document_fingerprints,
+    "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
     "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {
