@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, merkle, mixing, packing, suffix, warc
+from . import chat, langid, merkle, mixing, packing, suffix, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_document_fingerprints": merkle.op7_document_fingerprints,
     "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
+    "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
     "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {
