@@ -55,6 +55,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # cut: both sides of the join are then shuffled for it, and a hot id can be split
+        least = cut(least)
         joined = both.join(least, "u")
         # each neighbour of u, and u itself, hangs on the smallest id near u
         grown = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(

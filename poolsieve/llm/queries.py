@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, merkle, mixing, packing, suffix, vectors, warc
+from . import chat, langid, merkle, mixing, neardup, packing, suffix, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op3_language_id": langid.op3_language_id,
     "op4_warc": warc.op4_warc,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_near_dedup": neardup.op6_near_dedup,
     "op7_document_fingerprints": merkle.op7_document_fingerprints,
     "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
     "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,

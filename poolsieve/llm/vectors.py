@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = 0.9
-NEAREST = 8
+NEAREST = 12
 SHARED = 2
 MAX_PIVOTS = 4096
 BLOCK = 1024
