@@ -173,6 +173,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, any others) whose language is found and not ambiguous."""
+    model = train(docs.where(~held_out()))
+    found = predict(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, keep=["_row"])
+    return found.where("lang_pred <> 'und' and not ambiguous").select("_row.*")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang")
     model = train(docs.where(~held_out()))

@@ -159,6 +159,13 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     return common.stored(rows, "sized")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source, any others) that the mix takes, each as often as it does."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text").cast("string")).alias("size"), F.array(F.col("source").cast("string")).alias("members"))
+    taken = mix(rows).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(sized_documents(common.table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")

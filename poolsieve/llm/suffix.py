@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -114,7 +115,7 @@ class Block:
 
     def __init__(self, rows: pa.Table) -> None:
         ids = rows.column("doc_id").fill_null(NULL_ID).to_numpy()
-        order = np.argsort(ids, kind="stable")
+        self.order = order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
         text = rows.column("text").combine_chunks()
         self.texts = [text[int(i)].as_py() or b"" for i in order]
@@ -355,9 +356,8 @@ def mask_messages(rows: pa.Table, r: int) -> pa.Table:
     return _messages(out)
 
 
-def removed_bytes(rows: pa.Table, answers: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Pass 3 over a block: (doc_id, bytes, which of them go) of each document."""
-    own = Block(rows)
+def removed_bytes(own: Block, answers: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Pass 3 over a block: each document's place in it, and which of its bytes go."""
     kinds, ranges, a, b, c, d, e = (answers.column(x).to_pylist() for x in ("kind", "range", "a", "b", "c", "d", "e"))
     i = kinds.index(OWN)
     copies = np.unpackbits(np.frombuffer(e[i], np.uint8), count=len(own.ids)).astype(bool)
@@ -383,18 +383,18 @@ def removed_bytes(rows: pa.Table, answers: pa.Table) -> Iterator[tuple[int, byte
     covered[LENGTH:] -= total[:-LENGTH]
     covered = covered > 0
     for k, row in enumerate(rest.tolist()):
-        yield int(own.ids[row]), own.texts[row], covered[offsets[k] : offsets[k + 1]]
+        yield row, covered[offsets[k] : offsets[k + 1]]
     for row in np.flatnonzero(copies).tolist():
         n = len(own.texts[row])
-        yield int(own.ids[row]), own.texts[row], np.full(n, n >= LENGTH)
+        yield row, np.full(n, n >= LENGTH)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_bytes: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_bytes: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one a row of ``docs``; ``kept``, the remaining
-    bytes, is null without ``keep_bytes``. Blocks are of ``block_bytes`` and, beyond 4096 of them, grow
+    bytes, is null without ``keep_bytes``. Columns named in ``carry`` come along in a struct ``row``. Blocks are of ``block_bytes`` and, beyond 4096 of them, grow
     up to 64 MB. An empty table gives an empty result."""
     text = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
@@ -403,7 +403,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranges = max(1, n_blocks // 2)
     bits = min(64, max(40, total.bit_length() + 16))
     block = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_blocks)).alias("block")
-    blocks = docs.select(block, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    along = [F.struct(*carry).alias("row")] if carry else []
+    blocks = docs.select(block, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *along)
 
     def one(key, rows):  # noqa: ANN001, ANN202
         return name_messages(rows, key[0].as_py(), ranges, bits)
@@ -418,18 +419,44 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return mask_messages(rows, key[0].as_py())
 
     def three(key, rows, answers):  # noqa: ANN001, ANN202
-        found = []
-        for doc, data, gone in removed_bytes(rows, answers):
+        own, found, places = Block(rows), [], []
+        for i, gone in removed_bytes(own, answers):
+            data, doc = own.texts[i], int(own.ids[i])
             spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
             found.append((None if doc == NULL_ID else doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), RESULT, strict=True)], schema=RESULT)
+            places.append(own.order[i])
+        out = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), RESULT, strict=True)], schema=RESULT)
+        return out.append_column("row", rows.column("row").take(pa.array(places))) if carry else out
 
+    result = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if carry:
+        result = T.StructType([*result.fields, blocks.schema["row"]])
     by_block = blocks.groupBy("block")
     names = by_block.applyInArrow(one, MESSAGE).groupBy("range").applyInArrow(answer_one, MESSAGE)
     contexts = by_block.cogroup(names.groupBy("block")).applyInArrow(two, MESSAGE)
     masks = contexts.groupBy("range").applyInArrow(answer_two, MESSAGE)
-    return by_block.cogroup(masks.groupBy("block")).applyInArrow(three, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return by_block.cogroup(masks.groupBy("block")).applyInArrow(three, result)
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) with repeated strings cut out of ``text`` and ``n_chars``, if it is there,
+    counted anew. Bytes of a character that was cut in part go too. A row of which nothing is left goes."""
+    found = deduplicate(docs.withColumn("_null", F.col("text").isNull()), carry=[*[c for c in docs.columns if c != "text"], "_null"])
+    found = found.where("n_removed < n_bytes or n_removed = 0")
+
+    def decode(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            text = [k.as_buffer().to_pybytes().decode("utf-8", "ignore") for k in batch.column("kept")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string())], names=["row", "text"])
+
+    schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])
+    plain = found.select("row", "kept").mapInArrow(decode, schema)
+    text = F.when(~F.col("row._null"), F.col("text"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("row._null"), F.col("row.n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return plain.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
