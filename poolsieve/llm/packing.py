@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 from bisect import insort
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -35,12 +36,25 @@ REMEMBERED = 500_000
 CUT = r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
 
+class Known(dict):
+    """Ids of words as little-endian unsigned 32-bit numbers; the first REMEMBERED words are kept."""
+
+    def __init__(self, piece: Callable[[bytes], list[int]]) -> None:
+        self.piece = piece
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.piece(word.encode())).tobytes()
+        if len(self) < REMEMBERED:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of whole texts, equal to those of the tokenizers library for the same file.
 
     A text is cut into words by the file's own rule and each word is encoded once. Where Python's
     character classes differ from the rule's (numerals that aren't decimal digits, four control
-    characters), and where the text holds a special token's string (ordinary text here), the library encodes the whole text.
+    characters, characters beyond the basic plane), and where the text holds a special token's string (ordinary text here), the library encodes the whole text.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,25 +72,24 @@ class Encoder:
         byte_of = {chr(b): b for b in printing} | {chr(256 + i): b for i, b in enumerate(others)}
         self.special = [t["content"] for t in model["added_tokens"]]
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.special}
-        self.piece = tiktoken.Encoding("words", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.cut = re.compile(CUT).findall
-        odd = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl"))
-        self.odd = re.compile(f"[\x1c-\x1f{re.escape(odd)}]|" + "|".join(map(re.escape, self.special))).search
-        self.known: dict[str, bytes] = {}
+        numerals = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("No", "Nl"))
+        self.numeral = re.compile(f"[{re.escape(numerals)}]").search
+        self.control = re.compile("[\x1c-\x1f]").search
+        self.astral = re.compile("[\U00010000-\U0010ffff]").search
+        self.known = Known(tiktoken.Encoding("words", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece)
+
+    def odd(self, text: str) -> bool:
+        """Whether the library must cut the text itself."""
+        if self.control(text) or any(s in text for s in self.special):
+            return True
+        return not text.isascii() and bool(self.numeral(text) or self.astral(text))
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if self.odd(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.cut(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = {w: np.array(self.piece(w.encode()), "<u4").tobytes() for w in {*words} - known.keys()}
-            if len(known) + len(new) <= REMEMBERED:
-                known.update(new)
-                return b"".join(map(known.__getitem__, words))
-            return b"".join(new[w] if w in new else known[w] for w in words)
+        return b"".join(map(self.known.__getitem__, self.cut(text)))
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
