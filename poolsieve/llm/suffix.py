@@ -269,36 +269,42 @@ def first_occurrences(texts: list[bytes], docs: np.ndarray, length: int = LENGTH
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
     n, ends = int(offsets[-1]), len(texts)
-    s = np.empty(n, np.int64)
+    small = np.int32 if n < 1 << 31 else np.int64
+    s = np.empty(n, small)
     mark = offsets[1:] - 1
     inner = np.ones(n, bool)
     inner[mark] = False
-    s[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + ends
+    s[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(small) + ends
     s[mark] = np.arange(ends)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    rank = s
     step = 1
     while True:
-        pair = rank * (n + 1)
+        pair = rank.astype(np.int64) * (n + 257)
         pair[:-step] += rank[step:] + 1
-        order = np.argsort(pair, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
+        order = np.argsort(pair, kind="stable").astype(small)
+        pair = pair[order]
+        rank = np.empty(n, small)
+        rank[order] = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
         step *= 2
         if rank[order[-1]] == n - 1 or step > n:
             break
+    del pair
     transform = s[order - 1]
-    psi = np.argsort(transform, kind="stable")
+    del s, order
+    psi = np.argsort(transform, kind="stable").astype(small)
     top = transform[psi]
     new = np.concatenate([[True], top[1:] != top[:-1]])
-    unset = np.flatnonzero(~new)
+    del top, transform
+    unset = np.flatnonzero(~new).astype(small)
     for _ in range(1, length):
-        interval = np.cumsum(new)
+        interval = np.cumsum(new, dtype=small)
         found = interval[psi[unset]] != interval[psi[unset - 1]]
         new[unset[found]] = True
         unset = unset[~found]
         if not len(unset):
             break
-    interval = np.cumsum(new)
+    del psi, unset
+    interval = np.cumsum(new, dtype=small)
     windows = sizes - length + 1
     at = np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     string, owner = interval[rank[at]], np.repeat(docs, windows)
@@ -400,7 +406,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     size = max(block_bytes, min(64 << 20, total // 4096))
     n_blocks = max(1, -(-total // size))
-    ranges = max(1, n_blocks // 2)
+    ranges = 2 * n_blocks
     bits = min(64, max(40, total.bit_length() + 16))
     block = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_blocks)).alias("block")
     along = [F.struct(*carry).alias("row")] if carry else []
