@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CLIP = 1e-8
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda, an outer expression would be for each element."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
 def mean(xs: Column) -> Column:
-    return total(xs) / F.size(xs)
+    return let(xs, lambda v: total(v) / F.size(v))
 
 
 def entropy(p: Column) -> Column:
@@ -23,13 +30,17 @@ def entropy(p: Column) -> Column:
 
 def argmax(p: Column) -> Column:
     """Position of the largest value, from 0; the first of equal ones."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(p, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
+
+
+def _by_class(passes: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of each class's values over the passes."""
+    return let(passes, lambda v: F.transform(F.sequence(F.lit(0), F.size(F.get(v, F.lit(0))) - 1), lambda c: f(F.transform(v, lambda p: F.get(p, c)))))
 
 
 def mean_pass(passes: Column) -> Column:
     """Mean over passes, class by class."""
-    classes = F.sequence(F.lit(0), F.size(F.get(passes, F.lit(0))) - 1)
-    return F.transform(classes, lambda c: mean(F.transform(passes, lambda p: F.get(p, c))))
+    return _by_class(passes, mean)
 
 
 def mean_entropy(passes: Column) -> Column:
@@ -38,13 +49,17 @@ def mean_entropy(passes: Column) -> Column:
 
 def bald(passes: Column) -> Column:
     """Entropy of the mean less mean of the entropies."""
-    return entropy(mean_pass(passes)) - mean(F.transform(passes, entropy))
+    return let(passes, lambda v: entropy(mean_pass(v)) - mean(F.transform(v, entropy)))
 
 
 def variation_ratio(passes: Column) -> Column:
     """1 - share of the passes that agree with the most frequent class."""
-    votes = F.transform(passes, argmax)
-    return 1 - F.array_max(F.transform(F.array_distinct(votes), lambda v: F.size(F.filter(votes, lambda w: w == v)))) / F.size(passes)
+
+    def share(votes: Column) -> Column:
+        counts = F.transform(F.array_distinct(votes), lambda v: F.size(F.filter(votes, lambda w: w == v)))
+        return 1 - F.array_max(counts) / F.size(votes)
+
+    return let(F.transform(passes, argmax), share)
 
 
 def sampled_max(passes: Column) -> Column:
@@ -53,13 +68,8 @@ def sampled_max(passes: Column) -> Column:
 
 def variance(passes: Column) -> Column:
     """Variance over passes, summed over classes."""
-    classes = F.sequence(F.lit(0), F.size(F.get(passes, F.lit(0))) - 1)
-
-    def one(c: Column) -> Column:
-        own = F.transform(passes, lambda p: F.get(p, c))
-        return mean(F.transform(own, lambda x: (x - mean(own)) * (x - mean(own))))
-
-    return total(F.transform(classes, one))
+    spread = lambda v: let(mean(v), lambda m: mean(F.transform(v, lambda x: (x - m) * (x - m))))
+    return total(_by_class(passes, lambda v: let(v, spread)))
 
 
 def over_tokens(score, tokens: Column) -> Column:  # noqa: ANN001
@@ -78,13 +88,12 @@ def least_confidence(p: Column) -> Column:
 
 def margin(p: Column) -> Column:
     """1 + second largest - largest probability."""
-    return 1 + F.element_at(F.array_sort(p), -2) - F.array_max(p)
+    return let(F.array_sort(p), lambda v: 1 + F.element_at(v, -2) - F.element_at(v, -1))
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    share = lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))
+    return let(logits, lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp(x - top)), share)))
 
 
 def smoothed(p: Column, smoothing: float | str | bool) -> Column:
@@ -94,8 +103,8 @@ def smoothed(p: Column, smoothing: float | str | bool) -> Column:
         return p
     if smoothing is False:
         return argmax(p)
-    best = argmax(p)
-    return F.transform(p, lambda x, i: F.when(i == best, F.lit(float(smoothing))).otherwise((1 - F.lit(float(smoothing))) / (F.size(p) - 1)))
+    share = F.lit(float(smoothing))
+    return let(p, lambda v: let(argmax(v), lambda best: F.transform(v, lambda x, i: F.when(i == best, share).otherwise((1 - share) / (F.size(v) - 1)))))
 
 
 def one_hot(label: Column, classes: int) -> Column:

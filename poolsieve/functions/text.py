@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def words(text: Column) -> Column:
@@ -132,7 +133,7 @@ def porter(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems of tokens of more than three letters; each different token of a batch is stemmed once."""
     for batch in batches:
@@ -153,6 +154,6 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .proba import let
+
 
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
@@ -19,11 +21,11 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return let(a, lambda v: let(b, lambda w: dot(v, w) / (norm(v) * norm(w))))
 
 
 def normalised(a: Column) -> Column:
-    return F.transform(a, lambda x: x / norm(a))
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -7,27 +7,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.proba import let, mean
 from ..session import hash01
 from .rows import rank_by, sample, top
 
-REDUCERS = {
-    "var": lambda a: _mean(a, lambda x, m: (x - m) * (x - m)),
-    "std": lambda a: F.sqrt(_mean(a, lambda x, m: (x - m) * (x - m))),
-    "mean": lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a),
-    "median": lambda a: _median(a),
-    "max": F.array_max,
-    "min": F.array_min,
-}
+def _variance(a: Column) -> Column:
+    return let(a, lambda v: let(mean(v), lambda m: mean(F.transform(v, lambda x: (x - m) * (x - m)))))
 
 
-def _mean(a: Column, f) -> Column:  # noqa: ANN001
-    m = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    return F.aggregate(F.transform(a, lambda x: f(x, m)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+def _median(a: Column) -> Column:
+    middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+    return let(F.array_sort(a), middle)
 
 
-def _median(a: Column) -> Column:
-    s = F.array_sort(a)
-    return (F.get(s, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(a) / 2).cast("int"))) / 2
+REDUCERS = {"var": _variance, "std": lambda a: F.sqrt(_variance(a)), "mean": mean, "median": _median, "max": F.array_max, "min": F.array_min}
 
 
 def by_uncertainty(pool: DataFrame, score: Column, n: int, id_col: str) -> DataFrame:

@@ -85,7 +85,7 @@ def idds_top(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector:
     rows = pool.withColumnRenamed(id_col, "id").join(u, "id").join(found, "id", "left").persist()
     picks, vectors = Picks(), []
     for _ in range(min(n, pool.count())):
-        near = F.filter("_near", lambda x: ~x["id"].isin(picks.ids)) if picks.ids else F.col("_near")
+        near = F.filter("_near", lambda x: ~x["other"].isin(picks.ids)) if picks.ids else F.col("_near")
         near = F.slice(F.reverse(F.array_sort(F.transform(near, lambda x: x["sim"]))), 1, u_top + 1)
         first = (F.aggregate(near, F.lit(0.0), lambda s, x: s + x) - 1) / F.lit(float(u_top))
         own = F.coalesce(F.transform("_known", lambda x: x["sim"]), F.array().cast("array<double>"))

@@ -8,6 +8,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import lcs_length, ngrams, stemmed, tokens
 
@@ -86,7 +87,7 @@ def rouge_scores(df: DataFrame, id_col: str, pred: str, label: str, stem: bool =
 def summary_lcs(df: DataFrame, pred: str, label: str) -> DataFrame:
     """Adds ``rouge_lsum``: ROUGE-L over lines, each label line with the union of its matches in the predicted lines."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def union_f(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_lsum(x, y) for x, y in zip(a, b, strict=True)])
 
@@ -161,7 +162,7 @@ def _bleu_of(hyp: str, ref: str) -> float:
     return bleu(matches, possible, len(a), len(b), smooth=True)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sentence_bleu(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """Smoothed BLEU, 0 to 100, of white-space tokens, orders 1 to 4."""
     return pd.Series([None if h is None or r is None else _bleu_of(h, r) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
