@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .proba import let
+
 
 def words(text: Column) -> Column:
     """Lower-case words without ASCII punctuation."""
@@ -27,22 +29,33 @@ def whitespace_tokens(text: Column) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """All runs of n items, joined by a space; empty where there are fewer than n."""
-    every = F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.when(F.size(items) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    def runs(v: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), " "))
+        return F.when(F.size(v) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return let(items, runs)
 
 
 def novel_share(summary: Column, text: Column, n: int) -> Column:
     """Share of the summary's n-gram occurrences that the text has not; null without n-grams."""
-    mine, theirs = ngrams(summary, n), ngrams(text, n)
-    new = F.size(F.filter(mine, lambda g: ~F.array_contains(theirs, g)))
-    return F.when(F.size(mine) > 0, new / F.size(mine))
+
+    def share(mine: Column) -> Column:
+        new = let(F.array_intersect(mine, ngrams(text, n)), lambda both: F.size(F.filter(mine, lambda g: ~F.array_contains(both, g))))
+        return F.when(F.size(mine) > 0, new / F.size(mine))
+
+    return let(ngrams(summary, n), share)
 
 
 def uncopied_share(summary: Column, text: Column, n: int) -> Column:
     """1 - share of the summary's words that are part of an n-gram which the text has too; null without n-grams."""
-    copied = F.array_distinct(F.flatten(F.transform(F.array_intersect(ngrams(summary, n), ngrams(text, n)), lambda g: F.split(g, " "))))
-    hits = F.size(F.filter(summary, lambda w: F.array_contains(copied, w)))
-    return F.when(F.size(summary) >= n, 1 - hits / F.size(summary))
+
+    def share(v: Column) -> Column:
+        copied = F.array_distinct(F.flatten(F.transform(F.array_intersect(ngrams(v, n), ngrams(text, n)), lambda g: F.split(g, " "))))
+        hits = let(copied, lambda c: F.size(F.filter(v, lambda w: F.array_contains(c, w))))
+        return F.when(F.size(v) >= n, 1 - hits / F.size(v))
+
+    return let(summary, share)
 
 
 def align_labels(labels: Column, word_ids: Column, subtokens: str = "ignore") -> Column:
@@ -51,18 +64,25 @@ def align_labels(labels: Column, word_ids: Column, subtokens: str = "ignore") ->
     if subtokens not in ("ignore", "repeat", "inside"):
         raise ValueError(f"unknown treatment of sub-tokens: {subtokens}")
 
-    def one(w: Column, i: Column) -> Column:
-        label = F.get(labels, w)
-        later = {"ignore": F.lit(-100), "repeat": label, "inside": F.when(label % 2 == 1, label + 1).otherwise(label)}[subtokens]
-        return F.when(w.isNull(), F.lit(-100)).when((i == 0) | ~w.eqNullSafe(F.get(word_ids, i - 1)), label).otherwise(later).cast("int")
+    def spread(given: Column, words_: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            label = F.get(given, w)
+            later = {"ignore": F.lit(-100), "repeat": label, "inside": F.when(label % 2 == 1, label + 1).otherwise(label)}[subtokens]
+            return F.when(w.isNull(), F.lit(-100)).when((i == 0) | ~w.eqNullSafe(F.get(words_, i - 1)), label).otherwise(later).cast("int")
+
+        return F.transform(words_, one)
 
-    return F.transform(word_ids, one)
+    return let(labels, lambda given: let(word_ids, lambda words_: spread(given, words_)))
 
 
 def first_subtokens(word_ids: Column) -> Column:
     """Positions, from 1 on, at which a word begins."""
-    at = F.sequence(F.lit(0), F.size(word_ids) - 1)
-    return F.filter(at, lambda i: (i >= 1) & F.get(word_ids, i).isNotNull() & ~F.get(word_ids, i).eqNullSafe(F.get(word_ids, i - 1)))
+
+    def begins(v: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(v) - 1)
+        return F.filter(at, lambda i: (i >= 1) & F.get(v, i).isNotNull() & ~F.get(v, i).eqNullSafe(F.get(v, i - 1)))
+
+    return let(word_ids, lambda v: F.when(F.size(v) > 0, begins(v)).otherwise(F.array().cast("array<int>")))
 
 
 def without_padding(values: Column, labels: Column, padding: int = -100) -> Column:

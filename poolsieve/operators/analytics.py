@@ -13,29 +13,18 @@ PREFIXES = ["", "test_", "eval_"]
 
 
 def t_quantile(p: float, df: int) -> float:
-    """Quantile of Student's t distribution: bisection on its distribution function, which is a regularised
-    incomplete beta function by its continued fraction."""
-
-    def beta(x: float, a: float, b: float) -> float:
-        if x in (0.0, 1.0):
-            return x
-        if x > (a + 1) / (a + b + 2):
-            return 1 - beta(1 - x, b, a)
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-        f, c, d = 1.0, 1.0, 0.0
-        for i in range(400):
-            m = i // 2
-            num = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            d = 1 / ((1 + num * d) or 1e-300)
-            c = (1 + num / c) or 1e-300
-            f *= c * d
-            if abs(1 - c * d) < 1e-15:
-                break
-        return front * f
+    """Quantile of Student's t distribution with whole degrees of freedom: bisection on its distribution function,
+    a finite series in the cosine of atan(t / sqrt(df))."""
 
     def below(t: float) -> float:
-        tail = beta(df / (df + t * t), df / 2, 0.5) / 2
-        return 1 - tail if t > 0 else tail
+        angle = math.atan(t / math.sqrt(df))
+        c2, odd = math.cos(angle) ** 2, df % 2
+        term, series = 1.0, 1.0 if df > 1 else 0.0
+        for i in range(2 + odd, df - 1, 2):
+            term *= (i - 1) / i * c2
+            series += term
+        inner = 2 / math.pi * (angle + math.sin(angle) * math.cos(angle) * series) if odd else math.sin(angle) * series
+        return (1 + inner) / 2
 
     lo, hi = -1e4, 1e4
     for _ in range(200):

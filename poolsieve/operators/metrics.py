@@ -27,7 +27,7 @@ def classification(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 def entity_spans(df: DataFrame, id_col: str, tags: str) -> DataFrame:
     """Rows (id, type, first, last) of BIO tags: a span begins at B-, or at I- after another type or outside."""
-    flat = df.select(id_col, F.posexplode(tags).alias("pos", "tag")).withColumn("kind", F.split("tag", "-", 2)[0]).withColumn("type", F.split("tag", "-", 2)[1])
+    flat = df.select(id_col, F.posexplode(tags).alias("pos", "tag")).withColumn("kind", F.get(F.split("tag", "-", 2), F.lit(0))).withColumn("type", F.get(F.split("tag", "-", 2), F.lit(1)))
     order = Window.partitionBy(id_col).orderBy("pos")
     before = F.lag("type").over(order)
     inside = flat.withColumn("head", ((F.col("kind") == "B") | ~F.col("type").eqNullSafe(before)).cast("int"))

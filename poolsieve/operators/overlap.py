@@ -35,26 +35,6 @@ def pair_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("n", "i", "j", "common", r.alias("recall"), p.alias("precision"), (2 * r * p / (r + p + 1e-15)).alias("f1"))
 
 
-def clipped(a: Column, b: Column, n: int) -> Column:
-    """Number of n-gram occurrences that two token arrays share, each counted as often as both have it. A merge of
-    sorted arrays by way of numbered occurrences: equal grams are told apart by their rank."""
-    def numbered(x: Column) -> Column:
-        s = F.array_sort(ngrams(x, n))
-        step = F.aggregate(
-            s,
-            F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out")),
-            lambda acc, g: F.struct(
-                g.alias("last"),
-                F.when(g == acc["last"], acc["k"] + 1).otherwise(F.lit(0)).alias("k"),
-                F.array_append(acc["out"], F.concat(g, F.lit("\u0001"), F.when(g == acc["last"], acc["k"] + 1).otherwise(F.lit(0)).cast("string"))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        return step
-
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
-
-
 def rouge_parts(df: DataFrame, id_col: str, pred: str, label: str, stem: bool = False) -> DataFrame:
     """Rows (id, n, common, n_pred, n_label) for n = 1, 2: exploded grams joined on (id, gram), no pair of texts but the own."""
     own = lambda c: stemmed(tokens(F.col(c))) if stem else tokens(F.col(c))

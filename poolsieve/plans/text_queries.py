@@ -82,13 +82,14 @@ def rouge_lsum(spark, d):  # noqa: ANN001, ANN201
 o as (select unnest([1, 2]) as n), x as (select id, n, unnest(list_transform(range(1, greatest(len(p) - n + 2, 1)), lambda i: array_to_string(p[i:i + n - 1], ' '))) as gram from t, o),
 y as (select id, n, unnest(list_transform(range(1, greatest(len(r) - n + 2, 1)), lambda i: array_to_string(r[i:i + n - 1], ' '))) as gram from t, o),
 xc as (select id, n, gram, count(*) as c from x group by all), yc as (select id, n, gram, count(*) as c from y group by all)
-select n::bigint as n, sum(xc.c)::bigint as possible, coalesce(sum(least(xc.c, yc.c)), 0)::bigint as matches from xc left join yc using (id, n, gram) group by n""")
+select n::bigint as n, sum(xc.c)::bigint as possible, sum(case when yc.c is null then 0 else least(xc.c, yc.c) end)::bigint as matches from xc left join yc using (id, n, gram) group by n""")
 def corpus_bleu(spark, d):  # noqa: ANN001, ANN201
     r = replies(spark, d)
     a = overlap.gram_counts(r, "id", tx.whitespace_tokens(F.col("pred")))
     b = overlap.gram_counts(r, "id", tx.whitespace_tokens(F.col("ref"))).withColumnRenamed("c", "e")
     both = a.join(b, ["n", "i", "gram"], "left")
-    return both.groupBy(F.col("n").cast("long").alias("n")).agg(F.sum("c").alias("possible"), F.coalesce(F.sum(F.least("c", F.when(F.col("e").isNotNull(), F.col("e")))).cast("long"), F.lit(0)).alias("_m"), F.coalesce(F.sum(F.when(F.col("e").isNotNull(), F.least("c", "e"))), F.lit(0)).alias("matches")).drop("_m")
+    hit = F.when(F.col("e").isNotNull(), F.least("c", "e")).otherwise(0)
+    return both.groupBy(F.col("n").cast("long").alias("n")).agg(F.sum("c").alias("possible"), F.sum(hit).alias("matches"))
 
 
 @query("bleuvar_topk")
