@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def trim() -> None:
+    """Gives memory that this Python process has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends in files of the shared folder, so a lost executor costs nothing."""
     shared_dir(df.sparkSession)

@@ -151,6 +151,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
+            common.trim()
             text, letter = batch.column("_text"), batch.column("_letter").to_pylist()
             n = batch.num_rows
             pred, score, unsure = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)

@@ -37,6 +37,7 @@ LENGTH = 50
 GRAM = 20
 SEGMENT = 1 << 19
 RUN = 32  # windows a context has at most: bits of a mask
+TRANSFORM_BYTES = 1 << 19  # text of one transform, about
 NULL_ID = np.iinfo(np.int64).max
 BLOCK_BYTES = 2 << 20
 
@@ -46,6 +47,7 @@ DIGEST, NAME, MASK, OWN = range(4)
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
+    common.trim()
     rows = [(*r, *[b""] * (8 - len(r))) for r in rows]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
@@ -344,7 +346,12 @@ def mask_messages(rows: pa.Table, r: int) -> pa.Table:
     equal[by[1:][same]] = equal[by[:-1][same]] = True
     mixed = np.flatnonzero(equal)
     if len(mixed):
-        firsts = first_occurrences([texts[i] for i in mixed.tolist()], least[mixed])
+        # names are settled some at a time: equal windows have equal names
+        mixed = mixed[np.argsort(name[mixed], kind="stable")]
+        head = np.concatenate([[True], name[mixed][1:] != name[mixed][:-1]])
+        size = np.cumsum(windows[mixed] + LENGTH) // TRANSFORM_BYTES
+        part = size[np.flatnonzero(head)][np.cumsum(head) - 1]
+        firsts = np.concatenate([first_occurrences([texts[i] for i in some.tolist()], least[some]) for some in np.split(mixed, np.flatnonzero(np.diff(part)) + 1)])
         begin = np.full(len(texts), -1, np.int64)
         begin[mixed] = np.cumsum(windows[mixed]) - windows[mixed]
         entries = np.flatnonzero(equal[which_])
