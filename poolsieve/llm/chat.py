@@ -73,7 +73,7 @@ def fold(log: DataFrame) -> DataFrame:
     # the text since the last row that replaces it, the role of the last message row, or of the first row
     last = F.greatest(F.size("e") - F.expr("array_position(reverse(transform(e, x -> x.kind <> 'delta')), true)").cast("int"), F.lit(0))
     turn = turn.withColumn("last", F.when(F.expr("exists(e, x -> x.kind <> 'delta')"), last).otherwise(F.lit(0)))
-    roles = F.expr("coalesce(element_at(filter(e, x -> x.kind = 'message'), -1).role, e[0].role)")
+    roles = F.expr("coalesce(try_element_at(filter(e, x -> x.kind = 'message'), -1).role, e[0].role)")
     return turn.select("conv_id", "turn", roles.alias("role"), F.expr("array_join(transform(slice(e, last + 1, size(e)), x -> x.text), '')").alias("text"))
 
 
