@@ -24,4 +24,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": warc.OP4_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
     "op7_document_fingerprints": merkle.OP7_SQL,
+    "op8_suffix_array_dedup": suffix.OP8_SQL,
+    "op9_embedding_near_dedup": vectors.OP9_SQL,
 }

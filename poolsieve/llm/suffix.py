@@ -474,3 +474,17 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(common.table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
+OP8_SQL = """
+with n as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from n, unnest(range(greatest(n - 49, 0))) t(i)),
+f as (select s, min(doc_id) as first from w group by s having min(doc_id) < max(doc_id)),
+r as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as head from w join f using (s) where first < doc_id),
+g as (select doc_id, i, sum(head) over (partition by doc_id order by i) as g from r),
+spans as (select doc_id, g, min(i) as a, max(i) + 50 as b from g group by doc_id, g),
+cuts as (select *, lag(b, 1, 0) over (partition by doc_id order by a) as p from spans),
+kept as (select c.doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as k from cuts c join n using (doc_id) group by c.doc_id)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from n left join kept using (doc_id)
+"""

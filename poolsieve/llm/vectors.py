@@ -156,3 +156,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP9_SQL = """
+with recursive v as (select vec_id, embedding::double[] as x from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links as materialized (select p.vec_id as a, q.vec_id as b from v p join v q on p.vec_id <> q.vec_id where list_cosine_similarity(p.x, q.x) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a)
+select a as vec_id, (select count(*) from links l where l.a = r.a) as n_links, min(b) as component_id, a = min(b) as kept from reach r group by a
+"""
