@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: the order in which a run's metric files are looked for, and the prefixes of a metric's key
-METRIC_FILES = ["target_tracin_metrics.json", "target_metrics.json", "successor_metrics.json", "acquisition_metrics.json", "metrics.json"]
-PREFIXES = ["", "test_", "eval_"]
+METRIC_FILES = ["target_metrics.json", "successor_metrics.json", "acquisition_metrics.json", "metrics.json"]
+PREFIXES = ["test_", "eval_", ""]
 
 
 def t_quantile(p: float, df: int) -> float:
@@ -79,11 +79,13 @@ def first_file(files: DataFrame, run: str, name: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (run, config, file, metrics): each folder below ``root`` with a config.yaml and a metric file."""
+    """Rows (run, config, file, metrics): each folder below ``root`` with a config.yaml and metrics of acquisition or plain ones; the
+    file is the first of METRIC_FILES."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yaml,json}").select("value", F.col("_metadata.file_path").alias("path"))
     files = files.withColumn("run", F.regexp_replace("path", r"/[^/]*$", "")).withColumn("file", F.regexp_extract("path", r"([^/]*)$", 1))
     config = files.where("file = 'config.yaml'").select("run", F.col("value").alias("config"))
-    return first_file(files.drop("path"), "run", "file").join(config, "run").select("run", "config", "file", F.col("value").alias("metrics"))
+    whole = files.where(F.col("file").isin("acquisition_metrics.json", "metrics.json")).select("run").distinct()
+    return first_file(files.drop("path"), "run", "file").join(whole, "run", "left_semi").join(config, "run").select("run", "config", "file", F.col("value").alias("metrics"))
 
 
 def collect_metrics(spark: SparkSession, root: str, metric: str) -> DataFrame:
