@@ -34,6 +34,13 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts reach Python in batches of ``rows`` at most: the default of 10,000 holds tens of megabytes several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends in files of the shared folder, so a lost executor costs nothing."""
     shared_dir(df.sparkSession)

@@ -146,6 +146,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     letter, or there is no model. All other columns are kept (or ``keep`` of
     them; columns with names of the results are replaced); equal texts get equal results."""
     keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "ambiguous", "_text", "_letter")]
+    common.modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

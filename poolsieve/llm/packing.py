@@ -30,7 +30,7 @@ END_ID = 0
 #: Pieces of a length are numbered in so many independent parts.
 SALTS = 64
 #: Words whose ids a task remembers; others are worked out each time.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 # fixed values: how byte-level BPE cuts a text, letters first as no other alternative can begin with one
 CUT = r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
@@ -65,7 +65,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        model = json.loads(self.library.to_str())
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
         # the vocabulary spells bytes as printable characters: those that print stand for themselves
         printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printing]
@@ -108,6 +109,7 @@ def pieces_of(docs: DataFrame, vocabulary: Callable[[], str], capacity: int = CA
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary())
+        common.trim()
         tail = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -117,8 +119,10 @@ def pieces_of(docs: DataFrame, vocabulary: Callable[[], str], capacity: int = CA
                 for k, n in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     rows.append((doc, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])))
                     at += n
+            common.trim()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, PIECES, strict=True)], schema=PIECES)
 
+    common.modest_batches(docs.sparkSession)
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return cols.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -115,6 +115,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """Rows (id, posterior, score, keep): the weak labels' posterior, the scorer's probability of good, and whether it is 1/2 or
     more. Null text is empty: all labellers that need words abstain or say bad, the score is the scorer's at no words. An empty table gives none."""
     spark = docs.sparkSession
+    common.modest_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     votes = [F.coalesce(v, F.lit(ABSTAIN)).cast("int") for v in labellers(F.col("text")).values()]

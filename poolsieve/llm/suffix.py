@@ -410,6 +410,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bytes, is null without ``keep_bytes``. Columns named in ``carry`` come along in a struct ``row``. Blocks are of ``block_bytes`` and, beyond 4096 of them, grow
     up to 64 MB. An empty table gives an empty result."""
     text = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
+    common.modest_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     size = max(block_bytes, min(64 << 20, total // 4096))
     n_blocks = max(1, -(-total // size))
