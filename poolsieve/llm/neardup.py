@@ -7,9 +7,10 @@ with probability 1 - (1 - 0.8^3)^10 = 0.9992, at 0.85 with 0.9999.
 
 Equal texts are settled first, by their digests; only one of them goes on. Documents that share a key are
 compared within groups of GROUP at most: a larger bucket is dealt into groups, each with the bucket's
-first document as well; what was not joined to it forms buckets anew, of documents that share one more band, until
-all buckets fit a group: at most as many rounds as there are bands. In a group no pair is tested whose documents are
-connected already. So neither a pair list nor a bucket grows with the square of a group of copies.
+first document as well. After that the bucket's documents that are not connected with its largest component are
+compared with all others of the bucket, in pairs of blocks: every pair of a bucket is connected by links or compared.
+A pair whose documents are connected already is not tested, so a large group of copies is done once its documents hang
+together; a large bucket of unlike documents takes work by its square, dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 HASHES = BANDS * ROWS
 GROUP = 64
+#: Documents of a side in a pair of blocks.
+BLOCK = 128
 #: So many ids at most are broadcast (some 80 bytes each).
 FEW = 50_000
 
@@ -84,18 +87,20 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def similar(texts: list[bytes], idf: np.ndarray, threshold: float = SIMILARITY) -> list[tuple[int, int]]:
+def similar(texts: list[bytes], idf: np.ndarray, threshold: float = SIMILARITY, root: np.ndarray | None = None, apart: int = 0) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of texts with a weighted Jaccard similarity of ``threshold`` or more.
-    Texts without words have none."""
+    Texts without words have none. Texts of the same ``root`` are connected already; with ``apart``, only pairs of one of
+    the first ``apart`` texts and one of the others are compared."""
     owner, h, w = (np.concatenate(x) for x in zip(*[(o + a, *rest) for a, b in shingles.groups(texts) for o, *rest in [shingles.weighted(texts[a:b], idf)]], strict=True))
     total = np.bincount(owner, w.astype(np.float64), len(texts))
     cut = np.searchsorted(owner, np.arange(len(texts) + 1))
     by = np.argsort(h, kind="stable")
     sorted_h, sorted_w, sorted_owner = h[by], w[by].astype(np.float64), owner[by]
-    root = np.arange(len(texts))
+    root = np.arange(len(texts)) if root is None else root.copy()
     forest: list[tuple[int, int]] = []
-    for i in range(len(texts)):
-        later = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+    for i in range(apart or len(texts)):
+        start = apart or i + 1
+        later = np.flatnonzero(root[start:] != root[i]) + start
         if not len(later) or not total[i]:
             continue
         mine, weight = h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]].astype(np.float64)
@@ -135,33 +140,72 @@ def _texts_of(base: DataFrame, member: DataFrame) -> DataFrame:
     return base.join(F.broadcast(ids), ["id", "digest"], "left_semi") if few else base
 
 
-PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("digest", pa.string())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(found: list[tuple[int, int]], ids: list[int]) -> pa.Table:
+    out = [(ids[i], ids[j]) for i, j in found if ids[i] != ids[j]]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], schema=PAIRS)
 
 
 def _verified(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Compares the documents of each group (key, part): rows (0, a, b) for links, (1, key, id, digest) for
-    documents of a dealt bucket that were not joined to its first."""
+    """Compares the documents of each group (key, part): rows (a, b) for links."""
     shared = members.sparkSession.sparkContext.broadcast(idf)
 
     def run(key, rows):  # noqa: ANN001, ANN202
-        ids, digests, leads, dealt = (rows.column(c).to_pylist() for c in ("id", "digest", "lead", "dealt"))
+        ids, digests, leads = (rows.column(c).to_pylist() for c in ("id", "digest", "lead"))
         order = sorted(range(len(ids)), key=lambda i: (not leads[i], ids[i], digests[i]))
         order = [i for n, i in enumerate(order) if not n or (ids[i], digests[i]) != (ids[order[n - 1]], digests[order[n - 1]])]
         column = rows.column("text").combine_chunks()
-        forest = similar([column[i].as_buffer().to_pybytes() for i in order], shared.value, threshold)
-        out = [(0, ids[order[i]], ids[order[j]], None) for i, j in forest if ids[order[i]] != ids[order[j]]]
-        if dealt[0]:
-            near, grown = {0}, True
-            while grown:
-                more = {x for pair in forest if near & {*pair} for x in pair}
-                grown = not more <= near
-                near |= more
-            out += [(1, key[0].as_py(), ids[i], digests[i]) for n, i in enumerate(order) if n not in near]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PAIRS, strict=True)], schema=PAIRS)
-
-    given = members.join(texts, ["id", "digest"]).select("key", "part", "id", "digest", "lead", "dealt", "text")
-    return given.groupBy("key", "part").applyInArrow(run, "kind int, a long, b long, digest string")
+        return _pairs(similar([column[i].as_buffer().to_pybytes() for i in order], shared.value, threshold), [ids[i] for i in order])
+
+    given = members.join(texts, ["id", "digest"]).select("key", "part", "id", "digest", "lead", "text")
+    return given.groupBy("key", "part").applyInArrow(run, "a long, b long")
+
+
+def _unsettled(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (key, i, kind, j, side, id, digest, root): pairs of blocks of each bucket (key, id, digest), side 0 from block i of
+    its documents outside the bucket's largest component, side 1 from block j of the same (kind 0, j >= i) or of the largest component (kind 1)."""
+    by_id = common.cut(common.components(links)).withColumnRenamed("root", "r")
+    member = large.join(by_id, "id", "left").select("key", "id", "digest", F.coalesce("r", "id").alias("root"))
+    member = common.cut(member)
+    sizes = member.groupBy("key", "root").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("root")).alias("o"))).alias("m"), F.sum("c").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    most = most.where("n > m.c").select("key", (-F.col("m.o")).alias("main"), blocks(F.col("n") - F.col("m.c")).alias("ni"), blocks(F.col("m.c")).alias("nj"))
+    member = member.join(F.broadcast(most) if most.count() <= FEW else most, "key")
+    inside = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("id", "digest", F.lit(9)), F.when(inside, F.col("nj")).otherwise(F.col("ni"))).cast("int")
+    member = member.select("key", "id", "digest", "root", "ni", "nj", inside.alias("inside"), own.alias("own"))
+    at = lambda i, kind, j, side: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.col("own")
+    rest = F.concat(
+        F.transform(upto(F.col("nj")), lambda j: at(own, 1, j, 0)),
+        F.transform(F.sequence(own, F.col("ni") - 1), lambda j: at(own, 0, j, 0)),
+        F.transform(F.filter(upto(F.col("ni")), lambda i: i < own), lambda i: at(i, 0, own, 1)),
+    )
+    where = F.when(F.col("inside"), F.transform(upto(F.col("ni")), lambda i: at(i, 1, own, 1))).otherwise(rest)
+    return member.select("key", F.explode(where).alias("w"), "id", "digest", "root").select("key", "w.*", "id", "digest", "root")
+
+
+def _across(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Compares the documents of each pair of blocks that are not connected: rows (a, b) for links."""
+    shared = members.sparkSession.sparkContext.broadcast(idf)
+
+    def run(key, rows):  # noqa: ANN001, ANN202
+        ids, digests, sides, roots = (rows.column(c).to_pylist() for c in ("id", "digest", "side", "root"))
+        order = sorted(range(len(ids)), key=lambda i: (sides[i], ids[i], digests[i]))
+        order = [i for n, i in enumerate(order) if not n or (ids[i], digests[i]) != (ids[order[n - 1]], digests[order[n - 1]])]
+        apart = sum(not sides[i] for i in order)
+        if not apart or (apart == len(order) and not (key[2].as_py() == 0 and key[1] == key[3])):
+            return _pairs([], [])
+        column = rows.column("text").combine_chunks()
+        found = similar([column[i].as_buffer().to_pybytes() for i in order], shared.value, threshold, np.array([roots[i] for i in order], np.int64), apart % len(order))
+        return _pairs(found, [ids[i] for i in order])
+
+    given = members.join(texts, ["id", "digest"]).select("key", "i", "kind", "j", "side", "id", "digest", "root", "text")
+    return given.groupBy("key", "i", "kind", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -174,32 +218,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     idf = shingles.inverse_frequencies(base, "text")
     rows = common.stored(signed(base.select("id", "digest", "text"), idf), "signed")
     firsts = common.cut(rows.where("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("keys").alias("keys")))
-    bucket = firsts.select("id", "digest", F.explode("keys").alias("key")).withColumn("used", F.array("key"))
+    bucket = firsts.select("id", "digest", F.explode("keys").alias("key"))
+    mark = F.xxhash64("id", "digest")
+    sets = bucket.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest")).alias("head"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("y"))
+    sets = sets.where("n > 1")
+    # buckets with the same documents are one
+    sets = common.cut(sets.groupBy("n", "head", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "head"))
     links: DataFrame | None = None
-    while True:
-        mark = F.xxhash64("id", "digest")
-        sets = bucket.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest")).alias("head"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("y"), F.min("used").alias("used"))
-        sets = sets.where("n > 1")
-        # buckets with the same documents are one
-        sets = common.cut(sets.groupBy("n", "head", "x", "y").agg(F.min(F.struct("key", "used")).alias("k")).select("k.key", "k.used", "n", "head"))
-        if sets.isEmpty():
-            break
-        member = bucket.drop("used").join(sets, "key")
+    if not sets.isEmpty():
+        member = bucket.join(sets, "key")
         parts = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / (GROUP - 1))).otherwise(1).cast("int")
         lead = (F.col("id") == F.col("head.id")) & (F.col("digest") == F.col("head.digest"))
         member = member.select("key", "id", "digest", lead.alias("lead"), parts.alias("parts"), (F.col("n") > GROUP).alias("dealt"))
         own = F.array(F.pmod(F.xxhash64("id", "digest", F.lit(8)), F.col("parts")).cast("int"))
         where = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
         member = common.cut(member.select("key", F.explode(where).alias("part"), "id", "digest", "lead", "dealt"))
-        found = common.stored(_verified(member, _texts_of(base, member), idf, threshold), "verified")
-        new = found.where("kind = 0").select("a", "b")
-        links = new if links is None else links.union(new)
-        left = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id"), "digest")
-        # what was not joined to a bucket's first meets again where it shares one more key
-        left = left.join(sets.select("key", "used"), "key").join(firsts, ["id", "digest"])
-        after = F.array_position("keys", F.element_at("used", -1)).cast("int") + 1  # so each set of bands comes up once
-        left = left.select("id", "digest", "key", "used", F.explode(F.slice("keys", after, BANDS)).alias("more"))
-        bucket = common.cut(left.select("id", "digest", F.xxhash64("key", "more").alias("key"), F.array_append("used", F.col("more")).alias("used")))
+        links = common.stored(_verified(member, _texts_of(base, member), idf, threshold), "verified")
+        large = common.cut(member.where("dealt").select("key", "id", "digest").distinct())
+        if not large.isEmpty():
+            more = common.cut(_unsettled(large, links))
+            links = links.union(common.stored(_across(more, _texts_of(base, more), idf, threshold), "across"))
     roots = firsts.select("digest", F.col("id").alias("class_id"))
     if links is not None:
         by_id = common.components(links.distinct())

@@ -234,6 +234,20 @@ def test_large_groups(spark):
     assert got == dict(zip(range(260), brute.near_classes(out), strict=True))
 
 
+def test_chains_in_one_large_bucket(spark, monkeypatch):
+    """Windows of a long text: neighbours are similar, others are not, and all documents share one band only."""
+    rng, out = random.Random(4), []
+    ids = rng.sample(range(1400), 1400)
+    for chain in range(40):
+        words = [f"{w}{chain}" for w in prose(rng, "xx", 40 + 3 * 25).split()]
+        out += [(ids.pop(), " ".join(words[3 * i : 3 * i + 40])) for i in range(25)]
+    out += [(i, prose(rng, "yy", 40)) for i in ids]
+    monkeypatch.setattr(neardup, "signed", lambda docs, idf: docs.select("id", "digest", F.array(F.lit(1).cast("long")).alias("keys")))
+    got = {r["id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    want = dict(zip([i for i, _ in out], brute.near_classes(out), strict=True))
+    assert got == want and len(set(want.values())) < 450
+
+
 def test_near_edges(spark, docs, empty):
     t = docs.select("doc_id", "text").limit(3).union(spark.createDataFrame([(None, "x y"), (None, None), (5, "x y"), (5, "x y")], "doc_id long, text string"))
     got = neardup.classes(t).collect()
