@@ -40,7 +40,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SQL can't express these stages; a test holds them against brute force.
+#: SQL can't express these stages. Tests hold operators of the stages, not their chain, against brute force.
 ORACLE_SQL = None
 
 
