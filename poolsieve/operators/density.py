@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, doubles, group_means, scatter
-from ..session import literal_vector
+from ..functions.vector import doubles, group_means, scatter
 
 # fixed values: what is added to the diagonal until no eigenvalue is negative
 JITTER = [0.0, *[10.0**e for e in range(-15, 0)]]
@@ -68,25 +68,34 @@ def whitener(inv: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(values, 0))[:, None] * vectors.T
 
 
-def whitened(x: Column, w: np.ndarray) -> Column:
-    rows = F.array(*[literal_vector(r) for r in w])
-    return F.transform(rows, lambda r: dot(r, x))
+def squared_distances(vector: Column, centres: list[tuple[np.ndarray, np.ndarray] | None]) -> Column:
+    """Array of the squared distances to each centre (whitener, centre), infinite for None; null for a null vector. Matrices go to
+    tasks with the function: as literals, d x d for each centre, they would swell the plan."""
+
+    @F.pandas_udf("array<double>")
+    def far(vectors: pd.Series) -> pd.Series:
+        known = vectors.notna().to_numpy()
+        out: list = [None] * len(vectors)
+        if known.any():
+            x = np.stack(vectors[known].to_list()).astype(float)
+            d = np.stack([np.full(len(x), np.inf) if c is None else (((x - c[1]) @ c[0].T) ** 2).sum(1) for c in centres], 1)
+            for i, row in zip(np.flatnonzero(known).tolist(), d, strict=True):
+                out[i] = row
+        return pd.Series(out, dtype=object)
+
+    return far(doubles(vector))
 
 
 def distances(df: DataFrame, centres: list[tuple], vector: str, inverses: np.ndarray | dict) -> DataFrame:
     """Adds ``distances``, an array of (key, distance), and ``distance``, the smallest: Mahalanobis distances to the centres (key,
     centroid, empty); those of empty classes are infinite. ``inverses``: one for all, or by key."""
-    x = doubles(F.col(vector))
-    out = []
-    for key, centre, empty in centres:
-        w = whitener(inverses[key] if isinstance(inverses, dict) else inverses)
-        if empty:
-            d = F.lit(float("inf"))
-        else:
-            y, c = whitened(x, w), literal_vector(w @ np.array(centre))
-            d = F.sqrt(F.aggregate(F.zip_with(y, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-        out.append(F.struct(F.lit(key).alias("key"), d.alias("distance")))
-    return df.withColumn("distances", F.array(*out)).withColumn("distance", F.array_min(F.transform("distances", lambda s: s["distance"])))
+    white = {} if isinstance(inverses, dict) else whitener(inverses)
+    given = [None if empty else (whitener(inverses[key]) if isinstance(inverses, dict) else white, np.array(centre)) for key, centre, empty in centres]
+    far = squared_distances(F.col(vector), given)
+    keys = F.array(*[F.lit(key) for key, _, _ in centres])
+    pairs = F.zip_with(keys, F.col("_far"), lambda k, f: F.struct(k.alias("key"), F.sqrt(f).alias("distance")))
+    df = df.withColumn("_far", far).withColumn("distances", pairs).drop("_far")
+    return df.withColumn("distance", F.array_min(F.transform("distances", lambda s: s["distance"])))
 
 
 def mahalanobis(train: DataFrame, pool: DataFrame, label: str, vector: str, per_class: bool = False) -> DataFrame:
@@ -141,18 +150,15 @@ def filtered_scores(train: DataFrame, pool: DataFrame, n: int, id_col: str, labe
 
 def gaussian_density(train: DataFrame, pool: DataFrame, label: str, vector: str, scale: float = 768.0) -> DataFrame:
     """Adds ``density``: sum over classes of exp(log N(x; mean, covariance) / scale) x share of the class."""
-    x = doubles(F.col(vector))
     total = train.count()
-    parts = []
+    given, parts = [], []
     for r in centroids(train, label, vector).orderBy(label).collect():
         cov = covariance(train.where(F.col(label).eqNullSafe(F.lit(r[0]))), None, vector, 1)
         for j in JITTER:
             m = cov + j * np.eye(len(cov))
             if np.linalg.eigvalsh(m).min() > 0:
                 break
-        w = whitener(np.linalg.inv(m))
-        y, c = whitened(x, w), literal_vector(w @ np.array(r["centroid"]))
-        far = F.aggregate(F.zip_with(y, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        log_p = -0.5 * far - F.lit(0.5 * (len(cov) * np.log(2 * np.pi) + np.linalg.slogdet(m)[1]).item())
+        given.append((whitener(np.linalg.inv(m)), np.array(r["centroid"])))
+        log_p = -0.5 * F.col("_far")[len(parts)] - F.lit(0.5 * (len(cov) * np.log(2 * np.pi) + np.linalg.slogdet(m)[1]).item())
         parts.append(F.exp(log_p / scale) * F.lit(r["n"] / total))
-    return pool.withColumn("density", sum(parts[1:], parts[0]))
+    return pool.withColumn("_far", squared_distances(F.col(vector), given)).withColumn("density", sum(parts[1:], parts[0])).drop("_far")

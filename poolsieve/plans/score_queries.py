@@ -9,7 +9,7 @@ from ..functions.vector import group_means, scatter
 from ..operators import acquire, density, greedy, neighbours, pseudo, rows
 from ..session import table
 from .providers import _MEANS, PASS_SQL, PROBAS, VECTORS, split_vectors, with_passes, with_probas
-from .registry import query
+from .registry import ORACLES, query
 
 
 def _score(name: str, expression, sql: str) -> None:  # noqa: ANN001
@@ -105,7 +105,15 @@ def class_centroids(spark, d):  # noqa: ANN001, ANN201
 m as (select label, pos, avg(x) as m from f group by all), c as (select vec_id, pos, x - m as x from f join m using (label, pos))
 select a.pos as i, b.pos as j, round(sum(a.x * b.x) / ((select count(*) from embeddings) - 1), 6) as s from c a join c b using (vec_id) group by all""")
 def within_class_scatter(spark, d):  # noqa: ANN001, ANN201
-    x = table(spark, d, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    return _within_class(table(spark, d, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v")))
+
+
+@query("within_class_scatter_whole", ORACLES["within_class_scatter"].replace(" where pos < 8", ""))
+def within_class_scatter_whole(spark, d):  # noqa: ANN001, ANN201
+    return _within_class(table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
+
+
+def _within_class(x):  # noqa: ANN001, ANN202
     total = scatter(x, "v")
     means = group_means(x, "label", "v").select("n", F.posexplode("centroid").alias("i", "a"), "centroid").select("n", "i", "a", F.posexplode("centroid").alias("j", "b"))
     between = means.groupBy("i", "j").agg(F.sum(F.col("n") * F.col("a") * F.col("b")).alias("m"))
@@ -194,6 +202,30 @@ def mahalanobis_filtering(spark, d):  # noqa: ANN001, ANN201
     return density.filtered_scores(lab, pool, 20, "vec_id", "label", "v", F.col("v")[0]).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("mahalanobis_centroids_whole")
+def mahalanobis_centroids_whole(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = split_vectors(spark, d)
+    return density.mahalanobis(lab, pool, "label", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("mahalanobis_per_class_whole")
+def mahalanobis_per_class_whole(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = split_vectors(spark, d)
+    return density.mahalanobis(lab, pool, "label", "embedding", per_class=True).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("unicentroid_mahalanobis_whole")
+def unicentroid_mahalanobis_whole(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = split_vectors(spark, d)
+    return density.single_centre(lab, pool, "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("mahalanobis_filtering_whole")
+def mahalanobis_filtering_whole(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = split_vectors(spark, d)
+    return density.filtered_scores(lab, pool, 20, "vec_id", "label", "embedding", F.col("embedding")[0]).select("vec_id", F.round("score", 6).alias("score"))
+
+
 def _picks(spark, p) -> object:  # noqa: ANN001
     return p.frame(spark, "vec_id").select("ord", "vec_id", F.round("score", 6).alias("score"))
 
@@ -276,14 +308,14 @@ def cluster_pool(spark, d):  # noqa: ANN001, ANN201
 
 @query("gmm_density")
 def gmm_density(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = _two(spark, d)
-    return density.gaussian_density(lab, pool, "label", "v").select("vec_id", F.round("density", 9).alias("density"))
+    lab, pool = split_vectors(spark, d)
+    return density.gaussian_density(lab, pool, "label", "embedding").select("vec_id", F.round("density", 9).alias("density"))
 
 
 @query("batched_mahalanobis_k2")
 def batched_mahalanobis_k2(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = _two(spark, d)
-    return spark.createDataFrame(list(enumerate(density.batched(lab, pool, 2, "label", "vec_id", "v"))), "ord long, vec_id long")
+    lab, pool = split_vectors(spark, d)
+    return spark.createDataFrame(list(enumerate(density.batched(lab, pool, 2, "label", "vec_id", "embedding"))), "ord long, vec_id long")
 
 
 @query("cluster_round_robin", f"""with {PROBAS}, m as (select vec_id, label, round(1 + list_sort(p)[len(p) - 1] - list_max(p), 6) as margin from probas), z as (select label, count(*) as size from m group by label),

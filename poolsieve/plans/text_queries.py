@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import acquire, analytics, greedy, metrics, overlap
 from ..session import table
 from .providers import PROBAS, REPLIES, TOKENS_SQL, WORDS_SQL, replies, with_probas
-from .registry import query
+from .registry import ORACLES, query
 
 _GRAMS = "list_transform(range(1, greatest(len({0}) - {1} + 2, 1)), lambda i: array_to_string({0}[i:i + {1} - 1], ' '))"
 
@@ -154,10 +154,11 @@ def accuracy_f1(spark, d):  # noqa: ANN001, ANN201
 _NER = "list_transform(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')[1:20], lambda w: case length(w) % 5 when 0 then 'B-A' when 1 then 'I-A' when 2 then 'B-B' when 3 then 'I-B' else 'O' end)"
 
 
-def _tags(c: str):  # noqa: ANN202
+def _tags(c: str, whole: bool = False):  # noqa: ANN202
     w = F.length
     names = F.array(*[F.lit(x) for x in ("B-A", "I-A", "B-B", "I-B", "O")])
-    return F.transform(F.slice(tx.whitespace_tokens(F.col(c)), 1, 20), lambda x: F.get(names, w(x) % 5))
+    words = tx.whitespace_tokens(F.col(c))
+    return F.transform(words if whole else F.slice(words, 1, 20), lambda x: F.get(names, w(x) % 5))
 
 
 def _spans(c: str, name: str) -> str:
@@ -176,6 +177,13 @@ def entity_f1(spark, d):  # noqa: ANN001, ANN201
     return got.select("type", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("long"))
 
 
+@query("entity_f1_whole", ORACLES["entity_f1"].replace("[1:20]", ""))
+def entity_f1_whole(spark, d):  # noqa: ANN001, ANN201
+    r = replies(spark, d).select("id", _tags("ref", True).alias("l"), _tags("pred", True).alias("p"))
+    got = metrics.entity_f1(r, "id", "l", "p")
+    return got.select("type", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("long"))
+
+
 @query("seed_mean_std_ci", """with m as (select event_type, user_id % 9 as seed, avg(value) as v from events group by all), g as (select event_type, avg(v) as mean, stddev_samp(v) as std, count(v) as n from m group by all)
 select event_type, round(mean, 6) as mean, round(std, 6) as std, n, round(mean - 2.2621571627409915 * std / sqrt(n), 6) as low, round(mean + 2.2621571627409915 * std / sqrt(n), 6) as high from g where n = 9""")
 def seed_mean_std_ci(spark, d):  # noqa: ANN001, ANN201

@@ -91,6 +91,44 @@ def test_mahalanobis(data):
         assert r["distance"] == pytest.approx(want, rel=1e-6)
 
 
+@pytest.mark.parametrize("name", ["gmm_density", "batched_mahalanobis_k2", "mahalanobis_centroids_whole", "unicentroid_mahalanobis_whole"])
+def test_queries_over_whole_vectors(spark, tmp_path, name):
+    import __spark_entry__ as e
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6)) * [1, 1, 1, 2, 3, 9]
+    y = np.arange(400) // 10 % 2
+    spark.createDataFrame([(i, int(y[i]), v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    lab, pool = np.arange(0, 400, 10), [i for i in range(400) if i % 10]
+
+    def far(i, known):
+        mu = [x[[k for k in known if y[k] == c]].mean(0) for c in (0, 1)]
+        d = np.stack([x[k] - mu[y[k]] for k in known])
+        inv = np.linalg.inv(d.T @ d / (len(known) - 1))
+        return min((np.sqrt((x[i] - m) @ inv @ (x[i] - m)), c) for c, m in enumerate(mu))
+
+    rows = e.queries()[name](spark, str(tmp_path)).collect()
+    if name == "batched_mahalanobis_k2":
+        first = max(pool, key=lambda i: far(i, lab)[0])
+        y[first] = far(first, lab)[1]
+        second = max((i for i in pool if i != first), key=lambda i: far(i, [*lab, first])[0])
+        assert [r["vec_id"] for r in sorted(rows)] == [first, second]
+        return
+    for r in rows:
+        i, want = r["vec_id"], 0.0
+        if name == "gmm_density":
+            for c in (0, 1):
+                z = x[[k for k in lab if y[k] == c]]
+                cov, d = np.cov(z.T), x[i] - z.mean(0)
+                want += np.exp((-0.5 * d @ np.linalg.inv(cov) @ d - 0.5 * (6 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1])) / 768) * len(z) / len(lab)
+        elif name == "mahalanobis_centroids_whole":
+            want = far(i, lab)[0]
+        else:
+            d = x[i] - x[lab].mean(0)
+            want = np.sqrt(d @ np.linalg.inv(np.cov(x[lab].T)) @ d)
+        assert next(v for k, v in r.asDict().items() if k != "vec_id") == pytest.approx(want, rel=1e-4)
+
+
 def test_empty_class_is_infinitely_far(data):
     _, lab, pool = data
     rows = density.centroids(lab, "label", "v", [0, 1, 2, 7]).collect()
