@@ -106,11 +106,11 @@ def idds_top(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector:
 def k_center(pool: DataFrame, centres: DataFrame, n: int, id_col: str, vector: str, digits: int = 9) -> Picks:
     """Farthest first: each pick is the row farthest from all centres and picks. Every row keeps its distance to the
     nearest centre, so a pick costs one distance a row; the column is checkpointed where the session can."""
-    x = doubles(F.col(vector))
-    given = [r[0] for r in centres.select(x).collect()]  # centres are few: they are chosen rows
-    far = F.least(*[squared_distance(x, literal_vector(c)) for c in given], F.lit(float("inf"))) if given else F.lit(float("inf"))
-    rows = pool.select(id_col, x.alias("_x"), far.alias("_d"))
-    rows = _kept(rows)
+    from .neighbours import centre_distance
+
+    vectors = pool.select(id_col, doubles(F.col(vector)).alias("_x"))
+    far = centre_distance(vectors, centres.select(id_col, F.col(vector).alias("_x")), id_col, "_x")
+    rows = _kept(far.select(id_col, "_x", (F.col("distance") * F.col("distance")).alias("_d")))
     picks = Picks()
     for _ in range(n):
         left = rows.where(~F.col(id_col).isin(picks.ids)) if picks.ids else rows

@@ -156,8 +156,13 @@ def nearest_centroid(spark, d):  # noqa: ANN001, ANN201
 @query("min_center_distance", f"with {VECTORS} select p.vec_id, round(min(list_distance(p.embedding, l.embedding)), 6) as distance from pool p cross join (select * from lab where vec_id < 100) l group by p.vec_id")
 def min_center_distance(spark, d):  # noqa: ANN001, ANN201
     lab, pool = split_vectors(spark, d)
-    centres = [r[0] for r in lab.where("vec_id < 100").select("embedding").collect()]
-    return neighbours.centre_distance(pool, centres, "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+    return neighbours.centre_distance(pool, lab.where("vec_id < 100"), "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("min_center_distance_all", ORACLES["min_center_distance"].replace("(select * from lab where vec_id < 100)", "lab"))
+def min_center_distance_all(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = split_vectors(spark, d)
+    return neighbours.centre_distance(pool, lab, "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 def _mahalanobis_sql(tail: str) -> str:
@@ -284,6 +289,12 @@ def kcenter_k5(spark, d):  # noqa: ANN001, ANN201
     return _picks(spark, greedy.k_center(pool, lab.where("vec_id < 50"), 5, "vec_id", "embedding"))
 
 
+@query("kcenter_k5_all", ORACLES["kcenter_k5"].replace("b.vec_id < 50 and ", ""))
+def kcenter_k5_all(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = split_vectors(spark, d)
+    return _picks(spark, greedy.k_center(pool, lab, 5, "vec_id", "embedding"))
+
+
 @query("kmeans_pp_k5")
 def kmeans_pp_k5(spark, d):  # noqa: ANN001, ANN201
     return _picks(spark, greedy.k_means_pp(split_vectors(spark, d)[1], 5, "vec_id", "embedding", 3))

@@ -29,3 +29,9 @@ def test_query_matches_sql(spark, name):
     assert sorted(a) == sorted(b)
     norm = lambda f: sorted(tuple("-" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{float(v):.5f}" if not isinstance(v, str) else v for v in r) for r in f[sorted(f)].itertuples(index=False))
     assert norm(a) == norm(b)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["min_center_distance_all", "kcenter_k5_all"])
+def test_all_labelled_rows_are_centres(spark, name):
+    test_query_matches_sql(spark, name)
