@@ -80,6 +80,12 @@ def test_average_linkage():
     assert neighbours.average_linkage(x, 3).tolist() == [0, 0, 1, 1, 2]
 
 
+def test_late_groups_have_a_cluster(spark):
+    lab = spark.createDataFrame([(i, [float(i >= 2000) * 50, i % 7 / 10]) for i in range(2010)], "id long, v array<double>")
+    got = neighbours.cluster_pool(lab, lab.where("id in (5, 2005)"), 2, "id", "v").collect()
+    assert len({r["cluster"] for r in got}) == 2 and max(r["distance"] for r in got) < 1
+
+
 def test_mahalanobis(data):
     x, lab, pool = data
     y = np.arange(40) % 3
