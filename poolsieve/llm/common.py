@@ -5,21 +5,26 @@ from __future__ import annotations
 import ctypes
 import sys
 import tempfile
+import time
 import uuid
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_trimmed = [0.0]
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests in
-    one process) a temporary folder is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder is set if
+    driver and executors are one process (``local`` masters); on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="poolsieve-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -27,18 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def trim() -> None:
-    """Gives memory that this Python process has freed back to the system: workers outlive their tasks."""
+def trim(every: float = 0.25) -> None:
+    """Gives memory that this Python process has freed back to the system, at most once in ``every`` seconds: workers
+    outlive their tasks. Arrow's buffers come from the system's allocator, which can give them back."""
+    if (now := time.monotonic()) - _trimmed[0] < every:
+        return
+    if not _trimmed[0]:
+        pa.set_memory_pool(pa.system_memory_pool())
+    _trimmed[0] = now
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts reach Python in batches of ``rows`` at most: the default of 10,000 holds tens of megabytes several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def modest_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Texts reach Python in batches of ``rows`` and of some ``size`` bytes at most, for the rest of the session: the default
+    of 10,000 rows holds tens of megabytes several times over. Results do not depend on it."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key)).strip().lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,35 +74,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: rows (id, root), root the smallest id of the component.
 
-    Ids without a link are not in the result. Every pass connects the neighbours of each id to the
-    smallest id near it (a shuffle that combines on the map side, then a join that adaptive execution
-    can split where one id has most links), until nothing changes. Passes grow with the logarithm of a
-    component's diameter. Null ids and self-links are ignored.
+    Ids are of any type that has an order. Those without a link are not in the result; null ids and self-links are ignored. Every pass connects the
+    neighbours of each id to the smallest id near it (a shuffle that combines on the map side, then a join that adaptive execution
+    can split where one id has most links), until all links are stars about the smallest id. Passes grow with the logarithm of a
+    component's diameter; links that are stars already take one aggregation.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # cut: both sides of the join are then shuffled for it, and a hot id can be split
-        least = cut(least)
-        joined = both.join(least, "u")
+        near = both.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+        # a centre has larger neighbours only, any other id has one, smaller
+        star = (F.col("least") > F.col("u")) | ((F.col("most") < F.col("u")) & (F.col("least") == F.col("most")))
+        odd = Observation()
+        near = near.observe(odd, F.count(F.when(~star, 1)).alias("n"))
+        # written: both sides of the join are then shuffled for it, and a hot id can be split
+        near = stored(near.select("u", F.least("u", "least").alias("m")), "near")
+        if not odd.get["n"]:
+            return near.select(F.col("u").alias("id"), F.col("m").alias("root"))
+        joined = both.join(near, "u")
         # each neighbour of u, and u itself, hangs on the smallest id near u
         grown = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(
-            least.select("u", F.col("m").alias("v"))
-        )
-        edges = cut(grown.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("id"), "root").union(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct().join(
-            edges.select(F.col("u").alias("id")).distinct(), "id", "left_anti"
+            near.select("u", F.col("m").alias("v"))
         )
-    )
+        edges = stored(grown.where("u <> v").distinct(), "edges")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

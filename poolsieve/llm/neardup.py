@@ -5,12 +5,12 @@ of their weighted Jaccard similarity. BANDS bands of ROWS samples are keys; docu
 candidates, and are compared by their exact weighted Jaccard similarity. At a similarity of 0.8 a pair is a candidate
 with probability 1 - (1 - 0.8^3)^10 = 0.9992, at 0.85 with 0.9999.
 
-Equal texts are settled first, by their digests; only one of them goes on. Documents that share a key are
-compared within groups of GROUP at most: a larger bucket is dealt into groups, each with the bucket's
-first document as well. After that the bucket's documents that are not connected with its largest component are
-compared with all others of the bucket, in pairs of blocks: every pair of a bucket is connected by links or compared.
-A pair whose documents are connected already is not tested, so a large group of copies is done once its documents hang
-together; a large bucket of unlike documents takes work by its square, dealt over many tasks.
+Equal texts are settled first, by their SHA-256; only one of them goes on. All documents of a key are compared in one pass over all bands: a key
+with many documents, or many bytes of text, is dealt into parts, each with the same few leads of the key as well. Documents that
+a part connects with the leads' main component are connected with each other, whatever their part. Each of the
+rest is then compared with all documents of the key, in pairs of blocks. So every pair of a key is connected by links or compared;
+a pair that is connected already is not tested. A large group of copies is done once its documents hang
+together; a key of many unlike documents takes work by the number of these times the number of its documents, dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -27,11 +27,10 @@ from . import common, shingles
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 HASHES = BANDS * ROWS
-GROUP = 64
-#: Documents of a side in a pair of blocks.
-BLOCK = 128
-#: So many ids at most are broadcast (some 80 bytes each).
-FEW = 50_000
+#: Documents, and bytes of text, that a part of a key has about; and leads that come into each of its parts.
+PART, PART_BYTES, LEADS = 56, 4 << 20, 8
+#: Documents, and bytes, of a side in a pair of blocks.
+BLOCK, BLOCK_BYTES = 128, 8 << 20
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -87,8 +86,8 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def similar(texts: list[bytes], idf: np.ndarray, threshold: float = SIMILARITY, root: np.ndarray | None = None, apart: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of texts with a weighted Jaccard similarity of ``threshold`` or more.
+def similar(texts: list[bytes], idf: np.ndarray, threshold: float = SIMILARITY, root: np.ndarray | None = None, apart: int = 0) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the pairs of texts with a weighted Jaccard similarity of ``threshold`` or more, and each text's root then.
     Texts without words have none. Texts of the same ``root`` are connected already; with ``apart``, only pairs of one of
     the first ``apart`` texts and one of the others are compared."""
     owner, h, w = (np.concatenate(x) for x in zip(*[(o + a, *rest) for a, b in shingles.groups(texts) for o, *rest in [shingles.weighted(texts[a:b], idf)]], strict=True))
@@ -104,18 +103,21 @@ def similar(texts: list[bytes], idf: np.ndarray, threshold: float = SIMILARITY,
         if not len(later) or not total[i]:
             continue
         mine, weight = h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]].astype(np.float64)
-        at = np.minimum(np.searchsorted(mine, sorted_h), len(mine) - 1)
-        both = mine[at] == sorted_h
-        shared = np.bincount(sorted_owner[both], np.minimum(weight[at[both]], sorted_w[both]), len(texts))
-        for j in later.tolist():
-            if root[j] != root[i] and total[j] and shared[j] >= threshold * (total[i] + total[j] - shared[j]) - 1e-9:
+        # where each of its shingles is among all: those in sorted_h[lo:hi]
+        lo, hi = np.searchsorted(sorted_h, mine), np.searchsorted(sorted_h, mine, side="right")
+        each = hi - lo
+        at = np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        shared = np.bincount(sorted_owner[at], np.minimum(np.repeat(weight, each), sorted_w[at]), len(texts))
+        enough = (total > 0) & (shared >= threshold * (total[i] + total - shared) - 1e-9)
+        for j in later[enough[later]].tolist():
+            if root[j] != root[i]:
                 forest.append((i, j))
                 root[root == root[j]] = root[i]
-    return forest
+    return forest, root
 
 
 def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Rows (id, digest, keys) of rows (id, digest, text)."""
+    """Rows (id, digest, size, keys) of rows (id, digest, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,135 +130,158 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     made = band_keys(samples(owner, h, w)).tolist()
                     for i, k in zip(owner[np.flatnonzero(np.diff(owner, prepend=-1))].tolist(), made, strict=True):
                         keys[a + i] = k
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), sizes, pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "size", "keys"])
+            common.trim()
 
-    return docs.mapInArrow(sign, "id long, digest string, keys array<long>")
+    return docs.mapInArrow(sign, "id long, digest binary, size long, keys array<long>")
 
 
-def _texts_of(base: DataFrame, member: DataFrame) -> DataFrame:
-    """The texts of ``member``. Their ids go to every task while they are few, so that other texts are not shuffled."""
-    ids = member.select("id", "digest").distinct()
-    few = ids.limit(FEW + 1).count() <= FEW
-    return base.join(F.broadcast(ids), ["id", "digest"], "left_semi") if few else base
+#: What a comparison tells: a link of two documents, or a document that its key still has to compare with all others.
+FOUND = "kind int, key long, id long, mark long, id2 long, mark2 long"
+FOUND_ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("key", "id", "mark", "id2", "mark2"))])
+LINK, REST = 0, 1
 
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _found(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
 
 
-def _pairs(found: list[tuple[int, int]], ids: list[int]) -> pa.Table:
-    out = [(ids[i], ids[j]) for i, j in found if ids[i] != ids[j]]
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], schema=PAIRS)
+def _ordered(rows: pa.Table, first: str) -> tuple[list[int], list[int], list[int], list[bytes]]:
+    """(first, id, mark, text) of the documents of a group, those with ``first`` first, each once."""
+    flags, ids, marks = (rows.column(c).to_pylist() for c in (first, "id", "mark"))
+    order = sorted(range(len(ids)), key=lambda i: (not flags[i], ids[i], marks[i]))
+    order = [i for n, i in enumerate(order) if not n or (ids[i], marks[i]) != (ids[order[n - 1]], marks[order[n - 1]])]
+    column = rows.column("text").combine_chunks()
+    return *([x[i] for i in order] for x in (flags, ids, marks)), [column[i].as_buffer().to_pybytes() for i in order]
 
 
-def _verified(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Compares the documents of each group (key, part): rows (a, b) for links."""
-    shared = members.sparkSession.sparkContext.broadcast(idf)
+def _with_texts(member: DataFrame, base: DataFrame) -> DataFrame:
+    """``member`` (id, mark, any others) with texts; both are shuffled, or the smaller broadcast, as Spark finds by their sizes."""
+    return member.join(base.select("id", "mark", "text"), ["id", "mark"])
+
+
+def _compared(member: DataFrame, base: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Rows FOUND of the parts (key, part) of all keys."""
+    shared = member.sparkSession.sparkContext.broadcast(idf)
 
     def run(key, rows):  # noqa: ANN001, ANN202
-        ids, digests, leads = (rows.column(c).to_pylist() for c in ("id", "digest", "lead"))
-        order = sorted(range(len(ids)), key=lambda i: (not leads[i], ids[i], digests[i]))
-        order = [i for n, i in enumerate(order) if not n or (ids[i], digests[i]) != (ids[order[n - 1]], digests[order[n - 1]])]
-        column = rows.column("text").combine_chunks()
-        return _pairs(similar([column[i].as_buffer().to_pybytes() for i in order], shared.value, threshold), [ids[i] for i in order])
-
-    given = members.join(texts, ["id", "digest"]).select("key", "part", "id", "digest", "lead", "text")
-    return given.groupBy("key", "part").applyInArrow(run, "a long, b long")
-
-
-def _unsettled(large: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (key, i, kind, j, side, id, digest, root): pairs of blocks of each bucket (key, id, digest), side 0 from block i of
-    its documents outside the bucket's largest component, side 1 from block j of the same (kind 0, j >= i) or of the largest component (kind 1)."""
-    by_id = common.cut(common.components(links)).withColumnRenamed("root", "r")
-    member = large.join(by_id, "id", "left").select("key", "id", "digest", F.coalesce("r", "id").alias("root"))
-    member = common.cut(member)
-    sizes = member.groupBy("key", "root").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("root")).alias("o"))).alias("m"), F.sum("c").alias("n"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    most = most.where("n > m.c").select("key", (-F.col("m.o")).alias("main"), blocks(F.col("n") - F.col("m.c")).alias("ni"), blocks(F.col("m.c")).alias("nj"))
-    member = member.join(F.broadcast(most) if most.count() <= FEW else most, "key")
-    inside = F.col("root") == F.col("main")
-    own = F.pmod(F.xxhash64("id", "digest", F.lit(9)), F.when(inside, F.col("nj")).otherwise(F.col("ni"))).cast("int")
-    member = member.select("key", "id", "digest", "root", "ni", "nj", inside.alias("inside"), own.alias("own"))
+        common.trim()
+        leads, ids, marks, texts = _ordered(rows, "lead")
+        dealt = rows.column("dealt")[0].as_py()
+        n, root = sum(leads) if dealt else 0, None
+        if n:
+            # links between leads alone are the same in every part
+            among, own = similar(texts[:n], shared.value, threshold)
+            root = np.concatenate([own, np.arange(n, len(texts))])
+            roots, count = np.unique(own, return_counts=True)
+            main = int(roots[count.argmax()])
+        found, root = similar(texts, shared.value, threshold, root)
+        out = [(LINK, None, ids[i], marks[i], ids[j], marks[j]) for i, j in [*found, *(among if n else [])]]
+        if n:
+            own_part = key[1].as_py() == 0
+            out += [(REST, key[0].as_py(), ids[i], marks[i], None, None) for i in range(0 if own_part else n, len(ids)) if root[i] != root[main]]
+        return _found(out)
+
+    given = _with_texts(member, base).select("key", "part", "id", "mark", "lead", "dealt", "text")
+    return given.groupBy("key", "part").applyInArrow(run, FOUND)
+
+
+def _blocks(n: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+
+
+def _across(member: DataFrame, rest: DataFrame, base: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Rows FOUND (links) of each document in ``rest`` (key, id, mark) with all of its key, in pairs of blocks: side 0 from
+    block i of the rest, side 1 from block j of the rest (kind 0, j >= i) or of the others (kind 1), which are connected."""
+    shared = member.sparkSession.sparkContext.broadcast(idf)
+    rest = rest.withColumn("open", F.lit(True))
+    keys = rest.select("key").distinct()
+    own = member.join(keys, "key", "left_semi").join(rest, ["key", "id", "mark"], "left")
+    own = common.stored(own.select("key", "id", "mark", "size", F.col("open").isNotNull().alias("open")), "open")
+    how = lambda c: _blocks(F.count(F.when(c, 1)), F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)))
+    blocks = common.stored(own.groupBy("key").agg(F.greatest(how(F.col("open")), F.lit(1)).alias("ni"), how(~F.col("open")).alias("nj")), "blocks")
+    mine = F.pmod(F.xxhash64("id", "mark", F.lit(9)), F.when(F.col("open"), F.col("ni")).otherwise(F.greatest("nj", F.lit(1)))).cast("int")
+    own = own.join(blocks, "key").withColumn("mine", mine)
     at = lambda i, kind, j, side: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    own = F.col("own")
-    rest = F.concat(
-        F.transform(upto(F.col("nj")), lambda j: at(own, 1, j, 0)),
-        F.transform(F.sequence(own, F.col("ni") - 1), lambda j: at(own, 0, j, 0)),
-        F.transform(F.filter(upto(F.col("ni")), lambda i: i < own), lambda i: at(i, 0, own, 1)),
+    mine = F.col("mine")
+    meets = F.concat(
+        F.transform(F.when(F.col("nj") > 0, upto(F.col("nj"))).otherwise(F.array().cast("array<int>")), lambda j: at(mine, 1, j, 0)),
+        F.transform(F.sequence(mine, F.col("ni") - 1), lambda j: at(mine, 0, j, 0)),
+        F.transform(F.filter(upto(F.col("ni")), lambda i: i < mine), lambda i: at(i, 0, mine, 1)),
     )
-    where = F.when(F.col("inside"), F.transform(upto(F.col("ni")), lambda i: at(i, 1, own, 1))).otherwise(rest)
-    return member.select("key", F.explode(where).alias("w"), "id", "digest", "root").select("key", "w.*", "id", "digest", "root")
-
-
-def _across(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Compares the documents of each pair of blocks that are not connected: rows (a, b) for links."""
-    shared = members.sparkSession.sparkContext.broadcast(idf)
+    where = F.when(F.col("open"), meets).otherwise(F.transform(upto(F.col("ni")), lambda i: at(i, 1, mine, 1)))
 
     def run(key, rows):  # noqa: ANN001, ANN202
-        ids, digests, sides, roots = (rows.column(c).to_pylist() for c in ("id", "digest", "side", "root"))
-        order = sorted(range(len(ids)), key=lambda i: (sides[i], ids[i], digests[i]))
-        order = [i for n, i in enumerate(order) if not n or (ids[i], digests[i]) != (ids[order[n - 1]], digests[order[n - 1]])]
-        apart = sum(not sides[i] for i in order)
-        if not apart or (apart == len(order) and not (key[2].as_py() == 0 and key[1] == key[3])):
-            return _pairs([], [])
-        column = rows.column("text").combine_chunks()
-        found = similar([column[i].as_buffer().to_pybytes() for i in order], shared.value, threshold, np.array([roots[i] for i in order], np.int64), apart % len(order))
-        return _pairs(found, [ids[i] for i in order])
-
-    given = members.join(texts, ["id", "digest"]).select("key", "i", "kind", "j", "side", "id", "digest", "root", "text")
-    return given.groupBy("key", "i", "kind", "j").applyInArrow(run, "a long, b long")
+        common.trim()
+        zero, ids, marks, texts = _ordered(rows, "first")
+        apart = sum(zero)
+        if not apart or (apart == len(ids) and not (key[2].as_py() == 0 and key[1] == key[3])):
+            return _found([])
+        root = np.arange(len(ids))
+        if key[2].as_py() == 1:
+            root[apart:] = len(ids)
+        links, _ = similar(texts, shared.value, threshold, root, apart % len(ids))
+        return _found([(LINK, None, ids[i], marks[i], ids[j], marks[j]) for i, j in links])
+
+    given = _with_texts(own.select("key", F.explode(where).alias("w"), "id", "mark").select("key", "w.*", "id", "mark"), base)
+    given = given.select("key", "i", "kind", "j", (F.col("side") == 0).alias("first"), "id", "mark", "text")
+    return given.groupBy("key", "i", "kind", "j").applyInArrow(run, FOUND)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """Rows (id, class_id, kept, digest), one a row of ``docs``: the smallest id of the documents connected with it by
     links of ``threshold`` or more, or by equal texts; ``digest`` tells equal texts. Null text is empty; empty texts are equal to each other. A
-    row without an id has a null class and is kept; of rows with the same id, each has its own text's class."""
+    row without an id has a null class and is kept; of rows with the same id, each has its own text's class. Other columns, whatever
+    their names, are not read. An empty table gives none."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("digest", F.md5("text"))
+    # mark tells texts with one id apart
+    base = base.withColumn("digest", F.unhex(F.sha2(F.encode("text", "utf-8"), 256))).withColumn("mark", F.xxhash64("digest"))
     common.modest_batches(docs.sparkSession)
     idf = shingles.inverse_frequencies(base, "text")
-    rows = common.stored(signed(base.select("id", "digest", "text"), idf), "signed")
-    firsts = common.cut(rows.where("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("keys").alias("keys")))
-    bucket = firsts.select("id", "digest", F.explode("keys").alias("key"))
-    mark = F.xxhash64("id", "digest")
-    sets = bucket.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest")).alias("head"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("y"))
-    sets = sets.where("n > 1")
-    # buckets with the same documents are one
-    sets = common.cut(sets.groupBy("n", "head", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "head"))
-    links: DataFrame | None = None
-    if not sets.isEmpty():
-        member = bucket.join(sets, "key")
-        parts = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / (GROUP - 1))).otherwise(1).cast("int")
-        lead = (F.col("id") == F.col("head.id")) & (F.col("digest") == F.col("head.digest"))
-        member = member.select("key", "id", "digest", lead.alias("lead"), parts.alias("parts"), (F.col("n") > GROUP).alias("dealt"))
-        own = F.array(F.pmod(F.xxhash64("id", "digest", F.lit(8)), F.col("parts")).cast("int"))
-        where = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
-        member = common.cut(member.select("key", F.explode(where).alias("part"), "id", "digest", "lead", "dealt"))
-        links = common.stored(_verified(member, _texts_of(base, member), idf, threshold), "verified")
-        large = common.cut(member.where("dealt").select("key", "id", "digest").distinct())
-        if not large.isEmpty():
-            more = common.cut(_unsettled(large, links))
-            links = links.union(common.stored(_across(more, _texts_of(base, more), idf, threshold), "across"))
-    roots = firsts.select("digest", F.col("id").alias("class_id"))
-    if links is not None:
-        by_id = common.components(links.distinct())
-        roots = roots.join(by_id, roots["class_id"] == by_id["id"], "left").select("digest", F.coalesce("root", "class_id").alias("class_id"))
-    # both sides are shuffled, so that adaptive execution can split a text that most rows have
-    out = rows.select("id", "digest").join(common.cut(roots), "digest", "left")
+    rows = common.stored(signed(base.select("id", "digest", "text"), idf).withColumn("mark", F.xxhash64("digest")), "signed")
+    firsts = rows.where("id is not null").groupBy("digest", "mark").agg(F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+    firsts = common.stored(firsts, "firsts")
+    bucket = firsts.select("id", "mark", "size", F.explode("keys").alias("key"))
+    print_ = F.xxhash64("id", "mark")
+    sets = bucket.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor(print_).alias("x"), F.sum(F.pmod(print_, F.lit(1 << 40))).alias("y"), F.min(F.struct("id", "mark")).alias("head"))
+    # keys with the same documents are one
+    sets = sets.where("n > 1").groupBy("n", "s", "x", "y", "head").agg(F.min("key").alias("key"))
+    parts = F.when((F.col("n") > PART + LEADS) | (F.col("s") > PART_BYTES), F.least("n", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("s") / PART_BYTES)))).otherwise(1)
+    sets = common.stored(sets.select("key", "n", "head", parts.cast("int").alias("parts")), "sets")
+    member = bucket.join(sets, "key")
+    lead = ((F.col("id") == F.col("head.id")) & (F.col("mark") == F.col("head.mark"))) | (F.pmod(F.xxhash64("id", "mark", F.lit(6)), F.col("n")) < LEADS)
+    member = member.select("key", "id", "mark", "size", (lead & (F.col("parts") > 1)).alias("lead"), "parts")
+    member = common.stored(member, "member")
+    own = F.array(F.pmod(F.xxhash64("id", "mark", F.lit(8)), F.col("parts")).cast("int"))
+    where = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    dealt = member.select("key", F.explode(where).alias("part"), "id", "mark", "lead", (F.col("parts") > 1).alias("dealt"))
+    found = common.stored(_compared(dealt, base, idf, threshold), "compared")
+    links, rest = found.where(F.col("kind") == LINK), found.where(F.col("kind") == REST).select("key", "id", "mark")
+    if not rest.isEmpty():
+        links = links.union(common.stored(_across(member, rest, base, idf, threshold), "across"))
+    node = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("id"), F.col(b).alias("mark")))
+    by_node = common.components(links.select(node("id", "mark").alias("a"), node("id2", "mark2").alias("b")))
+    by_node = by_node.select(F.col("id.id").alias("id"), F.col("id.mark").alias("mark"), F.col("root.id").alias("root"))
+    roots = firsts.select("digest", "id", "mark").join(by_node, ["id", "mark"], "left").select("digest", F.coalesce("root", "id").alias("class_id"))
+    # written: both sides are then shuffled, so that adaptive execution can split a text that most rows have
+    out = rows.select("id", "digest").join(common.stored(roots, "roots"), "digest", "left")
     root = F.when(F.col("id").isNotNull(), F.col("class_id"))
     return out.select("id", root.alias("class_id"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), "digest")
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, any others) that stay: one of each class."""
-    found = common.cut(classes(docs, threshold=threshold).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")))
-    n, different = found.agg(F.count("*"), F.countDistinct(F.struct("_id", "_digest"))).first()
-    digest = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    one = found.distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(one["_id"]) & (digest == one["_digest"])
-    kept = docs.join(one, same, "left_semi")
-    return kept if n == different else kept.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` (doc_id, text, any others) that stay: one of each class, the one with the smallest id. Of rows that
+    share id and text one stays, whatever their other columns; rows without an id stay, one of each text."""
+    kept = classes(docs, threshold=threshold).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    found = common.stored(kept.groupBy("_id", "_digest").agg(F.count("*").alias("_n")), "kept")
+    digest = F.unhex(F.sha2(F.encode(F.coalesce(docs["text"].cast("string"), F.lit("")), "utf-8"), 256))
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (digest == found["_digest"])
+    stay = docs.join(found, same, "left_semi")
+    # without a row that is there twice, there is nothing to drop
+    return stay if found.where("_n > 1").isEmpty() else stay.dropDuplicates(["doc_id", "text"])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,7 +242,7 @@ def test_chains_in_one_large_bucket(spark, monkeypatch):
         words = [f"{w}{chain}" for w in prose(rng, "xx", 40 + 3 * 25).split()]
         out += [(ids.pop(), " ".join(words[3 * i : 3 * i + 40])) for i in range(25)]
     out += [(i, prose(rng, "yy", 40)) for i in ids]
-    monkeypatch.setattr(neardup, "signed", lambda docs, idf: docs.select("id", "digest", F.array(F.lit(1).cast("long")).alias("keys")))
+    monkeypatch.setattr(neardup, "signed", lambda docs, idf: docs.select("id", "digest", F.octet_length("text").cast("long").alias("size"), F.array(F.lit(1).cast("long")).alias("keys")))
     got = {r["id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(out, "doc_id long, text string")).collect()}
     want = dict(zip([i for i, _ in out], brute.near_classes(out), strict=True))
     assert got == want and len(set(want.values())) < 450
@@ -253,8 +253,23 @@ def test_near_edges(spark, docs, empty):
     got = neardup.classes(t).collect()
     assert len(got) == 7 and all(r["kept"] and r["class_id"] is None for r in got if r["id"] is None)
     assert neardup.classes(empty).count() == 0
-    kept = neardup.keep_one(docs.withColumn("_id", F.lit("clash")))
-    assert kept.columns == [*docs.columns, "_id"] and not {40, 41, 42, 50, 51} & {r["doc_id"] for r in kept.collect()}
+    clash = {c: F.lit("clash") for c in ("_id", "id", "digest", "mark", "key", "kept")}
+    kept = neardup.keep_one(docs.withColumns(clash))
+    assert kept.columns == [*docs.columns, *clash] and not {40, 41, 42, 50, 51} & {r["doc_id"] for r in kept.collect()}
+
+
+def test_near_repeated_ids_and_long_texts(spark):
+    """Each text of a repeated id has its own class; a very long text and its near copy, ties and repeated rows."""
+    rng = random.Random(8)
+    words = prose(rng, "xx", 200_000).split()
+    long, other = " ".join(words), " ".join([*words[:-1], "changed"])
+    rows = [(7, long), (9, other), (9, "one text of nine"), (3, "one text of nine"), (12, long), (12, long), (14, "alone")]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"], r["class_id"], r["kept"]) for r in neardup.classes(t).collect())
+    assert got == [(3, 3, True), (7, 7, True), (9, 3, False), (9, 7, False), (12, 7, False), (12, 7, False), (14, 14, True)]
+    assert sorted(r["doc_id"] for r in neardup.keep_one(t).collect()) == [3, 7, 14]
+    twice = neardup.keep_one(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, "a b")], "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0) for r in twice.collect()) == [0, 1]
 
 
 def test_consistent_samples_estimate_similarity():
