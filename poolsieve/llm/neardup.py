@@ -158,8 +158,8 @@ def _ordered(rows: pa.Table, first: str) -> tuple[list[int], list[int], list[int
 
 
 def _with_texts(member: DataFrame, base: DataFrame) -> DataFrame:
-    """``member`` (id, mark, any others) with texts; both are shuffled, or the smaller broadcast, as Spark finds by their sizes."""
-    return member.join(base.select("id", "mark", "text"), ["id", "mark"])
+    """``member`` (id, mark, any others) with their texts. Shuffled at any size: a document may be in many parts."""
+    return member.hint("merge").join(base, ["id", "mark"])
 
 
 def _compared(member: DataFrame, base: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -257,6 +257,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     member = common.stored(member, "member")
     own = F.array(F.pmod(F.xxhash64("id", "mark", F.lit(8)), F.col("parts")).cast("int"))
     where = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    # whole texts are shuffled once, to single out those of candidates; only these go on
+    wanted = member.select("id", "mark").distinct().hint("shuffle_hash")
+    base = common.stored(base.select("id", "mark", "text").join(wanted, ["id", "mark"], "left_semi"), "candidates")
     dealt = member.select("key", F.explode(where).alias("part"), "id", "mark", "lead", (F.col("parts") > 1).alias("dealt"))
     found = common.stored(_compared(dealt, base, idf, threshold), "compared")
     links, rest = found.where(F.col("kind") == LINK), found.where(F.col("kind") == REST).select("key", "id", "mark")
