@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers each; tens of megabytes.
+ROWS_A_FILE = 1_000_000
 _trimmed = [0.0]
 
 
@@ -60,11 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back. With ``rows``, about how many it has, it is written in two
+    files for each core of the cluster, or more where a file would have over ROWS_A_FILE: thousands of tiny files cost more than they hold."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    out = df if rows is None else df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+    out.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +85,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     component's diameter; links that are stars already take one aggregation.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    n = edges.count()
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         near = both.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
@@ -89,7 +95,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         odd = Observation()
         near = near.observe(odd, F.count(F.when(~star, 1)).alias("n"))
         # written: both sides of the join are then shuffled for it, and a hot id can be split
-        near = stored(near.select("u", F.least("u", "least").alias("m")), "near")
+        near = stored(near.select("u", F.least("u", "least").alias("m")), "near", 2 * n)
         if not odd.get["n"]:
             return near.select(F.col("u").alias("id"), F.col("m").alias("root"))
         joined = both.join(near, "u")
@@ -97,7 +103,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         grown = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(
             near.select("u", F.col("m").alias("v"))
         )
-        edges = stored(grown.where("u <> v").distinct(), "edges")
+        edges = stored(grown.where("u <> v").distinct(), "edges", 2 * n)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -192,16 +192,16 @@ def _blocks(n: Column, size: Column) -> Column:
     return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
 
 
-def _across(member: DataFrame, rest: DataFrame, base: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def _across(member: DataFrame, rest: DataFrame, base: DataFrame, idf: np.ndarray, threshold: float, n_docs: int) -> DataFrame:
     """Rows FOUND (links) of each document in ``rest`` (key, id, mark) with all of its key, in pairs of blocks: side 0 from
     block i of the rest, side 1 from block j of the rest (kind 0, j >= i) or of the others (kind 1), which are connected."""
     shared = member.sparkSession.sparkContext.broadcast(idf)
     rest = rest.withColumn("open", F.lit(True))
     keys = rest.select("key").distinct()
     own = member.join(keys, "key", "left_semi").join(rest, ["key", "id", "mark"], "left")
-    own = common.stored(own.select("key", "id", "mark", "size", F.col("open").isNotNull().alias("open")), "open")
+    own = common.stored(own.select("key", "id", "mark", "size", F.col("open").isNotNull().alias("open")), "open", n_docs)
     how = lambda c: _blocks(F.count(F.when(c, 1)), F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)))
-    blocks = common.stored(own.groupBy("key").agg(F.greatest(how(F.col("open")), F.lit(1)).alias("ni"), how(~F.col("open")).alias("nj")), "blocks")
+    blocks = common.stored(own.groupBy("key").agg(F.greatest(how(F.col("open")), F.lit(1)).alias("ni"), how(~F.col("open")).alias("nj")), "blocks", n_docs)
     mine = F.pmod(F.xxhash64("id", "mark", F.lit(9)), F.when(F.col("open"), F.col("ni")).otherwise(F.greatest("nj", F.lit(1)))).cast("int")
     own = own.join(blocks, "key").withColumn("mine", mine)
     at = lambda i, kind, j, side: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"), F.lit(side).alias("side"))
@@ -240,37 +240,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # mark tells texts with one id apart
     base = base.withColumn("digest", F.unhex(F.sha2(F.encode("text", "utf-8"), 256))).withColumn("mark", F.xxhash64("digest"))
     common.modest_batches(docs.sparkSession)
-    idf = shingles.inverse_frequencies(base, "text")
-    rows = common.stored(signed(base.select("id", "digest", "text"), idf).withColumn("mark", F.xxhash64("digest")), "signed")
-    firsts = rows.where("id is not null").groupBy("digest", "mark").agg(F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
-    firsts = common.stored(firsts, "firsts")
+    idf, n_docs = shingles.inverse_frequencies(base, "text")
+    rows = signed(base.select("id", "digest", "text"), idf).where("id is not null")
+    firsts = rows.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+    firsts = common.stored(firsts.withColumn("mark", F.xxhash64("digest")), "firsts", n_docs)
     bucket = firsts.select("id", "mark", "size", F.explode("keys").alias("key"))
     print_ = F.xxhash64("id", "mark")
     sets = bucket.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor(print_).alias("x"), F.sum(F.pmod(print_, F.lit(1 << 40))).alias("y"), F.min(F.struct("id", "mark")).alias("head"))
     # keys with the same documents are one
     sets = sets.where("n > 1").groupBy("n", "s", "x", "y", "head").agg(F.min("key").alias("key"))
     parts = F.when((F.col("n") > PART + LEADS) | (F.col("s") > PART_BYTES), F.least("n", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("s") / PART_BYTES)))).otherwise(1)
-    sets = common.stored(sets.select("key", "n", "head", parts.cast("int").alias("parts")), "sets")
-    member = bucket.join(sets, "key")
+    member = bucket.join(sets.select("key", "n", "head", parts.cast("int").alias("parts")), "key")
     lead = ((F.col("id") == F.col("head.id")) & (F.col("mark") == F.col("head.mark"))) | (F.pmod(F.xxhash64("id", "mark", F.lit(6)), F.col("n")) < LEADS)
     member = member.select("key", "id", "mark", "size", (lead & (F.col("parts") > 1)).alias("lead"), "parts")
-    member = common.stored(member, "member")
-    own = F.array(F.pmod(F.xxhash64("id", "mark", F.lit(8)), F.col("parts")).cast("int"))
-    where = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    member = common.stored(member, "member", n_docs)
     # whole texts are shuffled once, to single out those of candidates; only these go on
     wanted = member.select("id", "mark").distinct().hint("shuffle_hash")
-    base = common.stored(base.select("id", "mark", "text").join(wanted, ["id", "mark"], "left_semi"), "candidates")
+    texts = common.stored(base.select("id", "mark", "text").join(wanted, ["id", "mark"], "left_semi"), "candidates")
+    own = F.array(F.pmod(F.xxhash64("id", "mark", F.lit(8)), F.col("parts")).cast("int"))
+    where = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
     dealt = member.select("key", F.explode(where).alias("part"), "id", "mark", "lead", (F.col("parts") > 1).alias("dealt"))
-    found = common.stored(_compared(dealt, base, idf, threshold), "compared")
+    found = common.stored(_compared(dealt, texts, idf, threshold), "compared")
     links, rest = found.where(F.col("kind") == LINK), found.where(F.col("kind") == REST).select("key", "id", "mark")
     if not rest.isEmpty():
-        links = links.union(common.stored(_across(member, rest, base, idf, threshold), "across"))
+        links = links.union(common.stored(_across(member, rest, texts, idf, threshold, n_docs), "across"))
     node = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("id"), F.col(b).alias("mark")))
     by_node = common.components(links.select(node("id", "mark").alias("a"), node("id2", "mark2").alias("b")))
     by_node = by_node.select(F.col("id.id").alias("id"), F.col("id.mark").alias("mark"), F.col("root.id").alias("root"))
     roots = firsts.select("digest", "id", "mark").join(by_node, ["id", "mark"], "left").select("digest", F.coalesce("root", "id").alias("class_id"))
-    # written: both sides are then shuffled, so that adaptive execution can split a text that most rows have
-    out = rows.select("id", "digest").join(common.stored(roots, "roots"), "digest", "left")
+    # both sides are shuffled for this join, so that adaptive execution can split a text that most rows have
+    out = base.select("id", "digest").join(roots, "digest", "left")
     root = F.when(F.col("id").isNotNull(), F.col("class_id"))
     return out.select("id", root.alias("class_id"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), "digest")
 
@@ -279,7 +278,7 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any others) that stay: one of each class, the one with the smallest id. Of rows that
     share id and text one stays, whatever their other columns; rows without an id stay, one of each text."""
     kept = classes(docs, threshold=threshold).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
-    found = common.stored(kept.groupBy("_id", "_digest").agg(F.count("*").alias("_n")), "kept")
+    found = common.stored(kept.groupBy("_id", "_digest").agg(F.count("*").alias("_n")), "kept", 0)
     digest = F.unhex(F.sha2(F.encode(F.coalesce(docs["text"].cast("string"), F.lit("")), "utf-8"), 256))
     same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (digest == found["_digest"])
     stay = docs.join(found, same, "left_semi")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WORDS = 5
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -121,8 +123,8 @@ def weighted(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), (count * v[order[head]]).astype(np.float32)
 
 
-def inverse_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
-    """idf of each bucket, over all rows of ``docs``. Tasks send sums of a fixed size, added up by range of buckets."""
+def inverse_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """idf of each bucket, over all rows of ``docs``, and their number. Tasks send sums of a fixed size, added up by range of buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
@@ -133,6 +135,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
                 doc, word = words_of(texts[a:b])
                 seen = np.unique((doc.astype(np.uint64) << np.uint64(BUCKET_BITS)) | (word >> np.uint64(64 - BUCKET_BITS)))
                 total += np.bincount((seen & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            common.trim()
         if n:
             parts = [total[i : i + CHUNK] for i in range(0, BUCKETS, CHUNK)]
             parts = [p.astype(np.int32 if p.max() < 1 << 31 else np.int64).tobytes() for p in parts]
@@ -147,6 +150,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "part int, counts binary")
     found = {r[0]: np.frombuffer(r[1], np.int64) for r in counted.groupBy("part").applyInArrow(add, "part int, counts binary").collect()}
     if not found:
-        return np.ones(BUCKETS, np.float32)
+        return np.ones(BUCKETS, np.float32), 0
     df = np.concatenate([found[i] for i in range(BUCKETS // CHUNK)])
-    return (1 + np.log((found[-1][0] + 1) / (df + 1))).astype(np.float32)
+    n = int(found[-1][0])
+    return (1 + np.log((n + 1) / (df + 1))).astype(np.float32), n
