@@ -36,27 +36,23 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """A role is one line: backslash and newline are escaped."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """A role is one line: backslashes and newlines become \\e and \\n, so that each backslash is followed by e or n."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\e")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\e"), F.lit("\\"))
 
 
 def log_of_turns(rows: DataFrame) -> DataFrame:
     """A log of a table (conv_id, turn, role, text): one ``message`` event a row. Rows that share a turn,
     repeated rows included, are messages of their own, in order of role and text."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows.select(
-        F.col("conv_id").cast("long"),
-        F.row_number().over(order).cast("long").alias("seq"),
-        F.row_number().over(order).cast("long").alias("turn"),
-        F.lit("message").alias("kind"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    # cast first: all later steps then keep the rows where this shuffle has put them
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", text("role"), text("text"))
+    rows = rows.withColumn("seq", F.row_number().over(order).cast("long"))
+    return rows.select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "role", "text")
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -84,20 +80,19 @@ def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:
         <|im_start|>ROLE newline TEXT<|im_end|> newline
 
     with control strings in ROLE and TEXT escaped by ``escape``. A conversation is one output row, so its
-    messages meet in one task; nothing larger does.
+    messages meet in one task; nothing larger does. Places are running sums over its rows: the work is linear in its messages.
+    Other columns are not read; an empty table gives none.
     """
-    parts = F.struct(F.col("turn").alias("turn"), escape_role(F.col("role")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == trained_role).alias("loss"))
-    conv = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(parts)).alias("m"))
-    formatted = F.expr(f"array_join(transform(m, x -> concat('{START}', x.head, '\\n', x.body, '<|im_end|>\\n')), '')")
-    # positions: running sums over messages, then the spans of trained ones
-    over = len(START) + 1 + len(END)
-    steps = F.expr(
-        f"""aggregate(m, struct(cast(0 as bigint) as at, cast(array() as array<struct<start: bigint, length: bigint>>) as spans),
-        (a, x) -> struct(a.at + {over} + char_length(x.head) + char_length(x.body) as at,
-                         case when x.loss then array_append(a.spans, struct(a.at + {len(START) + 1} + char_length(x.head) as start, cast(char_length(x.body) as bigint) as length)) else a.spans end as spans),
-        a -> a.spans)"""
-    )
-    return conv.select("conv_id", formatted.alias("formatted"), steps.alias("loss_spans"))
+    whole = F.concat(F.lit(START), F.col("head"), F.lit("\n"), F.col("body"), F.lit(END))
+    m = messages.select("conv_id", "turn", escape_role(F.col("role")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == trained_role).alias("loss"))
+    m = m.withColumn("whole", whole).withColumn("length", F.char_length("body").cast("long"))
+    upto = Window.partitionBy("conv_id").orderBy("turn", "head", "body", "loss").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.sum(F.char_length("whole").cast("long")).over(upto)
+    m = m.withColumn("start", ends - len(END) - F.col("length"))
+    parts = F.array_sort(F.collect_list(F.struct("start", "length", "loss", "whole")))
+    conv = m.groupBy("conv_id").agg(parts.alias("m"))
+    spans = F.transform(F.filter("m", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return conv.select("conv_id", F.array_join("m.whole", "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse(rendered: DataFrame) -> DataFrame:
@@ -109,8 +104,11 @@ def parse(rendered: DataFrame) -> DataFrame:
             unescape(F.regexp_extract(x, r"(?s)\A<\|im_start\|>([^\n]*)\n(.*)\z", 2)).alias("text"),
         ),
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    return rendered.withColumn("turns", turns).withColumn("loss_text", loss)
+    # code points of four bytes each: a span is found without counting from the start. Each slice is read behind a byte order mark of its own
+    wide = F.array(F.encode("formatted", "UTF-32"))
+    piece = lambda u, s: F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), F.substring(u, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int"))), "UTF-32")
+    loss = F.transform(wide, lambda u: F.array_join(F.transform("loss_spans", lambda s: unescape(piece(u, s))), ""))
+    return rendered.withColumn("turns", turns).withColumn("loss_text", F.element_at(loss, 1))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,12 @@ joined to its sources, each source has a quota. The cheapest flow of the largest
 words of each pattern go to each source; documents are then selected in a seeded order until a pattern's
 words are reached. Reruns agree: order and ties depend on document ids and the seed only.
 
-Only the table of patterns reaches the driver: one row for each distinct membership, limited by
-``MAX_PATTERNS`` (an error beyond it); documents stay in the cluster.
+Only the table of patterns reaches the driver, one row for each distinct membership, whatever the number of documents: flows
+are found for 100,000 patterns in seconds. Documents stay in the cluster.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_PATTERNS = 100_000
 MAX_COPIES = 3
 #: Hash ranges that a pattern's documents are counted in; only the range that a selection ends in is sorted.
 RANGES = 1024
@@ -53,104 +51,133 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float] | Non
     return out
 
 
-def min_cost_flow(arcs: list[tuple[int, int, int, int]], source: int, sink: int, nodes: int) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost >= 0) of the cheapest flow of the largest value, by
-    successive shortest paths with potentials."""
-    out: list[list[int]] = [[] for _ in range(nodes)]
-    to, room, cost = [], [], []
-    for a, b, capacity, c in arcs:
-        out[a].append(len(to))
-        out[b].append(len(to) + 1)
-        to += [b, a]
-        room += [capacity, 0]
-        cost += [c, -c]
-    potential = [0] * nodes
-    while True:
-        far: list[float] = [float("inf")] * nodes
-        far[source], by, queue = 0, [-1] * nodes, [(0, source)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > far[a]:
-                continue
-            for e in out[a]:
-                if room[e] and (n := d + cost[e] + potential[a] - potential[to[e]]) < far[to[e]]:
-                    far[to[e]], by[to[e]] = n, e
-                    heapq.heappush(queue, (n, to[e]))
-        if far[sink] == float("inf"):
-            return [room[2 * i + 1] for i in range(len(arcs))]
-        potential = [p + (d if d < float("inf") else far[sink]) for p, d in zip(potential, far, strict=True)]
-        path, at = [], sink
-        while at != source:
-            path.append(by[at])
-            at = to[by[at] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
+class Network:
+    """A flow network whose flow grows: ``augment`` adds the largest further flow that its arcs have room for, by blocking
+    flows on the levels of shortest paths."""
+
+    def __init__(self, nodes: int) -> None:
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        """Number of a new arc; the flow on arc e is ``room[e ^ 1]``."""
+        e = len(self.to)
+        self.to += [b, a]
+        self.room += [room, 0]
+        self.out[a].append(e)
+        self.out[b].append(e + 1)
+        return e
+
+    def _levels(self, source: int, sink: int) -> list[int]:
+        level, at = [-1] * len(self.out), [source]
+        level[source] = 0
+        while at and level[sink] < 0:
+            after = []
+            for a in at:
+                for e in self.out[a]:
+                    if self.room[e] and level[self.to[e]] < 0:
+                        level[self.to[e]] = level[a] + 1
+                        after.append(self.to[e])
+            at = after
+        return level
+
+    def augment(self, source: int, sink: int) -> None:
+        while (level := self._levels(source, sink))[sink] >= 0:
+            nth, path = [0] * len(self.out), []
+            at = source
+            while True:
+                if at == sink:
+                    amount = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= amount
+                        self.room[e ^ 1] += amount
+                    # back to before the first arc without room
+                    keep = next(i for i, e in enumerate(path) if not self.room[e])
+                    at = self.to[path[keep] ^ 1]
+                    del path[keep:]
+                    continue
+                arcs = self.out[at]
+                while nth[at] < len(arcs) and not (self.room[e := arcs[nth[at]]] and level[self.to[e]] == level[at] + 1):
+                    nth[at] += 1
+                if nth[at] < len(arcs):
+                    path.append(arcs[nth[at]])
+                    at = self.to[path[-1]]
+                elif path:
+                    at = self.to[path.pop() ^ 1]
+                    nth[at] += 1
+                else:
+                    break
 
 
 def route(patterns: list[tuple[tuple, int]], quotas: dict[str | None, float], most: int = MAX_COPIES) -> list[dict]:
-    """For each (membership, size), the words it gives to each of its sources."""
-    names = list(quotas)
-    place = {s: len(patterns) + 1 + i for i, s in enumerate(names)}
-    sink = len(patterns) + len(names) + 1
-    arcs, links = [], []
-    for p, (members, size) in enumerate(patterns, 1):
-        arcs += [(0, p, size, copy) for copy in range(1, most + 1)]
-        for s in members:
-            links.append((p - 1, s, len(arcs)))
-            arcs.append((p, place[s], most * size, 0))
-    arcs += [(place[s], sink, round(quotas[s]), 0) for s in names]
-    flow = min_cost_flow(arcs, 0, sink, sink + 1)
-    given: list[dict] = [{} for _ in patterns]
-    for p, s, arc in links:
-        given[p][s] = flow[arc]
-    return given
+    """For each (membership, size), the words it gives to each of its sources: the cheapest flow of the largest value.
+
+    Only copies cost, and a path that begins with an n-th copy costs n, so shortest paths come in order of n: the flow is first made as
+    large as first copies allow, then second copies are added to the room of each pattern, and so on."""
+    place = {s: len(patterns) + 2 + i for i, s in enumerate(quotas)}
+    net = Network(len(patterns) + len(quotas) + 2)
+    source, sink = len(patterns), len(patterns) + 1
+    for s, quota in quotas.items():
+        net.arc(place[s], sink, round(quota))
+    links = [[(s, net.arc(p, place[s], most * size)) for s in members] for p, (members, size) in enumerate(patterns)]
+    gives = [net.arc(source, p, 0) for p in range(len(patterns))]
+    for _ in range(most):
+        for e, (_, size) in zip(gives, patterns, strict=True):
+            net.room[e] += size
+        net.augment(source, sink)
+    return [{s: net.room[e ^ 1] for s, e in own} for own in links]
+
+
+RESULTS = ("source_size", "target", "copies", "taken")
 
 
 def mix(sized: DataFrame, weights: dict[str | None, float] | None = None, most: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """Rows of ``sized`` (doc_id, size, members: array of source names, one of them may be null) with
-    ``source_size``, ``target`` (of the first member), ``copies`` and ``taken`` = copies x size.
+    """Rows of ``sized`` (doc_id, size, members: array of source names, one of them may be null, any others) with
+    ``source_size``, ``target`` (of the first member by code point), ``copies`` and ``taken`` = copies x size.
 
     Documents of size 0 are taken 0 times. A pattern that gives f of its z words has f div z copies of all
     its documents; the rest is filled by documents in order of a seeded hash, the last of them where this
     comes nearer. Hash ranges are summed first, so no pattern's documents meet in one task.
-    A null ``members`` is the null source; equal rows are documents of their own; an empty table gives none.
+    A null ``members`` is the null source; the order of members does not matter; equal rows are documents of their own; other columns stay as
+    they are, whatever their names, but for those named like the results, which are replaced; an empty table gives none.
     """
     spark = sized.sparkSession
-    members = F.array_distinct(F.coalesce("members", F.array(F.lit(None).cast("string"))))
+    members = F.array_sort(F.array_distinct(F.coalesce("members", F.array(F.lit(None).cast("string")))))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    sized = sized.withColumns({"members": members, "mark": order, "range": F.shiftrightunsigned(order, 54).cast("int")})
-    sized = sized.withColumn("pattern", F.to_json("members"))
-    ranges = common.cut(sized.groupBy("pattern", "range").agg(F.sum("size").alias("z")))
-    found = ranges.groupBy("pattern").agg(F.sum("z").alias("z")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge sources first")
-    patterns = sorted(((tuple(json.loads(r["pattern"])), r["z"] or 0) for r in found), key=lambda x: [(s is None, s or "") for s in x[0]])
+    own = F.struct(*[F.col(f"`{c}`") for c in sized.columns if c not in RESULTS]).alias("row")
+    rows = sized.select(own, F.to_json(members).alias("pattern"), order.alias("mark"), F.shiftrightunsigned(order, 54).cast("int").alias("range"), F.col("size").cast("long").alias("size"), F.col("doc_id").alias("doc"))
+    ranges = common.stored(rows.groupBy("pattern", "range").agg(F.sum("size").alias("z")), "ranges", 0)
+    found = ranges.groupBy("pattern").agg(F.sum("z").alias("z")).collect()
+    # the key of a pattern is as Spark spells it
+    read = lambda key: tuple(json.loads(key))
+    patterns = sorted(((read(r["pattern"]), r["z"] or 0, r["pattern"]) for r in found), key=lambda x: [(s is None, s or "") for s in x[0]])
     sizes: dict[str | None, int] = {}
-    for names, z in patterns:
+    for names, z, _ in patterns:
         for s in names:
             sizes[s] = sizes.get(s, 0) + z
     quotas = targets(sizes, weights, most)
-    if sum(sizes.values()) > (whole := sum(z for _, z in patterns)):  # shared text counts once
+    if sum(sizes.values()) > (whole := sum(z for _, z, _ in patterns)):  # shared text counts once
         quotas = {s: q * whole / sum(sizes.values()) for s, q in quotas.items()}
-    rows = []
-    for (names, z), g in zip(patterns, route(patterns, quotas, most), strict=True):
+    plan_rows = []
+    for (names, z, key), g in zip(patterns, route([x[:2] for x in patterns], quotas, most), strict=True):
         copies, rest = divmod(sum(g.values()), z) if z else (0, 0)
-        rows.append((json.dumps(list(names), ensure_ascii=False, separators=(",", ":")), sizes[names[0]], float(quotas[names[0]]), copies, rest))
-    plan = spark.createDataFrame(rows, "pattern string, source_size long, target double, base int, rest long")
+        plan_rows.append((key, sizes[names[0]], float(quotas[names[0]]), copies, rest))
+    plan = spark.createDataFrame(plan_rows, "pattern string, source_size long, target double, base long, rest long")
     # the range in which the selection ends: ranges before it are taken, later ones are not, it is sorted
     before = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
-    ends = ranges.withColumn("before", F.coalesce(F.sum("z").over(before), F.lit(0))).join(F.broadcast(plan), "pattern")
+    ends = ranges.withColumn("before", F.coalesce(F.sum("z").over(before), F.lit(0))).join(plan.select("pattern", "rest"), "pattern")
     ends = ends.where("before < rest").groupBy("pattern").agg(F.max(F.struct("range", "before")).alias("end"))
-    plan = plan.join(ends, "pattern", "left").select("pattern", "source_size", "target", "base", "rest", "end.range", "end.before").withColumnRenamed("range", "last")
-    rows_ = sized.join(F.broadcast(common.cut(plan)), "pattern")  # MAX_PATTERNS rows at most
-    inside = Window.partitionBy("pattern", "range").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sorted_ = rows_.where("range = last").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    plan = plan.join(ends, "pattern", "left").select("pattern", "source_size", "target", "base", "rest", F.col("end.range").alias("last"), F.col("end.before").alias("before"))
+    # written, so that its size is known: Spark broadcasts it where it is small, else it shuffles and splits hot patterns
+    planned = rows.join(common.stored(plan, "plan", 0), "pattern")
+    inside = Window.partitionBy("pattern", "range").orderBy("mark", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_ = planned.where("range = last").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     sorted_ = sorted_.withColumn("more", (F.col("at") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("at")
-    others = rows_.where("last is null or range <> last").withColumn("more", F.coalesce(F.col("range") < F.col("last"), F.lit(False)).cast("int"))
-    out = sorted_.unionByName(others).withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(F.lit(0)))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("mark", "range", "pattern", "base", "rest", "last", "before", "more")
+    others = planned.where("last is null or range <> last").withColumn("more", F.coalesce(F.col("range") < F.col("last"), F.lit(False)).cast("int"))
+    copies = F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(F.lit(0)).cast("int")
+    out = sorted_.unionByName(others).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("row.*", *RESULTS)
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
@@ -161,7 +188,8 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, any others) that the mix takes, each as often as it does."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text").cast("string")).alias("size"), F.array(F.col("source").cast("string")).alias("members"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text").cast("string")).alias("size"), F.array(F.col("source").cast("string")).alias("members"))
     taken = mix(rows).where("copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import xxhash
 
 
 def repeated_bytes(docs, length=50):
@@ -76,3 +77,62 @@ def vector_links(rows, threshold=0.9):
 
 def sha(x):
     return hashlib.sha256(x).hexdigest()
+
+
+def unit_flow(patterns, quotas, most=3):
+    """(value, cost) of the cheapest largest flow, a unit at a time along a cheapest path."""
+    names, p = list(quotas), len(patterns)
+    arcs = []  # from, to, room, cost, number of the reverse arc
+
+    def arc(a, b, room, cost):
+        arcs.append([a, b, room, cost, len(arcs) + 1])
+        arcs.append([b, a, 0, -cost, len(arcs) - 1])
+
+    for i, (members, size) in enumerate(patterns):
+        for c in range(1, most + 1):
+            arc("s", i, size, c)
+        for m in members:
+            arc(i, ("q", m), 10**9, 0)
+    for m in names:
+        arc(("q", m), "t", round(quotas[m]), 0)
+    value = cost = 0
+    while True:
+        far, by = {"s": 0}, {}
+        for _ in range(p + len(names) + 2):
+            for k, (a, b, room, c, _) in enumerate(arcs):
+                if room and a in far and far[a] + c < far.get(b, 10**9):
+                    far[b], by[b] = far[a] + c, k
+        if "t" not in far:
+            return value, cost
+        at = "t"
+        while at != "s":
+            a = arcs[by[at]]
+            a[2] -= 1
+            arcs[a[4]][2] += 1
+            at = a[0]
+        value, cost = value + 1, cost + far["t"]
+
+
+def mixed(docs, most=3):
+    """Sorted (id, size, source size, target, taken) of (id, text, source) rows, sources of a document each its own."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in docs]
+    names = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
+    of = {s: sum(z for z, d in zip(size, docs, strict=True) if d[2] == s) for s in names}
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, free, left = {}, list(names), float(sum(size))
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = [s for s in free if share[s] > most * of[s]]
+        target |= {s: most * of[s] for s in full} if full else share
+        free, left = [s for s in free if s not in full] if full else [], left - sum(most * of[s] for s in full)
+    # Spark's hash of several columns: each is hashed with the hash before it as the seed
+    mark = lambda i: xxhash.xxh64_intdigest((20).to_bytes(4, "little"), xxhash.xxh64_intdigest(str(i).encode(), 42))
+    out = []
+    for s in names:
+        copies, rest = divmod(min(round(target[s]), most * of[s]), of[s]) if of[s] else (0, 0)
+        at = 0
+        for k in sorted((k for k in range(len(docs)) if docs[k][2] == s), key=lambda k: (mark(docs[k][0]), docs[k][0], size[k])):
+            more = at < rest and at + size[k] / 2 <= rest
+            out.append((docs[k][0], size[k], of[s], round(float(target[s]), 6), (copies + more) * size[k]))
+            at += size[k]
+    return sorted(out)

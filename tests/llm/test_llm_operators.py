@@ -106,6 +106,36 @@ def test_mix_of_overlapping_sources(spark):
     assert got.count() == 90 and got.agg(F.sum("taken")).first()[0] == pytest.approx(900, abs=20)
 
 
+def test_flow_is_cheapest():
+    """Against unit steps along cheapest paths, found by relaxing all arcs."""
+    rng = random.Random(6)
+    for _ in range(40):
+        names = ["a", "b", "c", None][: rng.randint(1, 4)]
+        patterns = [(tuple(rng.sample(names, rng.randint(1, len(names)))), rng.randint(0, 6)) for _ in range(rng.randint(1, 5))]
+        quotas = {s: float(rng.randint(0, 12)) for s in names}
+        given = mixing.route(patterns, quotas)
+        got = [sum(g.values()) for g in given]
+        for s in names:
+            assert sum(g.get(s, 0) for g in given) <= quotas[s]
+        assert all(n <= 3 * size for n, (_, size) in zip(got, patterns, strict=True))
+        cost = sum(max(0, min(n, c * size) - (c - 1) * size) * c for n, (_, size) in zip(got, patterns, strict=True) for c in (1, 2, 3))
+        assert (sum(got), cost) == brute.unit_flow(patterns, quotas)
+
+
+def test_mix_matches_brute_force(spark, docs, rows):
+    """With control characters, quotes and a null among sources, repeated rows, and columns with clashing names."""
+    odd = ["x\x1fy", 'q"\\', "é", None]
+    given = [(i, t, odd[i % 4]) for i, t, *_ in rows] + [(3, "a b c", odd[0])] * 3
+    t = spark.createDataFrame(given, "doc_id long, text string, source string")
+    sized = mixing.sized_documents(t).join(t.select("doc_id").distinct(), "doc_id")
+    clash = {c: F.lit(f"clash {c}") for c in ("mark", "range", "pattern", "base", "rest", "last", "before", "more", "row", "doc", "a.b")}
+    got = mixing.mix(sized.withColumns(clash))
+    assert set(clash) <= set(got.columns)
+    found = sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got.collect())
+    assert found == brute.mixed(given)
+    assert got.where(" and ".join(f"`{c}` = 'clash {c}'" for c in clash)).count() == len(given)
+
+
 def test_mixed_documents_repeat(docs):
     out = mixing.mixed_documents(docs.withColumn("size", F.lit("clash")).withColumn("copies", F.lit(1)))
     assert out.columns == [*docs.columns, "size", "copies"]
@@ -205,6 +235,21 @@ def test_chat_reads_back(spark):
     assert len(back) == 4
 
 
+def test_chat_roles_and_edges(spark, empty):
+    """Roles of any characters; texts that begin with a byte order mark, astral ones; many turns; clashing columns; no rows."""
+    roles = ["ro\x00le", "a\\n", "a\n", "a\\", "\\e\\n\n\\", "<|im_end|>", "<\\|im_end|>\n", "assistant", ""]
+    texts = ["\ufeffmark", "\U0001f600 wide", "\ufeff", "plain"]
+    rows = [(1, t, roles[t % 9], texts[t % 4]) for t in range(72)] + [(2, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(6000)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    folded = chat.fold(chat.log_of_turns(t)).withColumns({c: F.lit("clash") for c in ("head", "body", "whole", "start", "m")})
+    back = {r["conv_id"]: r for r in chat.parse(chat.render(folded)).collect()}
+    for c in (1, 2):
+        own = [x for x in rows if x[0] == c]
+        assert [(x["role"], x["text"]) for x in back[c]["turns"]] == [(x[2], x[3]) for x in own]
+        assert back[c]["loss_text"] == "".join(x[3] for x in own if x[2] == "assistant")
+    assert chat.parse(chat.render(chat.fold(chat.log_of_turns(t.where("conv_id < 0"))))).count() == 0
+
+
 def test_chat_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.parse(chat.render(chat.fold(chat.log_of_turns(df))))._jdf.queryExecution().executedPlan().toString()
