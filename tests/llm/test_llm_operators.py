@@ -430,6 +430,20 @@ def test_vectors_edges(spark):
     assert sorted((r["id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(same).collect()) == [(3, 2, 3), (4, 2, 3), (4, 2, 3)]
 
 
+def test_vectors_of_one_id_and_of_other_widths(spark, monkeypatch):
+    """Rows with one id are vectors of their own; widths do not mix; blocks of a list meet."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8 + 8 * (i % 2)).tolist()) for i in range(160)]
+    rows += [(1000 + i, (np.array(rows[i % 2][1]) + rng.normal(size=8 + 8 * (i % 2)) * 0.05).tolist()) for i in range(80)]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {w: brute.vector_links([r for r in rows if len(r[1]) == w]) for w in (8, 16)}
+    assert got == want[8] | want[16] and got[1002][0] >= 39
+
+
 # packing
 
 
