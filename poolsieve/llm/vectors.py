@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = 0.9
-NEAREST, ENTERED = 8, 6
+NEAREST, ENTERED = 8, 4
 SHARED = 2
 APART = 0.7
 BLOCK = 2048
