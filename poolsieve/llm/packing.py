@@ -1,10 +1,11 @@
-"""Best-fit packing of token sequences, improved by swap-based local search.
+"""Best-fit packing of token sequences by swap-based local search.
 
 Each document is tokenized once; only its pieces' lengths (at most ``capacity`` values) matter for packing.
-So the histogram of lengths, not the pieces, goes to the driver: best fit and local search work on groups of
-equal bins (what they hold, how many), all bins of a group at once. Then each piece takes the next place of
+So the histogram of lengths, not the pieces, goes to the driver. Local search starts from a bin a piece and works on groups of
+equal bins (what they hold, how many), all bins of a group at once: a piece moves to the fullest bin it fits in, or is exchanged, one for one or two for one,
+wherever that raises the sum of squared fills, until bins are as few as they can be or no step helps. Then each piece takes the next place of
 its length: pieces are numbered within (length, salt), the salts' counts are summed, and a plan of the
-bins' places, whose size depends on the capacity and not on the number of pieces, is looked up.
+bins' places, whose size depends on the capacity and not on the number of pieces, is looked up. A piece as long as the capacity is a sequence of its own.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import json
 import unicodedata
 import zlib
 from array import array
-from bisect import insort
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from . import common
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of a length are numbered in so many independent parts.
-SALTS = 64
+#: Pieces of a length are numbered in independent parts of about so many.
+PART = 1_000_000
 #: Words whose ids a task remembers; others are worked out each time.
 REMEMBERED = 150_000
 
@@ -127,126 +128,177 @@ def pieces_of(docs: DataFrame, vocabulary: Callable[[], str], capacity: int = CA
     return cols.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-@dataclass(frozen=True)
-class Bin:
-    """What a bin holds: lengths, in falling order, with their numbers."""
-
-    held: tuple[tuple[int, int], ...]
-
-    @property
-    def fill(self) -> int:
-        return sum(n * k for n, k in self.held)
-
-    def changed(self, out: Counter, into: Counter) -> Bin:
-        held = Counter(dict(self.held))
-        held.subtract(out)
-        held.update(into)
-        assert min(held.values(), default=0) >= 0
-        return Bin(tuple(sorted(((n, k) for n, k in held.items() if k), reverse=True)))
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Bin]:
-    """Best-fit decreasing, for all pieces of a length at once: they go to the fullest bins that still take
-    one, as many in each as fit, then to new bins."""
-    bins: dict[int, Counter[Bin]] = defaultdict(Counter)
-    rooms: list[int] = []
-
-    def put(b: Bin, times: int) -> None:
-        room = capacity - b.fill
-        if room not in bins or not bins[room]:
-            bins[room] = Counter()
-            if room not in rooms:
-                insort(rooms, room)
-        bins[room][b] += times
-
-    for n in sorted(histogram, reverse=True):
-        left = histogram[n]
-        for room in [r for r in rooms if r >= n]:
-            fits = room // n
-            for b in list(bins[room]):
-                if not left:
-                    break
-                whole = min(bins[room][b], left // fits)
-                rest = left - whole * fits if whole < bins[room][b] else 0
-                for times, k in ((whole, fits), (1, rest)) if rest else ((whole, fits),):
-                    if times and k:
-                        bins[room][b] -= times
-                        put(b.changed(Counter(), Counter({n: k})), times)
-                        left -= times * k
-                if not bins[room][b]:
-                    del bins[room][b]
-        each = capacity // n
-        if left >= each:
-            put(Bin(((n, each),)), left // each)
-        if left % each:
-            put(Bin(((n, left % each),)), 1)
-    return sum(bins.values(), Counter())
-
-
-def _out(b: Bin) -> Iterator[Counter]:
-    """One or two pieces of a bin."""
-    sizes = [n for n, _ in b.held]
-    for n in sizes:
-        yield Counter({n: 1})
-    for i, (n, k) in enumerate(b.held):
-        if k > 1:
-            yield Counter({n: 2})
-        for m in sizes[i + 1 :]:
-            yield Counter({n: 1, m: 1})
-
-
-def local_search(bins: Counter[Bin], capacity: int, steps: int = 20_000) -> Counter[Bin]:
-    """Moves a piece, exchanges one for one, or two for one, between underfull bins, wherever that raises the sum of
-    squared fills, until no bin is empty that could be or no step helps. The emptiest bin gives, the
-    others, nearest to full first, take. Ends at once when the number of bins is the least possible."""
-    bins = Counter({b: k for b, k in bins.items() if k})
-    least = -(-sum(b.fill * k for b, k in bins.items()) // capacity)
-    for _ in range(steps):
-        if sum(bins.values()) <= least:
+Held = tuple[tuple[int, int], ...]  # what a bin holds: lengths, in falling order, with their numbers
+
+
+def _fill(held: Held) -> int:
+    return sum(n * k for n, k in held)
+
+
+def _changed(held: Held, out: tuple[int, ...], into: tuple[int, ...]) -> Held:
+    now = dict(held)
+    for n in out:
+        now[n] -= 1
+    for n in into:
+        now[n] = now.get(n, 0) + 1
+    return tuple(sorted(((n, k) for n, k in now.items() if k), reverse=True))
+
+
+class Index:
+    """Things by a number from 0 to ``most``, to find those of a number, or the next larger ones."""
+
+    def __init__(self, most: int) -> None:
+        self.things: list[dict] = [{} for _ in range(most + 1)]
+        self.used: list[int] = []
+
+    def put(self, n: int, thing: tuple) -> None:
+        if not self.things[n]:
+            insort(self.used, n)
+        self.things[n][thing] = None
+
+    def take(self, n: int, thing: tuple) -> None:
+        del self.things[n][thing]
+        if not self.things[n]:
+            del self.used[bisect_left(self.used, n)]
+
+    def upwards(self, least: int) -> Iterator[tuple[int, tuple]]:
+        for i in range(bisect_left(self.used, least), len(self.used)):
+            for thing in self.things[self.used[i]]:
+                yield self.used[i], thing
+
+
+class Bins:
+    """Groups of equal bins, found by the room they have left, and by the room each would have without one of its pieces."""
+
+    def __init__(self, bins: dict[Held, int], capacity: int) -> None:
+        self.capacity, self.count, self.room = capacity, Counter(), {}
+        self.open, self.without = Index(capacity), Index(capacity)
+        self.queue: list[tuple[int, Held]] = []  # the emptiest first; those that are gone are passed over
+        for held, k in bins.items():
+            self.add(held, k)
+
+    def add(self, held: Held, k: int) -> None:
+        if not held or not k:
+            return
+        self.count[held] += k
+        if self.count[held] == k:
+            room = self.room[held] = self.capacity - _fill(held)
+            if room:
+                self.open.put(room, held)
+                for n, _ in held:
+                    self.without.put(room + n, (held, n))
+                heappush(self.queue, (self.capacity - room, held))
+
+    def drop(self, held: Held, k: int) -> None:
+        self.count[held] -= k
+        if not self.count[held]:
+            del self.count[held]
+            if room := self.room.pop(held):
+                self.open.take(room, held)
+                for n, _ in held:
+                    self.without.take(room + n, (held, n))
+
+
+    def step(self, giver: Held, taker: Held, give: tuple[int, ...], get: tuple[int, ...]) -> int:
+        """Moves or exchanges pieces between as many of these bins as there are, and tells how many bins that empties. Of
+        bins with one piece, several go into a taker at once, where they fit."""
+        n, each = give[0], 1
+        single = giver == ((n, 1),) and not get
+        if giver == taker:
+            each = min(self.capacity // n, self.count[giver]) - 1 if single else 1
+            times = self.count[giver] // (each + 1)
+        else:
+            times = min(self.count[giver], self.count[taker])
+            if single:
+                each = max(1, min(self.room[taker] // n, self.count[giver] // self.count[taker]))
+        self.drop(giver, times * each)
+        self.drop(taker, times)
+        rest = _changed(giver, give, get)
+        self.add(rest, times * each)
+        self.add(_changed(taker, get, give * each), times)
+        return 0 if rest else times * each
+
+
+def _move(bins: Bins, giver: Held) -> tuple | None:
+    """The move of a piece of ``giver`` that leaves the least room where it goes, of those that raise the squared fills."""
+    best, least = None, bins.room[giver]
+    for n, _ in giver:
+        for room, taker in bins.open.upwards(n):
+            if room - n >= least:
+                break
+            if taker != giver or bins.count[giver] > 1:
+                best, least = (giver, taker, (n,), ()), room - n
+                break
+        if not least:
             break
-        open_ = sorted((b for b in bins if b.fill < capacity), key=lambda b: (b.fill, b.held))
-        found = None
-        for giver in open_[:4]:
-            for taker in reversed(open_):
-                if (taker is giver and bins[giver] < 2) or taker.fill < giver.fill:
-                    continue
-                room = capacity - taker.fill
-                best = 0
-                for give in _out(giver):
-                    g = sum(n * k for n, k in give.items())
-                    back = [Counter()] if sum(give.values()) == 1 else []
-                    # the exchange whose gain is largest: the smallest piece that makes the rest fit
-                    back += [Counter({n: 1}) for n, _ in taker.held if 0 < g - n <= room][-1:]
-                    for get in back:
-                        if 0 < (gain := g - sum(n * k for n, k in get.items())) <= room and gain > best:
-                            best, found = gain, (giver, taker, give, get)
-                if found:
-                    break
-            if found:
+    return best
+
+
+def _exchange(bins: Bins, giver: Held) -> tuple | None:
+    """The exchange of one or two pieces of ``giver`` for a smaller one that leaves the least room where they go, of those that raise the
+    squared fills."""
+    best, least = None, bins.room[giver]
+    sizes = [n for n, _ in giver]
+    for out in [*((n,) for n in sizes), *((n, m) for i, (n, k) in enumerate(giver) for m in sizes[i + (k < 2) :])]:
+        given = sum(out)
+        for room, (taker, n) in bins.without.upwards(given):
+            if room - given >= least:
                 break
-        if not found:
+            if n < given and (taker != giver or bins.count[giver] > 1):
+                best, least = (giver, taker, out, (n,)), room - given
+                break
+        if not least:
             break
-        giver, taker, give, get = found
-        times = max(1, min(bins[giver], bins[taker]) if giver is not taker else bins[giver] // 2)
-        for old, new in ((giver, giver.changed(give, get)), (taker, taker.changed(get, give))):
-            bins[old] -= times
-            if not bins[old]:
-                del bins[old]
-            if new.held:
-                bins[new] += times
-    return bins
+    return best
+
+
+def local_search(lengths: dict[int, int], capacity: int) -> Counter[Held]:
+    """Bins of pieces, from a bin a piece. Each step raises the sum of squared fills, so the search ends: at
+    the least possible number of bins, or when no bin has a step left. At first the longest pieces move, to the fullest of bins
+    that are at least as full; then the emptiest bins give, by moves, and by exchanges where they have none."""
+    bins = Bins({((n, 1),): k for n, k in lengths.items()}, capacity)
+    least = -(-sum(n * k for n, k in lengths.items()) // capacity)
+    number = sum(lengths.values())
+    for n in sorted(lengths, reverse=True):
+        giver = ((n, 1),)
+        while giver in bins.count:
+            taker = next((t for room, t in bins.open.upwards(n) if t != giver or bins.count[t] > 1), None)
+            if taker is None or bins.room[taker] > capacity - n:
+                break
+            number -= bins.step(giver, taker, (n,), ())
+    bins.queue.sort()
+    stuck: list[tuple[int, Held]] = []
+    helped = False
+    while number > least:
+        if not bins.queue:
+            if not helped:
+                break
+            bins.queue, stuck, helped = sorted(stuck), [], False
+            continue
+        at, giver = heappop(bins.queue)
+        if giver not in bins.count:
+            continue
+        found = _move(bins, giver) or _exchange(bins, giver)
+        if not found:
+            stuck.append((at, giver))
+            continue
+        helped = True
+        number -= bins.step(*found)
+        if giver in bins.count:
+            heappush(bins.queue, (at, giver))
+    return bins.count
 
 
 def plan_of(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     """Places of the pieces of each length, in runs: the run's first piece, its bins' first sequence id,
     pieces a bin, offset of the first piece."""
-    bins = local_search(best_fit(histogram, capacity), capacity)
+    bins = local_search(histogram, capacity)
     runs: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     used: Counter[int] = Counter()
     sequence = 0
-    for b in sorted(bins, key=lambda b: (-b.fill, b.held)):
+    for b in sorted(bins, key=lambda b: (-_fill(b), b)):
         offset = 0
-        for n, k in b.held:
+        for n, k in b:
             runs[n].append((used[n], sequence, k, offset))
             used[n] += k * bins[b]
             offset += n * k
@@ -258,15 +310,20 @@ def plan_of(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to ``pieces`` (kept in the shared folder). An empty table stays empty."""
+    """Adds ``sequence_id`` and ``offset`` to ``pieces`` (kept in the shared folder). An empty table stays empty. Sequences of a
+    full piece have negative numbers."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = pieces.groupBy("length", "salt").count().collect()  # capacity x SALTS rows at most
-    histogram: Counter[int] = Counter()
-    base = np.zeros((capacity + 1, SALTS), np.int64)
-    for n, salt, k in sorted(map(tuple, counts)):
-        base[n, salt] = histogram[n]
-        histogram[n] += k
+    full = pieces.where(F.col("length") == capacity).select(*PIECES.names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = pieces.where(F.col("length") < capacity)
+    histogram = Counter({r[0]: r[1] for r in pieces.groupBy("length").count().collect()})  # less than capacity rows
+    salts = [-(-histogram[n] // PART) or 1 for n in range(capacity + 1)]
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1) if max(salts) > 1 else F.lit(1)).cast("int")
+    pieces = pieces.withColumn("salt", salt)
+    counts = pieces.groupBy("length", "salt").count().collect()  # a row for PART pieces, and for each length
+    base = {n: np.zeros(k, np.int64) for n, k in enumerate(salts)}
+    for n, part, k in counts:
+        base[n][part] = k
+    base = {n: np.cumsum(x) - x for n, x in base.items()}
     shared = spark.sparkContext.broadcast((base, plan_of(histogram, capacity)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +331,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         where = np.searchsorted(plan["length"], np.arange(capacity + 2))  # where the runs of a length begin
         for batch in batches:
             n, salt, rank = (batch.column(c).to_numpy() for c in ("length", "salt", "rank"))
-            rank = base[n, salt] + rank - 1
+            rank = rank - 1
             run = np.empty(len(n), np.int64)
             by = np.argsort(n, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(n[by])) + 1) if len(by) else []:
-                lo, hi = where[n[part[0]]], where[n[part[0]] + 1]
+                length = int(n[part[0]])
+                rank[part] += base[length][salt[part]]
+                lo, hi = where[length], where[length + 1]
                 run[part] = lo + np.searchsorted(plan["first"][lo:hi], rank[part], side="right") - 1
             nth = rank - plan["first"][run]
             columns = [batch.column(f.name) for f in PIECES]
@@ -288,7 +347,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("rank", F.row_number().over(within).cast("long"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").union(full)
 
 
 def default_vocabulary() -> str:

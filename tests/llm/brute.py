@@ -136,3 +136,34 @@ def mixed(docs, most=3):
             out.append((docs[k][0], size[k], of[s], round(float(target[s]), 6), (copies + more) * size[k]))
             at += size[k]
     return sorted(out)
+
+
+def best_fit(sizes, capacity):
+    """Number of bins of best fit, longest first."""
+    rooms = []
+    for n in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - n)
+    return len(rooms)
+
+
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying all."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= sizes[i]}):
+            rest = list(rooms)
+            rest[rest.index(room)] -= sizes[i]
+            put(i + 1, rest)
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    put(0, [])
+    return best[0]

@@ -454,24 +454,37 @@ def test_cut_lengths():
 @pytest.mark.parametrize("seed", range(5))
 def test_bins_hold_all_pieces(seed):
     rng = np.random.default_rng(seed)
-    sizes = rng.integers(1, 60, 400)
-    histogram = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
-    first = packing.best_fit(histogram, 100)
-    then = packing.local_search(first, 100)
-    for bins in (first, then):
+    for low, high in ((1, 60), (25, 40), (30, 70), (1, 100)):
+        sizes = rng.integers(low, high, 400)
+        histogram = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
+        found = packing.local_search(histogram, 100)
         held = {}
-        for b, k in bins.items():
-            assert b.fill <= 100
-            for n, c in b.held:
+        for b, k in found.items():
+            assert packing._fill(b) <= 100
+            for n, c in b:
                 held[n] = held.get(n, 0) + c * k
         assert held == histogram
-    least = -(-int(sizes.sum()) // 100)
-    assert least <= sum(then.values()) <= sum(first.values()) and sum(then.values()) <= least + 1
+        # bins are emptied from one a piece to no more than best fit leaves
+        assert -(-int(sizes.sum()) // 100) <= sum(found.values()) <= brute.best_fit(sizes.tolist(), 100)
 
 
-def test_local_search_empties_a_bin():
-    bins = packing.Counter({packing.Bin(((6, 1), (2, 1))): 1, packing.Bin(((5, 1), (3, 1))): 1, packing.Bin(((4, 1),)): 1})
-    assert sum(packing.local_search(bins, 10).values()) == 2
+def test_packing_is_optimal_on_small_cases():
+    rng = random.Random(2)
+    extra = 0
+    for _ in range(60):
+        sizes = [rng.randint(1, 12) for _ in range(rng.randint(1, 9))]
+        found = sum(packing.local_search(packing.Counter(sizes), 12).values())
+        extra += found - brute.fewest_bins(sizes, 12)
+        assert found - brute.fewest_bins(sizes, 12) in (0, 1)
+    assert extra <= 3
+
+
+def test_local_search_exchanges():
+    """No piece can move; one for one, and two for one, can."""
+    kinds = packing.Bins({((9, 1),): 1, ((5, 1), (4, 1)): 1, ((8, 1), (1, 1)): 1}, 10)
+    assert packing._move(kinds, ((5, 1), (4, 1))) is None
+    assert packing._exchange(packing.Bins({((4, 1), (3, 1)): 1, ((6, 1), (3, 1)): 1}, 10), ((4, 1), (3, 1))) == (((4, 1), (3, 1)), ((6, 1), (3, 1)), (4,), (3,))
+    assert packing._exchange(packing.Bins({((2, 2),): 1, ((6, 1), (3, 1)): 1}, 10), ((2, 2),)) == (((2, 2),), ((6, 1), (3, 1)), (2, 2), (3,))
 
 
 def test_ids_equal_the_library(rows):
@@ -510,6 +523,24 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_a_very_long_text(spark, monkeypatch):
+    """Many full pieces, each a sequence; lengths dealt into several parts; no id and repeated rows."""
+    monkeypatch.setattr(packing, "PART", 3)
+    long = " ".join(str(i) for i in range(60_000))
+    rows = [(1, long), (2, "ab"), (None, "ab"), (2, "ab"), (None, None)] + [(10 + i, "x y z") for i in range(40)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=128).collect()
+    n = len(packing.Encoder(packing.default_vocabulary())(long)) // 4 + 1
+    own = sorted((r["piece"], r["start"], r["length"]) for r in got if r["doc_id"] == 1)
+    assert sum(x[2] for x in own) == n and [x[2] for x in own[1:]] == [128] * (n // 128) and len(got) == len(own) + 44
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(by) == -(-sum(r["length"] for r in got) // 128)
+    for places in by.values():
+        ends = [0, *(o + k for o, k in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 128
+
+
 # quality
 
 
