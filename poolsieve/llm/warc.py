@@ -1,13 +1,15 @@
 """WARC archives: a writer through Spark's text sink, and a reader that salvages damaged archives.
 
-Writer: one row holds one whole record; the sink's line separator is the record's closing CRLF CRLF,
-so the part files are ordinary WARC 1.1 files, each gzipped as a whole, on any store Spark can write to. Payloads
+Writer: records are built by DataFrame functions and each is compressed as a gzip member of its own, so that damage costs the records it hits and no other.
+The sink's line separator is the zero byte that ends a member (the highest byte of its length), so the part files are ordinary
+``.warc.gz`` content on any store Spark can write to. Uncompressed, the separator is a record's closing CRLF CRLF. Payloads
 that repeat are written once (``response``); the others become ``revisit`` records.
 
-Reader: files are read whole (the writer bounds their size) and parsed record by record. Each record is
+Reader: files are parsed record by record. Each record is
 checked (version line, header, length, terminator, block and payload digest). After a failed check the
 reader searches for the next gzip member or version line, goes on there, and logs the bytes between as a
-quarantined gap. Plain records and gzip members, of one record or of many, are read.
+quarantined gap. Plain records and gzip members, of one record or of many, are read; of a damaged member, what can be inflated before the
+damage is read, to the byte. A file is one row of Spark's binary source, 2 GB at most, and is read by one task; the writer's files are of some TARGET_BYTES.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ class Record:
     block: bytes = b""
 
 
+UNENDED, DAMAGED, CHECK = "record without end", "damaged gzip member", "gzip member fails its check"
+
+
 class Broken(ValueError):
     """A record that fails a check."""
 
@@ -58,7 +63,7 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
         raise Broken("no version line")
     stop = data.find(b"\r\n\r\n", start.end() - 2)
     if stop < 0:
-        raise Broken("header without end")
+        raise Broken(UNENDED)
     headers: dict[str, str] = {}
     for line in data[start.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -72,7 +77,7 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     first = stop + 4
     last = first + int(headers["content-length"])
     if data[last : last + 4] != b"\r\n\r\n":
-        raise Broken("no terminator where the length says")
+        raise Broken(UNENDED if last + 4 > len(data) else "no terminator where the length says")
     block = data[first:last]
     said = headers.get("warc-block-digest", "")
     if said and said != f"sha1:{base32_sha1(block)}":
@@ -80,54 +85,91 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, last + 4 - at, headers, block), last + 4
 
 
-def inflate_member(data: bytes, at: int) -> tuple[bytes, int | None]:
-    """What can be inflated of the gzip member that begins at ``at``, and where it ends; None if it is damaged."""
+def inflate_member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What can be inflated of the gzip member that begins at ``at``; where it ends, or where its damage shows; what is wrong, if anything is.
+
+    A step that fails is taken again in halves, down to the byte that fails."""
     inflate, inner, step = zlib.decompressobj(31), [], 1 << 16
-    for i in range(at, len(data), step):
+    while at < len(data):
+        before = inflate.copy() if step > 1 else None
         try:
-            inner.append(inflate.decompress(data[i : i + step]))
-        except zlib.error:
-            return b"".join(inner), None
+            inner.append(inflate.decompress(data[at : at + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(inner), at, CHECK if "incorrect" in str(e) else DAMAGED
+            inflate, step = before, step // 2
+            continue
+        at = min(at + step, len(data))
         if inflate.eof:
-            return b"".join(inner), min(i + step, len(data)) - len(inflate.unused_data)
-    return b"".join(inner), None
+            return b"".join(inner), at - len(inflate.unused_data), ""
+    return b"".join(inner), len(data), DAMAGED
+
+
+def _next(data: bytes, at: int, inside: bool) -> int:
+    """Where the next member or version line begins."""
+    line = VERSION.search(data, at)
+    later = [line.start() if line else -1, -1 if inside else data.find(MEMBER, at)]
+    return min((x for x in later if x >= 0), default=len(data))
+
+
+def _inflated(data: bytes, at: int) -> tuple[list[Record | tuple[int, int, str]], int, str]:
+    """What the member that begins at ``at`` holds, where its sound part ends, and what is wrong with it. A record that one member does
+    not end goes on in the next."""
+    begin, inner = at, b""
+    while True:
+        more, end, wrong = inflate_member(data, at)
+        inner += more
+        found = list(salvage(inner, (begin, end - begin)))
+        if wrong:
+            # a record's digest vouches for its block, a member's check for its headers as well: if it fails, a single record goes
+            records = [x for x in found if isinstance(x, Record) and "warc-block-digest" in x.headers]
+            return ([] if wrong == CHECK and len(records) < 2 else records), end, wrong
+        # does the record that has no end here go on in the next member, which then begins with no version line?
+        if not (found and isinstance(found[-1], tuple) and found[-1][2] == UNENDED and data.startswith(MEMBER, end)):
+            return found, end, ""
+        if not (head := _head(data, end)) or VERSION.match(head):
+            return found, end, ""
+        at = end
+
+
+def _head(data: bytes, at: int) -> bytes:
+    try:
+        return zlib.decompressobj(31).decompress(data[at : at + 4096], 64)
+    except zlib.error:
+        return b""
 
 
 def salvage(data: bytes, inside: tuple[int, int] | None = None) -> Iterator[Record | tuple[int, int, str]]:
     """All sound records of an archive, and (offset, length, reason) of each gap between them.
 
     A gzip member may hold one record or many. Of a damaged member, the records before the damage are
-    recovered, and the search goes on behind its first byte. ``inside``: the place of the member that
+    recovered; the gap begins where the damage shows, or with the member if nothing in it was sound. ``inside``: the place of the member that
     ``data`` was inflated from, told instead of places in ``data``.
     """
     at, gap, reason = 0, None, ""
     while at < len(data):
         found: list[Record | tuple[int, int, str]] = []
         try:
-            if data.startswith(MEMBER, at) and not inside:
-                inner, end = inflate_member(data, at)
-                found = list(salvage(inner, (at, (end or len(data)) - at)))
-                if end is None:
-                    found = [x for x in found if isinstance(x, Record)]
-                    raise Broken("damaged gzip member")
+            if not inside and data.startswith(MEMBER, at):
+                found, end, wrong = _inflated(data, at)
             else:
                 record, end = parse_record(data, at)
-                found = [record]
+                found, wrong = [record], ""
                 if inside:
                     record.offset, record.length = inside
         except Broken as e:
-            if gap is None:
-                gap, reason = at, str(e)
-            yield from found
-            line = VERSION.search(data, at + 1)
-            later = [data.find(MEMBER, at + 1), line.start() if line else -1]
-            at = min((x for x in later if x >= 0), default=len(data))
-            continue
-        if gap is not None:
+            end, wrong = at, str(e)
+        if gap is not None and (found or not wrong):
             yield (*(inside or (gap, at - gap)), reason)
             gap = None
         yield from found
-        at = end
+        if wrong:
+            later = _next(data, at + 1, bool(inside))
+            if gap is None:
+                gap, reason = min(end, later) if found else at, wrong
+            at = later
+        else:
+            at = end
     if gap is not None:
         yield (*(inside or (gap, len(data) - gap)), reason)
 
@@ -207,11 +249,37 @@ def archive_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return row.select(F.concat(header, F.col("block")).alias("value"))
 
 
+#: What a member inflates to, at most: its length's highest byte is zero.
+MEMBER_BYTES = 8 << 20
+
+
+def member(record: bytes) -> bytes:
+    """A whole record, its end added, as gzip: a member, or several of MEMBER_BYTES if it is longer; without the last byte, which is zero."""
+    out = []
+    record += b"\r\n\r\n"
+    for at in range(0, len(record), MEMBER_BYTES):
+        deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [deflate.compress(record[at : at + MEMBER_BYTES]), deflate.flush()]
+    return b"".join(out)[:-1]
+
+
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, target_bytes: int = TARGET_BYTES, compression: str = "gzip") -> None:
-    """Writes ``pages`` as WARC files of about ``target_bytes``, before compression (``gzip`` or ``none``), under ``path``."""
+    """Writes ``pages`` as WARC files of about ``target_bytes``, before compression (``gzip``, a member a record, or ``none``), under ``path``."""
     n, mean = pages.agg(F.count("*"), F.avg(F.octet_length("html"))).first()
     per_file = max(1, int(target_bytes / ((mean or 0) + 700)))
-    archive_records(pages, min_bytes).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+    records, end = archive_records(pages, min_bytes), "\r\n\r\n"
+    if compression == "gzip":
+        common.modest_batches(pages.sparkSession)
+
+        def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([member(r.as_buffer().to_pybytes()) for r in batch.column(0)], pa.binary())], names=["value"])
+                common.trim()
+
+        # the sink writes a string's bytes as they are
+        records = records.mapInArrow(compress, "value binary").select(F.col("value").cast("string").alias("value"))
+        end = "\x00"
+    records.write.option("lineSep", end).option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -214,6 +214,44 @@ def test_warc_many_records_in_a_damaged_member():
     assert found[:5] == [0, 1, 2, 3, 4] and found[-1] == 99
 
 
+def test_warc_every_record_before_damage_comes_back():
+    """Two bytes damaged near the end of a member of 80 records: the records before them come back, and the next member."""
+    body = lambda i: bytes(random.Random(i).choices(b"abcdefgh \n", k=700))
+    member = bytearray(gzip.compress(b"".join(record(i, body(i)) for i in range(80)), mtime=0))
+    at = len(member) * 9 // 10
+    member[at : at + 2] = bytes(x ^ 0xFF for x in member[at : at + 2])
+    data = bytes(member) + gzip.compress(record(99), mtime=0)
+    found = [warc.page_of(x.headers["warc-record-id"]) for x in warc.salvage(data) if isinstance(x, warc.Record)]
+    assert found[:65] == list(range(65)) and found[-1] == 99
+    gap = next(x for x in warc.salvage(data) if isinstance(x, tuple))
+    assert gap[0] > at // 2 and gap[0] + gap[1] == len(member)
+
+
+def test_warc_written_archive_survives_damage(spark, tmp_path):
+    """Damage at several places of a written archive costs the records it hits; all others come back, and gaps are exact."""
+    rows = [(i, f"http://h/{i}", f"<p>page {i} " + "word " * (i % 50)) for i in range(300)]
+    rows.append((300, "http://long", "".join(random.Random(1).choices("abcdefghijklmnop", k=20 << 20))))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = tmp_path / "archive"
+    warc.write_archive(df, f"file://{path}", compression="gzip")
+    clean = {r["page_id"]: r for r in warc.read_archive(spark, f"file://{path}").drop("payload").collect()}
+    assert len(clean) == 301 and clean[300]["payload_bytes"] == 20 << 20
+    hit = set()
+    for file in path.glob("part-*"):
+        data = bytearray(file.read_bytes())
+        assert gzip.decompress(bytes(data)).count(b"WARC-Record-ID") == sum(r["file"].endswith(file.name) for r in clean.values())
+        for at in (len(data) // 7, len(data) // 3, len(data) // 2):
+            data[at] ^= 0x55
+            hit |= {i for i, r in clean.items() if r["file"].endswith(file.name) and r["offset"] <= at < r["offset"] + r["length"]}
+        file.write_bytes(bytes(data))
+        (path / f".{file.name}.crc").unlink(missing_ok=True)
+    back = warc.read_archive(spark, f"file://{path}").drop("payload").collect()
+    assert {r["page_id"] for r in back if r["status"] == "record"} == set(clean) - hit and hit
+    gaps = {(r["file"], r["offset"], r["length"]) for r in back if r["status"] == "gap"}
+    covered = sum(n for *_, n in gaps)
+    assert covered == sum(clean[i]["length"] for i in hit)
+
+
 # chat
 
 
