@@ -116,9 +116,10 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model of a bounded sample of rows: of each language the ``sample`` / languages first in order of a hash
-    of the id; None if no row is labelled. Only hashed features of the sample reach the driver."""
+    of id and text; None if no row is labelled. Rows with equal id, text and language count once in the sample, whatever their number. Only
+    hashed features of the sample reach the driver."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    mark = F.xxhash64(F.col(id_col).cast("string"), F.lit(3))
+    mark = F.xxhash64(F.col(id_col).cast("string"), F.lit(3), F.col(text_col).cast("string"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return None
@@ -127,6 +128,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     top = {s: min(1.0, (each + 4 * each**0.5 + 8) / n) for s, n in counts.items()}
     limit = F.create_map(*[F.lit(v) for s, t in top.items() for v in (s, int(-(2**63) + t * (2**64 - 1)) if t < 1 else 2**63 - 1)])
     few = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), mark.alias("mark")).where(F.col("mark") <= limit[F.col("lang")])
+    few = few.groupBy("lang", "mark").agg(F.any_value("text").alias("text")).select("text", "lang", "mark")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

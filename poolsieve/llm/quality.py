@@ -113,22 +113,25 @@ def fit(row: np.ndarray, feature: np.ndarray, share: np.ndarray, y: np.ndarray,
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Rows (id, posterior, score, keep): the weak labels' posterior, the scorer's probability of good, and whether it is 1/2 or
-    more. Null text is empty: all labellers that need words abstain or say bad, the score is the scorer's at no words. An empty table gives none."""
+    more. Null text is empty: all labellers that need words abstain or say bad, the score is the scorer's at no words. Labellers run once over each
+    text. The scorer's sample is of different (id, text) pairs, so repeated rows do not fill it. Other columns are not read; an empty table gives none."""
     spark = docs.sparkSession
     common.modest_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("mark", F.xxhash64("id", "text"))
     votes = [F.coalesce(v, F.lit(ABSTAIN)).cast("int") for v in labellers(F.col("text")).values()]
-    voted = common.stored(base.select("id", F.array(*votes).alias("votes"), F.xxhash64("id", "text").alias("mark")), "votes")
+    voted = common.stored(base.select("mark", F.array(*votes).alias("votes")), "votes")
     patterns = voted.groupBy("votes").count().collect()  # 3^labellers rows at most
     if not patterns:
         return base.select("id", F.lit(0.5).alias("posterior"), F.lit(0.5).alias("score"), F.lit(True).alias("keep"))
     table = np.array([r["votes"] for r in patterns])
     _, _, post = expectation_maximisation(table, np.array([r["count"] for r in patterns], float))
     known = spark.createDataFrame([(r["votes"], float(p)) for r, p in zip(patterns, post, strict=True)], "votes array<int>, posterior double")
+    posterior = voted.join(F.broadcast(known), "votes").groupBy("mark").agg(F.any_value("posterior").alias("posterior"))
     n = sum(r["count"] for r in patterns)
     bound = 2**63 - 1 if n <= sample else int(-(2**63) + min(1.0, (sample + 4 * sample**0.5 + 8) / n) * (2**64 - 1))
-    few = base.withColumn("mark", F.xxhash64("id", "text")).where(F.col("mark") <= min(bound, 2**63 - 1)).join(F.broadcast(voted.where(F.col("mark") <= min(bound, 2**63 - 1)).join(F.broadcast(known), "votes").select("mark", "posterior").dropDuplicates(["mark"])), "mark")
+    chosen = F.col("mark") <= min(bound, 2**63 - 1)
+    few = base.where(chosen).groupBy("mark").agg(F.any_value("text").alias("text")).join(posterior.where(chosen), "mark")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +157,13 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
                 doc, feature, share = hashed(texts[first:last])
                 out[first:last] += np.bincount(doc, share * w[feature], last - first)
             out = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("votes"), pa.array(out)], names=["id", "votes", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(out)], names=["id", "mark", "score"])
+            common.trim()
 
-    scored = base.select("id", "text", F.array(*votes).alias("votes")).mapInArrow(score, "id long, votes array<int>, score double")
-    return scored.join(F.broadcast(known), "votes").select("id", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))
+    # equal (id, text) rows have one mark and one posterior; both sides are shuffled for the join, so a hot mark can be split
+    scored = base.select("id", "mark", "text").mapInArrow(score, "id long, mark long, score double")
+    scored = scored.join(common.stored(posterior, "posteriors", n), "mark")
+    return scored.select("id", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
