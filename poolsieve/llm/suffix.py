@@ -9,8 +9,8 @@ compact messages; texts are shuffled once, into blocks, and all three passes ove
    each block with those that other documents have as well. Equal whole texts are settled by this.
 2. Of neighbouring windows with the same, repeated name a block sends the bytes they span (a context, 81
    bytes at most), once, with the smallest document of the block that has it. A range sorts out where the windows
-   of its contexts occur first. Names with a single context need no more; for the others, it builds the
-   Burrows-Wheeler transform of their contexts and derives common prefixes by increasing value, breadth
+   of its contexts occur first: it builds the
+   Burrows-Wheeler transform of the contexts and derives common prefixes by increasing value, breadth
    first: intervals of suffixes that share l characters are extended backward to l + 1, until LENGTH. What
    still lies in one interval then is the same string.
 3. A block marks its windows by the answers.
@@ -39,7 +39,8 @@ SEGMENT = 1 << 19
 RUN = 32  # windows a context has at most: bits of a mask
 TRANSFORM_BYTES = 1 << 19  # text of one transform, about
 NULL_ID = np.iinfo(np.int64).max
-BLOCK_BYTES = 2 << 20
+#: Text that a block holds, and whose names a range gets, about.
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 4 << 20
 
 MESSAGE = "range long, block long, kind int, a binary, b binary, c binary, d binary, e binary"
 ARROW = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
@@ -260,10 +261,26 @@ def context_messages(rows: pa.Table, answers: pa.Table, block: int, ranges: int,
     return _messages(out)
 
 
+def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, equal ones by place, and the sorted keys. Places have ``bits`` bits; where keys leave these free, key and place are sorted as one number."""
+    if len(keys) and int(keys.max()).bit_length() + bits > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    keys = keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64)
+    keys.sort()
+    return (keys & np.uint64((1 << bits) - 1)).astype(np.int32), keys >> np.uint64(bits)
+
+
+def _ranks(order: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
+    return rank
+
+
 def first_occurrences(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each window of ``length`` bytes of the texts, in order, the smallest of ``docs`` (one a text) that has it.
 
-    A suffix array of the texts, each with an end mark of its own, gives their Burrows-Wheeler transform;
+    A suffix array of the texts, each with an end mark of its own (marks are in order of the texts), gives their Burrows-Wheeler transform;
     a stable sort of the transform is the backward step: row psi[r] is row r without its first character. Rows r - 1 and r share no
     character where the first ones differ (value 0), and l + 1 of them where psi[r - 1] and psi[r] are still in one interval after
     l: values are set by increasing l, each once, and what is unset after ``length`` - 1 shares ``length``.
@@ -271,49 +288,57 @@ def first_occurrences(texts: list[bytes], docs: np.ndarray, length: int = LENGTH
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
     n, ends = int(offsets[-1]), len(texts)
-    small = np.int32 if n < 1 << 31 else np.int64
-    s = np.empty(n, small)
+    bits = n.bit_length()
+    s = np.zeros(n + 3, np.uint64)  # 0: an end
     mark = offsets[1:] - 1
     inner = np.ones(n, bool)
     inner[mark] = False
-    s[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(small) + ends
-    s[mark] = np.arange(ends)
-    rank = s
-    step = 1
-    while True:
-        pair = rank.astype(np.int64) * (n + 257)
-        pair[:-step] += rank[step:] + 1
-        order = np.argsort(pair, kind="stable").astype(small)
-        pair = pair[order]
-        rank = np.empty(n, small)
-        rank[order] = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
-        step *= 2
-        if rank[order[-1]] == n - 1 or step > n:
+    s[:n][inner] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+    # ranks by four characters, then by twice as many each time. Beyond the longest text, suffixes that are equal up to their ends are in order of
+    # place, which is the order of their marks; what lies behind an end does not count
+    until = np.repeat(mark, sizes + 1) - np.arange(n)  # characters before the end
+    key = s[:n].copy()
+    for k in range(1, 4):
+        key = key * np.uint64(257) + np.where(until >= k, s[k : n + k], np.uint64(0))
+    order, key = _sorted(key, bits)
+    step = 4
+    while step <= int(sizes.max(initial=0)):
+        rank = _ranks(order, key)
+        if rank[order[-1]] == n - 1:
             break
-    del pair
-    transform = s[order - 1]
-    del s, order
-    psi = np.argsort(transform, kind="stable").astype(small)
-    top = transform[psi]
+        behind = np.zeros(n, np.uint64)
+        on = np.flatnonzero(until >= step)
+        behind[on] = rank[on + step] + np.uint64(1)
+        order, key = _sorted(rank * np.uint64(n + 1) + behind, bits)
+        step *= 2
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    # with marks that differ: the mark of text t is t, characters come behind all marks
+    first = s[:n] + np.uint64(ends)
+    first[mark] = np.arange(ends, dtype=np.uint64)
+    transform = first[order - 1]
+    psi, top = _sorted(transform, bits)
     new = np.concatenate([[True], top[1:] != top[:-1]])
-    del top, transform
-    unset = np.flatnonzero(~new).astype(small)
+    del transform, top, key, until, s, first
+    unset = np.flatnonzero(~new)
+    here, above = psi[unset], psi[unset - 1]
     for _ in range(1, length):
-        interval = np.cumsum(new, dtype=small)
-        found = interval[psi[unset]] != interval[psi[unset - 1]]
+        interval = np.cumsum(new, dtype=np.int32)
+        found = interval[here] != interval[above]
         new[unset[found]] = True
-        unset = unset[~found]
+        keep = ~found
+        unset, here, above = unset[keep], here[keep], above[keep]
         if not len(unset):
             break
-    del psi, unset
-    interval = np.cumsum(new, dtype=small)
+    interval = np.cumsum(new, dtype=np.int32)
     windows = sizes - length + 1
     at = np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     string, owner = interval[rank[at]], np.repeat(docs, windows)
     least = np.full(n + 1, NULL_ID, np.int64)
-    by = np.argsort(string, kind="stable")
-    head = np.flatnonzero(np.diff(string[by], prepend=-1))
-    least[string[by][head]] = np.minimum.reduceat(owner[by], head)
+    by, strings = _sorted(string.astype(np.uint64), bits)
+    head = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]])) if len(strings) else np.empty(0, np.int64)
+    if len(head):
+        least[strings[head].astype(np.int64)] = np.minimum.reduceat(owner[by], head)
     return least[string]
 
 
@@ -338,28 +363,19 @@ def mask_messages(rows: pa.Table, r: int) -> pa.Table:
     least, name = docs[head], names[head]  # of each context, in order of number
     texts = list(number)
     windows = np.array([len(t) - LENGTH + 1 for t in texts], np.int64)
-    full = ((np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
-    mask = np.where(least[which_] < docs, full[which_], np.uint32(0))
+    # names are settled some at a time: equal windows have equal names
     by = np.argsort(name, kind="stable")
-    equal = np.zeros(len(name), bool)
-    same = name[by][1:] == name[by][:-1]
-    equal[by[1:][same]] = equal[by[:-1][same]] = True
-    mixed = np.flatnonzero(equal)
-    if len(mixed):
-        # names are settled some at a time: equal windows have equal names
-        mixed = mixed[np.argsort(name[mixed], kind="stable")]
-        head = np.concatenate([[True], name[mixed][1:] != name[mixed][:-1]])
-        size = np.cumsum(windows[mixed] + LENGTH) // TRANSFORM_BYTES
-        part = size[np.flatnonzero(head)][np.cumsum(head) - 1]
-        firsts = np.concatenate([first_occurrences([texts[i] for i in some.tolist()], least[some]) for some in np.split(mixed, np.flatnonzero(np.diff(part)) + 1)])
-        begin = np.full(len(texts), -1, np.int64)
-        begin[mixed] = np.cumsum(windows[mixed]) - windows[mixed]
-        entries = np.flatnonzero(equal[which_])
-        each = windows[which_[entries]]
-        row = np.repeat(np.arange(len(entries)), each)
-        bit = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        hit = firsts[begin[which_[entries]][row] + bit] < docs[entries][row]
-        mask[entries] = np.bincount(row, np.where(hit, np.ldexp(1.0, bit), 0.0), len(entries)).astype(np.uint32)
+    head = np.concatenate([[True], name[by][1:] != name[by][:-1]])
+    size = np.cumsum(windows[by] + LENGTH) // TRANSFORM_BYTES
+    part = size[np.flatnonzero(head)][np.cumsum(head) - 1]
+    firsts = np.concatenate([first_occurrences([texts[i] for i in some.tolist()], least[some]) for some in np.split(by, np.flatnonzero(np.diff(part)) + 1)])
+    begin = np.empty(len(texts), np.int64)
+    begin[by] = np.cumsum(windows[by]) - windows[by]
+    each = windows[which_]
+    row = np.repeat(np.arange(len(which_)), each)
+    bit = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    hit = firsts[begin[which_][row] + bit] < docs[row]
+    mask = np.bincount(row, np.where(hit, np.ldexp(1.0, bit), 0.0), len(which_)).astype(np.uint32)
     out, at = [], 0
     for block, lengths in zip(blocks, b, strict=True):
         own = mask[at : at + len(lengths)]
@@ -407,14 +423,13 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_bytes: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one a row of ``docs``; ``kept``, the remaining
-    bytes, is null without ``keep_bytes``. Columns named in ``carry`` come along in a struct ``row``. Blocks are of ``block_bytes`` and, beyond 4096 of them, grow
-    up to 64 MB. An empty table gives an empty result."""
+    bytes, is null without ``keep_bytes``. Columns named in ``carry`` come along in a struct ``row``. Blocks and ranges have the same
+    size at any size of the corpus; a block sends a message to each range it has names for, so messages are never more than names. An empty table gives an empty result."""
     text = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
     common.modest_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    size = max(block_bytes, min(64 << 20, total // 4096))
-    n_blocks = max(1, -(-total // size))
-    ranges = 2 * n_blocks
+    n_blocks = max(1, -(-total // block_bytes))
+    ranges = max(1, -(-total // (block_bytes * RANGE_BYTES // BLOCK_BYTES)))
     bits = min(64, max(40, total.bit_length() + 16))
     block = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_blocks)).alias("block")
     along = [F.struct(*carry).alias("row")] if carry else []

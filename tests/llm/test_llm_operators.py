@@ -441,6 +441,36 @@ def test_first_occurrences():
     assert suffix.first_occurrences(texts, ids, 5).tolist() == [first[t[at : at + 5]] for t in texts for at in range(len(t) - 4)]
 
 
+def test_first_occurrences_of_many_bytes():
+    """More places than keys leave bits for."""
+    rng = random.Random(9)
+    piece = [bytes(rng.choices(range(256), k=80)) for _ in range(400)]
+    texts = [rng.choice(piece)[:60] + rng.choice(piece)[:20] for _ in range(30_000)]
+    ids = np.arange(30_000)[::-1].copy()
+    first = {}
+    for t, i in zip(texts, ids.tolist(), strict=True):
+        for at in range(31):
+            first[t[at : at + 50]] = min(first.get(t[at : at + 50], i), i)
+    assert sum(map(len, texts)) > 1 << 21
+    assert suffix.first_occurrences(texts, ids).tolist() == [first[t[at : at + 50]] for t in texts for at in range(31)]
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Texts longer than a segment; one is a copy of another with some characters changed."""
+    rng = random.Random(10)
+    long = prose(rng, "xx", 70_000)
+    other = list(long)
+    for at in (0, 1000, 1040, len(long) // 2, len(long) - 1):
+        other[at] = "#"
+    rows = [(2, "".join(other)), (1, long), (3, long)]
+    assert len(long) > suffix.SEGMENT
+    got = {r["doc_id"]: r for r in suffix.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] < len(long) and got[3]["n_removed"] == got[3]["n_bytes"] and got[3]["n_spans"] == 1
+    # between 1000 and 1040 no string of 50 bytes is the same; all else is, unless a changed character is in it
+    kept = bytes(got[2]["kept"]).decode()
+    assert kept.count("#") == 5 and len(kept) < 200
+
+
 # vectors
 
 
