@@ -40,7 +40,7 @@ RUN = 32  # windows a context has at most: bits of a mask
 TRANSFORM_BYTES = 1 << 19  # text of one transform, about
 NULL_ID = np.iinfo(np.int64).max
 #: Text that a block holds, and whose names a range gets, about.
-BLOCK_BYTES, RANGE_BYTES = 2 << 20, 4 << 20
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 2 << 20
 
 MESSAGE = "range long, block long, kind int, a binary, b binary, c binary, d binary, e binary"
 ARROW = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
@@ -342,44 +342,45 @@ def first_occurrences(texts: list[bytes], docs: np.ndarray, length: int = LENGTH
     return least[string]
 
 
+def _masks(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """For each context, a bit for each of its windows that occurs in a smaller document than the context's own."""
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+    least = np.full(len(number), NULL_ID, np.int64)
+    np.minimum.at(least, which, docs)
+    texts = list(number)
+    windows = np.array([len(t) - LENGTH + 1 for t in texts], np.int64)
+    firsts = first_occurrences(texts, least)
+    begin = np.cumsum(windows) - windows
+    mask = np.zeros(len(which), np.uint32)
+    for bit in range(RUN):
+        on = np.flatnonzero(windows[which] > bit)
+        mask[on[firsts[begin[which[on]] + bit] < docs[on]]] |= np.uint32(1 << bit)
+    return mask
+
+
 def mask_messages(rows: pa.Table, r: int) -> pa.Table:
     """A range's answers to pass 2: a mask for each context of a block, a bit for each window that occurs in a smaller
     document than the block's first with it. A block's message to itself goes on as it is."""
     if rows.column("kind")[0].as_py() == OWN:
         return rows.select(ARROW.names).cast(ARROW)
-    blocks, a, b, c, d = (rows.column(x).to_pylist() for x in ("block", "a", "b", "c", "d"))
-    number: dict[bytes, int] = {}
-    which: list[int] = []
-    for lengths, data in zip(b, d, strict=True):
-        at = 0
-        for n in lengths:
-            which.append(number.setdefault(data[at : at + n], len(number)))
-            at += n
-    which_ = np.array(which, np.int64)
-    names = np.frombuffer(b"".join(a), np.uint64)
-    docs = np.frombuffer(b"".join(c), np.int64)
-    order = np.lexsort((docs, which_))
-    head = order[np.flatnonzero(np.diff(which_[order], prepend=-1))]
-    least, name = docs[head], names[head]  # of each context, in order of number
-    texts = list(number)
-    windows = np.array([len(t) - LENGTH + 1 for t in texts], np.int64)
+    blocks, b = rows.column("block").to_pylist(), [np.frombuffer(x, np.uint8) for x in rows.column("b").to_pylist()]
+    name = np.frombuffer(b"".join(rows.column("a").to_pylist()), np.uint64)
+    docs = np.frombuffer(b"".join(rows.column("c").to_pylist()), np.int64)
+    data = b"".join(rows.column("d").to_pylist())
+    lengths = np.concatenate(b).astype(np.int64)
+    begin = np.cumsum(lengths) - lengths
+    mask = np.zeros(len(name), np.uint32)
     # names are settled some at a time: equal windows have equal names
     by = np.argsort(name, kind="stable")
-    head = np.concatenate([[True], name[by][1:] != name[by][:-1]])
-    size = np.cumsum(windows[by] + LENGTH) // TRANSFORM_BYTES
-    part = size[np.flatnonzero(head)][np.cumsum(head) - 1]
-    firsts = np.concatenate([first_occurrences([texts[i] for i in some.tolist()], least[some]) for some in np.split(by, np.flatnonzero(np.diff(part)) + 1)])
-    begin = np.empty(len(texts), np.int64)
-    begin[by] = np.cumsum(windows[by]) - windows[by]
-    each = windows[which_]
-    row = np.repeat(np.arange(len(which_)), each)
-    bit = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    hit = firsts[begin[which_][row] + bit] < docs[row]
-    mask = np.bincount(row, np.where(hit, np.ldexp(1.0, bit), 0.0), len(which_)).astype(np.uint32)
+    head = np.flatnonzero(np.concatenate([[True], name[by][1:] != name[by][:-1]]))
+    part = (np.cumsum(lengths[by]) // TRANSFORM_BYTES)[head]
+    for some in np.split(by, head[1:][np.diff(part) > 0]):
+        mask[some] = _masks([data[i:j] for i, j in zip(begin[some].tolist(), (begin[some] + lengths[some]).tolist(), strict=True)], docs[some])
     out, at = [], 0
-    for block, lengths in zip(blocks, b, strict=True):
-        own = mask[at : at + len(lengths)]
-        at += len(lengths)
+    for block, own_lengths in zip(blocks, b, strict=True):
+        own = mask[at : at + len(own_lengths)]
+        at += len(own_lengths)
         if len(some := np.flatnonzero(own)):
             out.append((r, block, MASK, some.astype(np.uint32).tobytes(), own[some].tobytes()))
     return _messages(out)

@@ -458,7 +458,7 @@ def test_first_occurrences_of_many_bytes():
 def test_repeats_in_very_long_texts(spark):
     """Texts longer than a segment; one is a copy of another with some characters changed."""
     rng = random.Random(10)
-    long = prose(rng, "xx", 70_000)
+    long = prose(rng, "xx", 90_000)
     other = list(long)
     for at in (0, 1000, 1040, len(long) // 2, len(long) - 1):
         other[at] = "#"
