@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # fixed values: the order in which a run's metric files are looked for, and the prefixes of a metric's key
 METRIC_FILES = ["target_metrics.json", "successor_metrics.json", "acquisition_metrics.json", "metrics.json"]
 PREFIXES = ["test_", "eval_", ""]
+# fixed value: metric files of influence quantiles, their share
+QUANTILE_FILE = r"^target_tracin_quantile_(.+)_metrics\.json$"
 
 
 def t_quantile(p: float, df: int) -> float:
@@ -79,34 +81,69 @@ def first_file(files: DataFrame, run: str, name: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (run, config, file, metrics): each folder below ``root`` with a config.yaml and metrics of acquisition or plain ones; the
-    file is the first of METRIC_FILES."""
+    """Rows (run, config, file, metrics, quantiles): each folder below ``root`` with a config.yaml, told as JSON, and metrics of acquisition or plain ones; the
+    file is the first of METRIC_FILES; ``quantiles`` maps the shares of influence quantiles to the text of their metric files."""
+    from ..sources.readers import yaml_as_json
+
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yaml,json}").select("value", F.col("_metadata.file_path").alias("path"))
     files = files.withColumn("run", F.regexp_replace("path", r"/[^/]*$", "")).withColumn("file", F.regexp_extract("path", r"([^/]*)$", 1))
-    config = files.where("file = 'config.yaml'").select("run", F.col("value").alias("config"))
+    config = files.where("file = 'config.yaml'").select("run", yaml_as_json(F.col("value")).alias("config"))
     whole = files.where(F.col("file").isin("acquisition_metrics.json", "metrics.json")).select("run").distinct()
-    return first_file(files.drop("path"), "run", "file").join(whole, "run", "left_semi").join(config, "run").select("run", "config", "file", F.col("value").alias("metrics"))
+    share = F.regexp_extract("file", QUANTILE_FILE, 1)
+    shares = files.where(share != "").groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(share.alias("k"), F.col("value").alias("v"))))).alias("quantiles"))
+    found = first_file(files.drop("path"), "run", "file").join(whole, "run", "left_semi").join(config, "run").join(shares, "run", "left")
+    return found.select("run", "config", "file", F.col("value").alias("metrics"), "quantiles")
+
+
+def _series(metrics: Column, metric: str) -> Column:
+    """Values by iteration; a single number is the value of every iteration, told as one."""
+    lists, single = F.from_json(metrics, "map<string, array<double>>"), F.from_json(metrics, "map<string, double>")
+    one = first_metric(single, metric)
+    return F.coalesce(first_metric(lists, metric), F.when(one.isNotNull(), F.array(one)))
 
 
 def collect_metrics(spark: SparkSession, root: str, metric: str) -> DataFrame:
-    """Rows (run, iteration, value) of a metric over all runs below ``root``; -1 becomes null."""
-    values = F.from_json("metrics", "map<string, array<double>>")
-    found = runs(spark, root).select("run", first_metric(values, metric).alias("v")).where("v is not null")
-    return found.select("run", F.posexplode("v").alias("iteration", "value")).withColumn("value", F.when(F.col("value") != -1, F.col("value")))
+    """Rows (run, deleted, iteration, value) of a metric over all runs below ``root``; -1 becomes null. ``deleted`` is null for the run's own metrics, and the share for those of
+    an influence quantile where the configuration asks for them."""
+    every = runs(spark, root)
+    asked = F.get_json_object("config", "$.tracin.use") == "true"
+    more = every.where(asked).select("run", F.explode("quantiles").alias("deleted", "metrics"))
+    found = every.select("run", F.lit(None).cast("string").alias("deleted"), "metrics").union(more)
+    found = found.select("run", "deleted", _series(F.col("metrics"), metric).alias("v")).where("v is not null")
+    return found.select("run", "deleted", F.posexplode("v").alias("iteration", "value")).withColumn("value", F.when(F.col("value") != -1, F.col("value")))
 
 
 def flat_config(config: Column) -> Column:
-    """A configuration (JSON) as one struct with defaults: what of the pool was left out, and how it was sub-sampled."""
+    """A configuration, as JSON, as one struct: strategy, models, what of the pool was left out, how it was sub-sampled, seed and data set."""
     get = lambda path: F.get_json_object(config, path)
+    model = lambda name: F.coalesce(get(f"$.{name}.name"), get(f"$.{name}.checkpoint"))
+    learns = get("$.al").isNotNull()
+    acquisition = F.coalesce(model("acquisition_model"), model("model"))
+    successor = F.coalesce(model("successor_model"), acquisition)
+    target = F.when(get("$.target_model").isNotNull(), model("target_model")).otherwise(successor)
+    threshold = get("$.al.plasm_thresh")
+    number = threshold.try_cast("double")
+    kept = F.when(number != 1, F.round(1 - number, 4).cast("string")).when(number.isNull(), threshold)
+    sampling = get("$.al.sampling_type")
+    drawn = F.concat(F.lit("k="), get("$.al.gamma_or_k_confident_to_save"), F.lit(", T="), get("$.al.T"))
+    names = F.from_json(get("$.data.dataset_name"), "array<string>")
+    kind = (
+        F.when(get("$.acquisition_model").isNull(), "full")
+        .when(get("$.target_model").isNotNull(), F.when(F.coalesce(number != 1, threshold.isNotNull()), "plasm_thresh").otherwise("plasm"))
+        .when(get("$.successor_model").isNotNull(), "asm")
+        .otherwise("one")
+    )
     return F.struct(
-        F.coalesce(get("$.al.strategy"), F.lit("random")).alias("strategy"),
-        F.coalesce(get("$.data.dataset_name"), F.lit("")).alias("dataset"),
-        F.coalesce(get("$.acquisition_model.name"), F.lit("")).alias("acquisition"),
-        get("$.successor_model.name").alias("successor"),
-        get("$.target_model.name").alias("target"),
-        F.coalesce(get("$.al.sampling_type"), F.lit("none")).alias("ups"),
-        F.coalesce(get("$.al.strategy_kwargs.filtering_threshold"), F.lit("0")).alias("deleted"),
-        F.coalesce(get("$.seed").cast("int"), F.lit(42)).alias("seed"),
+        F.when(learns, get("$.al.strategy")).otherwise("full").alias("strategy"),
+        F.coalesce(F.array_join(names, " "), get("$.data.dataset_name")).alias("dataset"),
+        acquisition.alias("acquisition"),
+        successor.alias("successor"),
+        target.alias("target"),
+        F.when(~learns, "None").when(sampling.isNull() | sampling.isin("", "false"), "k=1.0, T=0").otherwise(drawn).alias("ups"),
+        F.coalesce(get("$.al.share_confident_to_save"), kept, F.lit("0")).alias("deleted"),
+        F.coalesce(get("$.framework.name"), get("$.framework")).alias("framework"),
+        kind.alias("al_type"),
+        get("$.seed").cast("int").alias("seed"),
     )
 
 

@@ -86,6 +86,17 @@ def squared_distances(vector: Column, centres: list[tuple[np.ndarray, np.ndarray
     return far(doubles(vector))
 
 
+def whitened(df: DataFrame, vector: str, white: np.ndarray, name: str) -> DataFrame:
+    """Adds ``name``: the vectors after a matrix that goes to tasks with the function."""
+
+    @F.pandas_udf("array<double>")
+    def after(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_list()).astype(float) if len(vectors) else np.empty((0, len(white)))
+        return pd.Series(list(x @ white.T), dtype=object)
+
+    return df.withColumn(name, after(doubles(F.col(vector))))
+
+
 def distances(df: DataFrame, centres: list[tuple], vector: str, inverses: np.ndarray | dict) -> DataFrame:
     """Adds ``distances``, an array of (key, distance), and ``distance``, the smallest: Mahalanobis distances to the centres (key,
     centroid, empty); those of empty classes are infinite. ``inverses``: one for all, or by key."""
@@ -136,20 +147,35 @@ def batched(train: DataFrame, pool: DataFrame, n: int, label: str, id_col: str,
     return picked
 
 
-def filtered_scores(train: DataFrame, pool: DataFrame, n: int, id_col: str, label: str, vector: str, score: Column, share: float = 0.01) -> DataFrame:
-    """The n best rows by ``score`` after the farthest share of the pool is left out; none for a share of 0."""
-    from .rows import top
+def without_farthest(scored: DataFrame, distance: str, c: int, id_col: str) -> DataFrame:
+    """Leaves out the c rows of the largest distance; of equal ones, those with the smaller id."""
+    if not c:
+        return scored
+    d, i = scored.orderBy(F.col(distance).desc(), id_col).offset(c - 1).limit(1).select(distance, id_col).first()
+    return scored.where((F.col(distance) < d) | ((F.col(distance) == d) & (F.col(id_col) > i)))
 
-    scored = mahalanobis(train, pool, label, vector).drop("distances")
-    c = round(share * scored.count())
-    if c:
-        d, i = scored.orderBy(F.col("distance").desc(), id_col).offset(c - 1).limit(1).select("distance", id_col).first()
-        scored = scored.where((F.col("distance") < d) | ((F.col("distance") == d) & (F.col(id_col) > i)))
-    return top(scored.withColumn("score", score), n, F.col("score").desc(), F.col(id_col))
 
+def filtered_scores(train: DataFrame, pool: DataFrame, n: int, id_col: str, label: str, vector: str, score: Column | str = "lc", share: float = 0.01, probas: str = "probas") -> DataFrame:
+    """The n best rows by ``score`` after the share of the pool that is farthest from the single centre of the training rows is left out; none for a
+    share of 0. ``score``: an expression, or lc, entropy or margin of class probabilities, or mahalanobis, the distance to the nearest class."""
+    from ..functions import proba
+    from .rows import top
 
-def gaussian_density(train: DataFrame, pool: DataFrame, label: str, vector: str, scale: float = 768.0) -> DataFrame:
-    """Adds ``density``: sum over classes of exp(log N(x; mean, covariance) / scale) x share of the class."""
+    if not 0 <= share < 1:
+        raise ValueError(f"a share lies in [0, 1): {share}")
+    scored = single_centre(train, pool, vector).drop("distances").withColumnRenamed("distance", "_far")
+    scored = without_farthest(scored, "_far", round(share * scored.count()), id_col)
+    if isinstance(score, str) and score == "mahalanobis":
+        scored = mahalanobis(train, scored, label, vector).drop("distances").withColumnRenamed("distance", "score")
+    else:
+        named = {"lc": proba.least_confidence, "entropy": proba.entropy, "margin": proba.margin}
+        scored = scored.withColumn("score", named[score](F.col(probas)) if isinstance(score, str) else score)
+    return top(scored.drop("_far"), n, F.col("score").desc(), F.col(id_col))
+
+
+def gaussian_density(train: DataFrame, pool: DataFrame, label: str, vector: str, scale: float | None = 768.0) -> DataFrame:
+    """Adds ``density``: sum over classes of exp(log N(x; mean, covariance) / scale) x share of the class; without a scale, the logarithm
+    of the sum of the classes' densities."""
     total = train.count()
     given, parts = [], []
     for r in centroids(train, label, vector).orderBy(label).collect():
@@ -160,5 +186,11 @@ def gaussian_density(train: DataFrame, pool: DataFrame, label: str, vector: str,
                 break
         given.append((whitener(np.linalg.inv(m)), np.array(r["centroid"])))
         log_p = -0.5 * F.col("_far")[len(parts)] - F.lit(0.5 * (len(cov) * np.log(2 * np.pi) + np.linalg.slogdet(m)[1]).item())
-        parts.append(F.exp(log_p / scale) * F.lit(r["n"] / total))
-    return pool.withColumn("_far", squared_distances(F.col(vector), given)).withColumn("density", sum(parts[1:], parts[0])).drop("_far")
+        parts.append(log_p if scale is None else F.exp(log_p / scale) * F.lit(r["n"] / total))
+    far = pool.withColumn("_far", squared_distances(F.col(vector), given))
+    if scale is None:
+        # the largest term goes before the exponential, which would vanish
+        high = F.greatest(*parts) if len(parts) > 1 else parts[0]
+        total_ = sum((F.exp(p - F.col("_high")) for p in parts[1:]), F.exp(parts[0] - F.col("_high")))
+        return far.withColumn("_high", high).withColumn("density", F.col("_high") + F.log(total_)).drop("_far", "_high")
+    return far.withColumn("density", sum(parts[1:], parts[0])).drop("_far")

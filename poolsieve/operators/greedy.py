@@ -39,30 +39,62 @@ def unique(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.groupBy(vector).agg(F.min(id_col).alias(id_col))
 
 
-def idds(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector: str, lam: float = 0.667, cosine: bool = False, uncertainty: str | None = None, digits: int = 9) -> Picks:
+# fixed values: names of similarities
+SIMILARITIES = ("scalar_product", "cosine_similarity", "euclidean_distance", "euclidean_normalized_distance", "mahalanobis_similarity", "mahalanobis_distance")
+
+
+def _sides(pool: DataFrame, labelled: DataFrame, id_col: str, vector: str, similarity: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``_q`` and ``_x``, so that the similarity of a and b is the product of a's _q and b's _x, whichever it is: negative
+    squared distances are 2 q x - |q|^2 - |x|^2, Mahalanobis ones plain ones after whitening by the covariance of all different rows."""
+    from .density import covariance, inverse, whitened, whitener
+
+    if similarity not in SIMILARITIES:
+        raise ValueError(f"unknown similarity {similarity}; known are {SIMILARITIES}")
+    vec = doubles(F.col(vector))
+    vec = normalised(vec) if similarity in ("cosine_similarity", "euclidean_normalized_distance") else vec
+    pool, labelled = pool.withColumn("_x", vec), labelled.withColumn("_x", vec)
+    if similarity.startswith("mahalanobis"):
+        white = whitener(inverse(covariance(pool.select("_x").distinct().union(labelled.select("_x")), None, "_x")))
+        pool, labelled = (whitened(f, "_x", white, "_x") for f in (pool, labelled))
+    if similarity in ("scalar_product", "cosine_similarity", "mahalanobis_similarity"):
+        return pool.withColumn("_q", F.col("_x")), labelled.withColumn("_q", F.col("_x"))
+    square = dot(F.col("_x"), F.col("_x"))
+    q = F.concat(F.transform("_x", lambda v: 2 * v), F.array(-square, F.lit(-1.0)))
+    x = F.concat("_x", F.array(F.lit(1.0), square))
+    return tuple(f.withColumns({"_q": q, "_x": x}) for f in (pool, labelled))
+
+
+def idds(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector: str, lam: float = 0.667, cosine: bool = False, uncertainty: str | None = None, digits: int = 9, similarity: str | None = None, outliers: float | None = None) -> Picks:
     """In-domain diversity: lam x mean similarity to the rest of the pool - (1 - lam) x mean similarity to what is labelled or picked.
 
     Similarity of a row with itself counts as 1 and is taken off. With ``uncertainty`` the first term is that column.
-    Ties, after rounding to ``digits``, go to the smaller id; equal vectors are one row.
+    Ties, after rounding to ``digits``, go to the smaller id; equal vectors are one row. ``similarity``: one of SIMILARITIES. From the third pick on,
+    the share ``outliers`` of all rows that is farthest from the single centre of the labelled and picked ones can't be picked.
     """
-    vec = doubles(F.col(vector))
-    vec = normalised(vec) if cosine else vec
-    agg = F.min(id_col).alias(id_col)
-    pool = pool.withColumn("_x", vec)
-    pool = (pool.groupBy("_x").agg(agg, F.max(uncertainty).alias("_u")) if uncertainty else pool.groupBy("_x").agg(agg)).persist()
-    labelled = labelled.withColumn("_x", vec)
+    similarity = similarity or ("cosine_similarity" if cosine else "scalar_product")
+    pool, labelled = _sides(pool, labelled, id_col, vector, similarity)
+    first = lambda c: F.min_by(c, id_col).alias(c)
+    more = [F.max(uncertainty).alias("_u")] if uncertainty else []
+    pool = pool.withColumn("_v", doubles(F.col(vector)))
+    pool = pool.groupBy("_x").agg(F.min(id_col).alias(id_col), first("_q"), first("_v"), *more).persist()
     inside, others = vector_sum(pool, "_x"), vector_sum(labelled, "_x")
     size, known = pool.count(), labelled.count()
+    total = size + known
     others = others or [0.0] * len(inside)
-    picks = Picks()
-    for _ in range(min(n, size)):
-        near = F.col("_u") if uncertainty else (dot(F.col("_x"), literal_vector(inside)) - 1) / F.lit(float(max(1, size - 1)))
-        far = dot(F.col("_x"), literal_vector(others)) / F.lit(float(known)) if known else F.lit(0.0)
+    picks, chosen = Picks(), []
+    for step in range(min(n, size)):
+        near = F.col("_u") if uncertainty else (dot(F.col("_q"), literal_vector(inside)) - 1) / F.lit(float(max(1, size - 1)))
+        far = dot(F.col("_q"), literal_vector(others)) / F.lit(float(known)) if known else F.lit(0.0)
         picks.last = F.round(lam * near - (1 - lam) * far, digits)
         left = pool.where(~F.col(id_col).isin(picks.ids)) if picks.ids else pool
-        best = left.select(id_col, "_x", picks.last.alias("s")).agg(F.max(F.struct(F.col("s"), (-F.col(id_col)).alias("i"), F.col("_x"))).alias("b")).first()["b"]
+        if outliers and step > 1:
+            left = _inliers(pool, labelled, left, id_col, vector, chosen, round(outliers * total))
+        best = left.select(id_col, "_x", "_v", picks.last.alias("s")).agg(F.max(F.struct(F.col("s"), (-F.col(id_col)).alias("i"), F.col("_x"), F.col("_v"))).alias("b")).first()["b"]
+        if best is None:
+            break
         picks.ids.append(-best["i"])
         picks.scores.append(best["s"])
+        chosen.append((-best["i"], best["_v"]))
         inside = [a - b for a, b in zip(inside, best["_x"], strict=True)]
         others = [a + b for a, b in zip(others, best["_x"], strict=True)]
         size, known = size - 1, known + 1
@@ -70,6 +102,16 @@ def idds(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector: str,
     return picks
 
 
+def _inliers(pool: DataFrame, labelled: DataFrame, left: DataFrame, id_col: str, vector: str, chosen: list[tuple], c: int) -> DataFrame:
+    """Rows of ``left`` that are not among the c rows, of all, farthest from the single centre of the labelled and chosen ones."""
+    from .density import single_centre, without_farthest
+
+    known = labelled.select(id_col, doubles(F.col(vector)).alias("_v"))
+    train = known.union(pool.sparkSession.createDataFrame(chosen, known.schema)) if chosen else known
+    every = single_centre(train, known.union(pool.select(id_col, "_v")), "_v").select(id_col, "distance")
+    return left.join(without_farthest(every, "distance", c, id_col).select(id_col), id_col, "left_semi")
+
+
 def idds_top(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector: str, u_top: int, l_top: int, lam: float = 0.667, digits: int = 9) -> Picks:
     """As ``idds``, with means over the u_top most similar rows of the pool, and the l_top of the labelled and picked ones.
 
@@ -152,17 +194,20 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def mmr(overlap: DataFrame, counts: DataFrame, n: int, lam: float = 0.5, digits: int = 9) -> Picks:
+def mmr(overlap: DataFrame, counts: DataFrame, n: int, lam: float = 0.5, digits: int = 9, f1: bool = False) -> Picks:
     """Maximal marginal relevance on shared n-grams. ``overlap``: (n, i, j, common) for pairs with something in common,
     i = j included, both directions; ``counts``: (n, i, total).
 
     For each order: out(i) = (sum over j not picked of common / total(j) - 1) / (left - 1), in(i) = largest common / total(i) over
-    picked j; s = lam out - (1 - lam) in. Orders combine by geometric mean, shifted by 1 if any is negative. A row
-    without n-grams has 0 for its share. Sums change only where a pick has something in common, so a pick joins
+    picked j; s = lam out - (1 - lam) in. With ``f1`` both shares are 2 common / (total(i) + total(j)). Orders combine by geometric mean, shifted by 1 if
+    any is negative. A row without n-grams has 0 for its share. Sums change only where a pick has something in common, so a pick joins
     the pairs of one row.
     """
     sizes = counts.withColumnRenamed("i", "j").withColumnRenamed("total", "total_j")
-    shares = overlap.join(sizes, ["n", "j"]).withColumn("share", F.col("common") / F.col("total_j")).persist()
+    shares = overlap.join(sizes, ["n", "j"]).join(counts, ["n", "i"])
+    both = 2 * F.col("common") / (F.col("total") + F.col("total_j"))
+    out, inner = (both, both) if f1 else (F.col("common") / F.col("total_j"), F.col("common") / F.col("total"))
+    shares = shares.withColumns({"share": out, "back": inner}).drop("total", "total_j").persist()
     base = counts.join(shares.groupBy("n", "i").agg(F.sum("share").alias("out")), ["n", "i"], "left")
     state = base.select("n", "i", "total", F.coalesce("out", F.lit(0.0)).alias("out"), F.lit(0.0).alias("in"))
     state = _kept(state)
@@ -178,9 +223,9 @@ def mmr(overlap: DataFrame, counts: DataFrame, n: int, lam: float = 0.5, digits:
         pick = -best["i"]
         picks.ids.append(pick)
         picks.scores.append(best["s"])
-        mine = shares.where(F.col("j") == pick).select("n", "i", F.col("share").alias("gone"), "common")
+        mine = shares.where(F.col("j") == pick).select("n", "i", F.col("share").alias("gone"), "back")
         state = state.join(mine, ["n", "i"], "left")
-        state = state.select("n", "i", "total", (F.col("out") - F.coalesce("gone", F.lit(0.0))).alias("out"), F.greatest("in", F.coalesce(F.col("common") / F.col("total"), F.lit(0.0))).alias("in"))
+        state = state.select("n", "i", "total", (F.col("out") - F.coalesce("gone", F.lit(0.0))).alias("out"), F.greatest("in", F.coalesce("back", F.lit(0.0))).alias("in"))
         state = _kept(state)
         left -= 1
     shares.unpersist()

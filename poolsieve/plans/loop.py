@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -9,8 +10,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import acquire, greedy
-from ..operators.rows import query_size, sample, token_budget, union, within, without
+from ..functions import proba
+from ..operators import acquire, density, greedy
+from ..operators.overlap import gram_counts, pair_overlap
+from ..operators.rows import query_size, sample, token_budget, top, union, within, without
 from ..session import hash01
 
 
@@ -64,7 +67,7 @@ def _idds(state: PoolState, n: int, vector: str = "embedding", **kw) -> DataFram
     if "u_top" in kw:
         picks = greedy.idds_top(state.pool, state.labelled, n, state.id_col, vector, kw["u_top"], kw.get("l_top", kw["u_top"]), kw.get("lam", 0.667))
     else:
-        picks = greedy.idds(state.pool, state.labelled, n, state.id_col, vector, **{k: v for k, v in kw.items() if k in ("lam", "cosine", "uncertainty")})
+        picks = greedy.idds(state.pool, state.labelled, n, state.id_col, vector, **{k: v for k, v in kw.items() if k in ("lam", "cosine", "uncertainty", "similarity", "outliers")})
     return picks.frame(state.pool.sparkSession, state.id_col)
 
 
@@ -74,6 +77,18 @@ def _idds_uncertainty(state: PoolState, n: int, score: str = "seq_score", normal
     return _idds(replace(state, pool=pool), n, uncertainty="_unc", **kw)
 
 
+EXPRESSIONS: dict[str, Callable] = {
+    "lc": proba.least_confidence,
+    "entropy": proba.entropy,
+    "margin": proba.margin,
+    "mnlp": proba.mnlp,
+    "bald": proba.bald,
+    "var_ratio": proba.variation_ratio,
+    "sampled_max_prob": proba.sampled_max,
+    "probability_variance": proba.variance,
+}
+
+
 def _expression(score: Callable) -> Strategy:
     def run(state: PoolState, n: int, probas: str = "probas", **_) -> DataFrame:  # noqa: ANN003
         return state.pool.withColumn("uncertainty", score(F.col(probas))).orderBy(F.col("uncertainty").desc(), state.id_col).limit(n)
@@ -88,9 +103,37 @@ def _cluster_margin(state: PoolState, n: int, probas: str = "probas", cluster: s
     return acquire.cluster_round_robin(few, cluster, -F.col("margin"), n, state.id_col)
 
 
-def _registry() -> dict[str, Strategy]:
-    from ..functions import proba
+def _mahalanobis(state: PoolState, n: int, label: str = "label", vector: str = "embedding", **_) -> DataFrame:  # noqa: ANN003
+    scored = density.mahalanobis(state.labelled, state.pool, label, vector)
+    return top(scored.drop("distances"), n, F.col("distance").desc(), F.col(state.id_col))
+
+
+def _triplet(state: PoolState, n: int, label: str = "label", vector: str = "embedding", lam: float = 0.25, **_) -> DataFrame:  # noqa: ANN003
+    return top(density.triplet(state.labelled, state.pool, label, vector, lam), n, F.col("score").desc(), F.col(state.id_col))
+
+
+def _mahalanobis_filtering(state: PoolState, n: int, label: str = "label", vector: str = "embedding", strategy: str = "lc", filtering_share: float = 0.01, probas: str = "probas", batched: bool = False, **_) -> DataFrame:  # noqa: ANN003
+    if batched and strategy == "mahalanobis":
+        far = density.single_centre(state.labelled, state.pool, vector)
+        stay = density.without_farthest(far, "distance", round(filtering_share * far.count()), state.id_col)
+        pool = within(state.pool, stay, state.id_col)
+        ids = density.batched(state.labelled, pool, n, label, state.id_col, vector)
+        order = state.pool.sparkSession.createDataFrame(list(enumerate(ids)), f"ord int, {state.id_col} long")
+        return order.join(pool, state.id_col).orderBy("ord")
+    return density.filtered_scores(state.labelled, state.pool, n, state.id_col, label, vector, strategy, filtering_share, probas)
+
+
+def _mmr(f1: bool) -> Strategy:
+    def run(state: PoolState, n: int, tokens: str = "tokens", orders: tuple[int, ...] = (1, 2), lam: float = 0.5, **_) -> DataFrame:  # noqa: ANN003
+        counts = gram_counts(state.pool, state.id_col, F.col(tokens), orders)
+        pairs = pair_overlap(counts, counts).select("n", "i", "j", "common")
+        picks = greedy.mmr(pairs, counts.groupBy("n", "i").agg(F.sum("c").alias("total")), n, lam, f1=f1)
+        return picks.frame(state.pool.sparkSession, state.id_col)
+
+    return run
 
+
+def _registry() -> dict[str, Strategy]:
     named: dict[str, Strategy] = {
         "random": _random,
         "seq_score": _seq_score,
@@ -100,14 +143,45 @@ def _registry() -> dict[str, Strategy]:
         "embeddings_similarity": _idds,
         "idds_with_uncertainty": _idds_uncertainty,
         "cluster_margin": _cluster_margin,
+        "mahalanobis": _mahalanobis,
+        "triplet": _triplet,
+        "mahalanobis_filtering": _mahalanobis_filtering,
+        "mmr_rec_prec": _mmr(False),
+        "mmr_f1": _mmr(True),
     }
-    scores = {"lc": proba.least_confidence, "entropy": proba.entropy, "margin": proba.margin, "mnlp": proba.mnlp, "bald": proba.bald, "var_ratio": proba.variation_ratio, "sampled_max_prob": proba.sampled_max, "probability_variance": proba.variance}
-    return named | {k: _expression(f) for k, f in scores.items()}
+    return named | {k: _expression(f) for k, f in EXPRESSIONS.items()}
 
 
 STRATEGIES = _registry()
 
 
+def strategy_name(strategy: str, split_by_tokens: bool | None = None, head_only_dropout: bool = False) -> str:
+    """The name under which an experiment asks for a strategy: by tokens or by samples where a sequence can be split, and BALD with
+    dropout of the head alone."""
+    postfix = "" if split_by_tokens is None else "_tokens" if split_by_tokens else "_samples"
+    return strategy + postfix + ("_head" if strategy == "bald" and head_only_dropout else "")
+
+
+def named_strategy(name: str) -> Strategy:
+    """A strategy by its name, postfixes allowed: ``_tokens`` counts the step in tokens, the others change what the scorer does."""
+    plain = name.removesuffix("_head")
+    base = plain.removesuffix("_tokens").removesuffix("_samples")
+    if base not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {name}; known are {sorted(STRATEGIES)}")
+    if not plain.endswith("_tokens"):
+        return STRATEGIES[base]
+    if base == "random":
+        return lambda state, n, tokens="n_tokens", **kw: _random(state, n, tokens=tokens, **kw)
+    if base not in EXPRESSIONS:
+        raise ValueError(f"{base} can't be counted in tokens")
+
+    def by_tokens(state: PoolState, n: int, tokens: str = "n_tokens", probas: str = "probas", **_) -> DataFrame:  # noqa: ANN003
+        scored = state.pool.withColumn("uncertainty", EXPRESSIONS[base](F.col(probas)))
+        return token_budget(scored, F.col(tokens), n, F.col("uncertainty").desc(), F.col(state.id_col)).drop("cum")
+
+    return by_tokens
+
+
 @dataclass
 class Spec:
     """An experiment: the strategy by name or as a function, how many rows (or which share) a step takes."""
@@ -120,7 +194,7 @@ class Spec:
     subsample: Callable[[DataFrame, int], DataFrame] | None = None
 
     def choose(self) -> Strategy:
-        return STRATEGIES[self.strategy] if isinstance(self.strategy, str) else self.strategy
+        return named_strategy(self.strategy) if isinstance(self.strategy, str) else self.strategy
 
 
 def run(state: PoolState, spec: Spec, scorer: Scorer | None = None) -> Iterator[tuple[PoolState, DataFrame, dict[str, float]]]:
@@ -162,3 +236,41 @@ def best_query(candidates: DataFrame, score: Callable[[DataFrame], float], keys:
     found = [(score(candidates.where(F.col(key) == k)), -k) for k in keys]
     value, k = max(found)
     return -k, value
+
+
+def adaptive(value: float | str, metrics: DataFrame, metric: str) -> float:
+    """A threshold or smoothing of pseudo-labels: a number as it is; ``adaptive`` is the last value of a metric, 1 before there is one."""
+    from ..operators.pseudo import last_metric
+
+    if value != "adaptive":
+        return float(value)
+    last = last_metric(metrics, metric)
+    return 1.0 if last is None else last
+
+
+def epochs_and_batch(rows: int, epochs: float, batch: int, min_steps: int, adjust_batch: bool = True, adjust_epochs: bool = True, min_batch: int = 4) -> tuple[float, int]:
+    """(epochs, batch size) that give at least ``min_steps`` gradient steps: the batch shrinks to the first of four roundings that is enough, to
+    ``min_batch`` at least, where epochs grow instead. Below one epoch nothing changes."""
+    if not adjust_batch or epochs < 1:
+        return epochs, batch
+    need, have = math.ceil(min_steps / epochs), math.ceil(rows / batch)
+    if have >= need:
+        return epochs, batch
+    exact = batch / (need / have)
+    tried = [math.ceil(exact), round(exact), int(exact)]  # the last rounding, one less, means the least batch
+    for size in tried:
+        if size < min_batch:
+            break
+        if math.ceil(rows / size) >= need:
+            return epochs, size
+    steps = math.ceil(rows / min_batch)
+    return (math.ceil(need / steps * epochs) if adjust_epochs else epochs), min_batch
+
+
+def train_constants(rows: int, epochs: float, batch: int, min_steps: int, warmup: float, dev_share: float = 0.0, adjust_batch: bool = True, adjust_epochs: bool = True, min_batch: int = 4) -> tuple[int, float, int, int]:
+    """(batch size, epochs, steps an epoch, warm-up steps). With a validation share, training stops early: epochs double and are not adjusted."""
+    if dev_share > 0:
+        epochs, adjust_epochs = epochs * 2, False
+    epochs, batch = epochs_and_batch(rows, epochs, batch, min_steps, adjust_batch, adjust_epochs, min_batch)
+    steps = math.ceil(rows / batch)
+    return batch, epochs, steps, int(epochs * steps * warmup)

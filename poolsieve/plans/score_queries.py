@@ -101,15 +101,10 @@ def class_centroids(spark, d):  # noqa: ANN001, ANN201
     return flat.select("label", F.col("pos").cast("long"), F.round("m", 6).alias("m"))
 
 
-@query("within_class_scatter", """with f as (select vec_id, label, x, pos from (select vec_id, label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as pos from embeddings) where pos < 8),
+@query("within_class_scatter", """with f as (select vec_id, label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as pos from embeddings),
 m as (select label, pos, avg(x) as m from f group by all), c as (select vec_id, pos, x - m as x from f join m using (label, pos))
 select a.pos as i, b.pos as j, round(sum(a.x * b.x) / ((select count(*) from embeddings) - 1), 6) as s from c a join c b using (vec_id) group by all""")
 def within_class_scatter(spark, d):  # noqa: ANN001, ANN201
-    return _within_class(table(spark, d, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v")))
-
-
-@query("within_class_scatter_whole", ORACLES["within_class_scatter"].replace(" where pos < 8", ""))
-def within_class_scatter_whole(spark, d):  # noqa: ANN001, ANN201
     return _within_class(table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
 
 
@@ -153,82 +148,77 @@ def nearest_centroid(spark, d):  # noqa: ANN001, ANN201
     return got.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
-@query("min_center_distance", f"with {VECTORS} select p.vec_id, round(min(list_distance(p.embedding, l.embedding)), 6) as distance from pool p cross join (select * from lab where vec_id < 100) l group by p.vec_id")
+@query("min_center_distance", f"with {VECTORS} select p.vec_id, round(min(list_distance(p.embedding, l.embedding)), 6) as distance from pool p cross join lab l group by p.vec_id")
 def min_center_distance(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = split_vectors(spark, d)
-    return neighbours.centre_distance(pool, lab.where("vec_id < 100"), "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
-
-
-@query("min_center_distance_all", ORACLES["min_center_distance"].replace("(select * from lab where vec_id < 100)", "lab"))
-def min_center_distance_all(spark, d):  # noqa: ANN001, ANN201
     lab, pool = split_vectors(spark, d)
     return neighbours.centre_distance(pool, lab, "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-def _mahalanobis_sql(tail: str) -> str:
-    """Two components, so that the inverse of the covariance can be written out."""
-    return f"""with v as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings), l as (select * from v where vec_id % 10 = 0), p as (select * from v where vec_id % 10 <> 0),
-m as (select label, avg(x) as mx, avg(y) as my from l group by label), c as (select l.*, x - mx as dx, y - my as dy from l join m using (label)),
-k as (select sum(dx * dx) / (count(*) - 1) as a, sum(dx * dy) / (count(*) - 1) as b, sum(dy * dy) / (count(*) - 1) as d from c),
-far as (select vec_id, m.label, sqrt((d * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * d - b * b)) as far from p cross join m cross join k) {tail}"""
-
-
-def _two(spark, d):  # noqa: ANN001, ANN202
-    x = table(spark, d, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("v"))
-    return x.where("vec_id % 10 = 0"), x.where("vec_id % 10 <> 0")
-
-
-@query("mahalanobis_centroids", _mahalanobis_sql("select vec_id, round(min(far), 6) as distance from far group by vec_id"))
+def _far_sql(tail: str) -> str:
+    """Mahalanobis distances over whole vectors; every other row is labelled, so that the covariances are regular on small tables too. The inverse is
+    taken by Gauss and Jordan, a row a step."""
+    inverse = lambda n, cov: f"""start_{n} as (select list(list_concat(r, list_transform(range(1, len(r) + 1), lambda k: case when k = i then 1.0::double else 0.0::double end)) order by i) as m from (select i, list(s order by j) as r from {cov} group by i)),
+steps_{n}(k, m) as (select 1, m from start_{n} union all select k + 1, list_transform(m, lambda row, i: case when i = k then p else list_transform(list_zip(row, p), lambda z: z[1] - row[k] * z[2]) end)
+    from (select k, m, list_transform(m[k], lambda v: v / m[k][k]) as p from steps_{n} where k <= len(m))),
+inv_{n} as (select list_transform(m, lambda r: r[len(m) + 1:]) as w from steps_{n} where k = len(m) + 1)"""
+    form = lambda w, d: f"sqrt(list_sum(list_transform(list_zip({w}, {d}), lambda z: list_dot_product(z[1], {d}) * z[2])))"
+    return f"""with recursive v as (select vec_id, label, embedding::double[] as x from embeddings), l as (select * from v where vec_id % 2 = 0), p as (select * from v where vec_id % 2 = 1),
+flat as (select vec_id, label, unnest(x) as v, generate_subscripts(x, 1) as i from l),
+mean as (select label, i, avg(v) as m from flat group by all), one as (select i, avg(v) as m from flat group by i),
+own as (select vec_id, i, v - m as d from flat join mean using (label, i)), off as (select vec_id, i, v - m as d from flat join one using (i)),
+cov as (select a.i, b.i as j, sum(a.d * b.d) / ((select count(*) from l) - 1) as s from own a join own b using (vec_id) group by all),
+cov_one as (select a.i, b.i as j, sum(a.d * b.d) / ((select count(*) from l) - 1) as s from off a join off b using (vec_id) group by all),
+{inverse("class", "cov")}, {inverse("one", "cov_one")},
+centre as (select label, list(m order by i) as c from mean group by label), centre_one as (select list(m order by i) as c from one),
+diff as (select vec_id, label, list_transform(list_zip(x, c), lambda z: z[1] - z[2]) as d from (select vec_id, centre.label, x, c from p cross join centre)),
+near as (select vec_id, min({form("w", "d")}) as near from diff cross join inv_class group by vec_id),
+diff_one as (select vec_id, x[1] as first, list_transform(list_zip(x, c), lambda z: z[1] - z[2]) as d from p cross join centre_one),
+far as (select vec_id, first, {form("w", "d")} as far from diff_one cross join inv_one) {tail}"""
+
+
+def _halves(spark, d):  # noqa: ANN001, ANN202
+    x = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return x.where("vec_id % 2 = 0"), x.where("vec_id % 2 = 1")
+
+
+@query("mahalanobis_centroids", _far_sql("select vec_id, round(near, 6) as distance from near"))
 def mahalanobis_centroids(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = _two(spark, d)
+    lab, pool = _halves(spark, d)
     return density.mahalanobis(lab, pool, "label", "v").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("mahalanobis_per_class", """with v as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings), l as (select * from v where vec_id % 10 = 0), p as (select * from v where vec_id % 10 <> 0),
-m as (select label, avg(x) as mx, avg(y) as my, var_pop(x) as a, covar_pop(x, y) as b, var_pop(y) as d from l group by label)
-select vec_id, round(min(sqrt((d * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * d - b * b))), 6) as distance from p cross join m group by vec_id""")
+@query("mahalanobis_per_class")
 def mahalanobis_per_class(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = _two(spark, d)
+    lab, pool = _halves(spark, d)
     return density.mahalanobis(lab, pool, "label", "v", per_class=True).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("unicentroid_mahalanobis", """with v as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings), m as (select avg(x) as mx, avg(y) as my, var_samp(x) as a, covar_samp(x, y) as b, var_samp(y) as d from v where vec_id % 10 = 0)
-select vec_id, round(sqrt((d * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * d - b * b)), 6) as distance from v cross join m where vec_id % 10 <> 0""")
+@query("unicentroid_mahalanobis", _far_sql("select vec_id, round(far, 6) as distance from far"))
 def unicentroid_mahalanobis(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = _two(spark, d)
+    lab, pool = _halves(spark, d)
     return density.single_centre(lab, pool, "v").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("mahalanobis_filtering", _mahalanobis_sql(""", near as (select vec_id, min(far) as far, any_value(x) as x from far join p using (vec_id) group by vec_id),
-r as (select *, row_number() over (order by far desc, vec_id) as k, round_even(0.01 * count(*) over (), 0) as c from near)
-select vec_id, round(x, 6) as score from r where k > c order by x desc, vec_id limit 20"""))
-def mahalanobis_filtering(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = _two(spark, d)
-    return density.filtered_scores(lab, pool, 20, "vec_id", "label", "v", F.col("v")[0]).select("vec_id", F.round("score", 6).alias("score"))
-
-
-@query("mahalanobis_centroids_whole")
-def mahalanobis_centroids_whole(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = split_vectors(spark, d)
-    return density.mahalanobis(lab, pool, "label", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+@query("triplet_mahalanobis", _far_sql("select vec_id, round(0.25 * near - 0.75 * far, 6) as score from near join far using (vec_id)"))
+def triplet_mahalanobis(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = _halves(spark, d)
+    return density.triplet(lab, pool, "label", "v").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("mahalanobis_per_class_whole")
-def mahalanobis_per_class_whole(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = split_vectors(spark, d)
-    return density.mahalanobis(lab, pool, "label", "embedding", per_class=True).select("vec_id", F.round("distance", 6).alias("distance"))
+_LEFT = """, kept as (select *, row_number() over (order by far desc, vec_id) as k, round_even(0.01 * count(*) over (), 0) as c from far)
+select vec_id, round({0}, 6) as score from kept {1} where k > c order by {0} desc, vec_id limit 20"""
 
 
-@query("unicentroid_mahalanobis_whole")
-def unicentroid_mahalanobis_whole(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = split_vectors(spark, d)
-    return density.single_centre(lab, pool, "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+@query("mahalanobis_filtering", _far_sql(_LEFT.format("near", "join near using (vec_id)")))
+def mahalanobis_filtering(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = _halves(spark, d)
+    return density.filtered_scores(lab, pool, 20, "vec_id", "label", "v", "mahalanobis").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("mahalanobis_filtering_whole")
-def mahalanobis_filtering_whole(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = split_vectors(spark, d)
-    return density.filtered_scores(lab, pool, 20, "vec_id", "label", "embedding", F.col("embedding")[0]).select("vec_id", F.round("score", 6).alias("score"))
+@query("mahalanobis_filtering_score", _far_sql(_LEFT.format("first", "")))
+def mahalanobis_filtering_score(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = _halves(spark, d)
+    return density.filtered_scores(lab, pool, 20, "vec_id", "label", "v", F.col("v")[0]).select("vec_id", F.round("score", 6).alias("score"))
 
 
 def _picks(spark, p) -> object:  # noqa: ANN001
@@ -279,18 +269,12 @@ def idds_utop_ltop_k3(spark, d):  # noqa: ANN001, ANN201
     return _picks(spark, greedy.idds_top(pool, lab, 3, "vec_id", "embedding", 5, 4))
 
 
-@query("kcenter_k5", f"""with recursive {VECTORS}, far as materialized (select a.vec_id as i, b.vec_id as j, b.vec_id < 50 and b.vec_id % 10 = 0 as known, list_distance(a.embedding, b.embedding) ** 2 as f from pool a cross join vec b),
+@query("kcenter_k5", f"""with recursive {VECTORS}, far as materialized (select a.vec_id as i, b.vec_id as j, b.vec_id % 10 = 0 as known, list_distance(a.embedding, b.embedding) ** 2 as f from pool a cross join vec b),
 step(n, picked, scores) as (select 0, []::bigint[], []::double[] union all
     select n + 1, list_append(picked, best.i), list_append(scores, best.s) from step, lateral (select arg_max(i, (s, -i)) as i, max(s) as s from (
         select i, round(min(f) filter (where known or list_contains(picked, j)), 9) as s from far where not list_contains(picked, i) group by i)) best where n < 5)
 select unnest(range(5)) as ord, unnest(picked) as vec_id, round(unnest(scores), 6) as score from step where n = 5""")
 def kcenter_k5(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = split_vectors(spark, d)
-    return _picks(spark, greedy.k_center(pool, lab.where("vec_id < 50"), 5, "vec_id", "embedding"))
-
-
-@query("kcenter_k5_all", ORACLES["kcenter_k5"].replace("b.vec_id < 50 and ", ""))
-def kcenter_k5_all(spark, d):  # noqa: ANN001, ANN201
     lab, pool = split_vectors(spark, d)
     return _picks(spark, greedy.k_center(pool, lab, 5, "vec_id", "embedding"))
 

@@ -78,27 +78,18 @@ def rouge_lsum(spark, d):  # noqa: ANN001, ANN201
     return overlap.summary_lcs(replies(spark, d), "pred", "ref").select("id", "rouge_lsum")
 
 
-@query("corpus_bleu", f"""with {REPLIES}, t as (select id, list_filter(regexp_split_to_array(pred, '\\s+'), lambda x: x <> '') as p, list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '') as r from replies),
+_BLEU_COUNTS = f"""with {REPLIES}, t as (select id, list_filter(regexp_split_to_array(pred, '\\s+'), lambda x: x <> '') as p, list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '') as r from replies),
 o as (select unnest([1, 2]) as n), x as (select id, n, unnest(list_transform(range(1, greatest(len(p) - n + 2, 1)), lambda i: array_to_string(p[i:i + n - 1], ' '))) as gram from t, o),
 y as (select id, n, unnest(list_transform(range(1, greatest(len(r) - n + 2, 1)), lambda i: array_to_string(r[i:i + n - 1], ' '))) as gram from t, o),
 xc as (select id, n, gram, count(*) as c from x group by all), yc as (select id, n, gram, count(*) as c from y group by all)
-select n::bigint as n, sum(xc.c)::bigint as possible, sum(case when yc.c is null then 0 else least(xc.c, yc.c) end)::bigint as matches from xc left join yc using (id, n, gram) group by n""")
-def corpus_bleu(spark, d):  # noqa: ANN001, ANN201
-    r = replies(spark, d)
-    a = overlap.gram_counts(r, "id", tx.whitespace_tokens(F.col("pred")))
-    b = overlap.gram_counts(r, "id", tx.whitespace_tokens(F.col("ref"))).withColumnRenamed("c", "e")
-    both = a.join(b, ["n", "i", "gram"], "left")
-    hit = F.when(F.col("e").isNotNull(), F.least("c", "e")).otherwise(0)
-    return both.groupBy(F.col("n").cast("long").alias("n")).agg(F.sum("c").alias("possible"), F.sum(hit).alias("matches"))
-
-
-_BLEU = ORACLES["corpus_bleu"].replace("unnest([1, 2])", "unnest([1, 2, 3, 4])").replace("\nselect n::bigint as n, sum", ",\nm as (select n::bigint as n, sum") + """),
+select n::bigint as n, sum(xc.c)::bigint as possible, sum(case when yc.c is null then 0 else least(xc.c, yc.c) end)::bigint as matches from xc left join yc using (id, n, gram) group by n"""
+_BLEU = _BLEU_COUNTS.replace("unnest([1, 2])", "unnest([1, 2, 3, 4])").replace("\nselect n::bigint as n, sum", ",\nm as (select n::bigint as n, sum") + """),
 l as (select sum(len(p)) as hyp, sum(len(r)) as ref from t)
 select round(case when min(matches) = 0 then 0 else 100 * least(1, exp(1 - any_value(ref) / any_value(hyp))) * exp(avg(ln(greatest(matches, 1) / possible))) end, 6)::double as bleu from m, l"""
 
 
-@query("corpus_bleu_score", _BLEU)
-def corpus_bleu_score(spark, d):  # noqa: ANN001, ANN201
+@query("corpus_bleu", _BLEU)
+def corpus_bleu(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(overlap.corpus_bleu(replies(spark, d), "id", "pred", "ref"),)], "bleu double").select(F.round("bleu", 6).alias("bleu"))
 
 
@@ -161,14 +152,12 @@ def accuracy_f1(spark, d):  # noqa: ANN001, ANN201
     return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
 
 
-_NER = "list_transform(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')[1:20], lambda w: case length(w) % 5 when 0 then 'B-A' when 1 then 'I-A' when 2 then 'B-B' when 3 then 'I-B' else 'O' end)"
+_NER = "list_transform(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''), lambda w: case length(w) % 5 when 0 then 'B-A' when 1 then 'I-A' when 2 then 'B-B' when 3 then 'I-B' else 'O' end)"
 
 
-def _tags(c: str, whole: bool = False):  # noqa: ANN202
-    w = F.length
+def _tags(c: str):  # noqa: ANN202
     names = F.array(*[F.lit(x) for x in ("B-A", "I-A", "B-B", "I-B", "O")])
-    words = tx.whitespace_tokens(F.col(c))
-    return F.transform(words if whole else F.slice(words, 1, 20), lambda x: F.get(names, w(x) % 5))
+    return F.transform(tx.whitespace_tokens(F.col(c)), lambda x: F.get(names, F.length(x) % 5))
 
 
 def _spans(c: str, name: str) -> str:
@@ -187,13 +176,6 @@ def entity_f1(spark, d):  # noqa: ANN001, ANN201
     return got.select("type", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("long"))
 
 
-@query("entity_f1_whole", ORACLES["entity_f1"].replace("[1:20]", ""))
-def entity_f1_whole(spark, d):  # noqa: ANN001, ANN201
-    r = replies(spark, d).select("id", _tags("ref", True).alias("l"), _tags("pred", True).alias("p"))
-    got = metrics.entity_f1(r, "id", "l", "p")
-    return got.select("type", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("long"))
-
-
 @query("seed_mean_std_ci", """with m as (select event_type, user_id % 9 as seed, avg(value) as v from events group by all), g as (select event_type, avg(v) as mean, stddev_samp(v) as std, count(v) as n from m group by all)
 select event_type, round(mean, 6) as mean, round(std, 6) as std, n, round(mean - 2.2621571627409915 * std / sqrt(n), 6) as low, round(mean + 2.2621571627409915 * std / sqrt(n), 6) as high from g where n = 9""")
 def seed_mean_std_ci(spark, d):  # noqa: ANN001, ANN201

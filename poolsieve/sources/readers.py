@@ -4,11 +4,15 @@ read on the driver."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import whitespace_tokens
+from ..operators.rows import numbered, sample, stratified, within_quantiles
 from ..operators.rows import split as split_rows
 from ..session import hash01
 
@@ -59,14 +63,14 @@ def plain_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, text: str, label: str | None = None, id_col: str | None = None, schema: T.StructType | str | None = None, extra_key: str | None = None) -> DataFrame:
-    """Rows (text, label, id) of CSV, JSON lines, gzip included, or one JSON list (``*.list.json``). With ``extra_key`` they are fields of that struct."""
+    """Rows (text, label, id) of CSV, JSON lines, gzip included, or one JSON list (``*.list.json``). With ``extra_key`` they are the fields
+    of that struct. Without a schema, JSON is read once more to find one."""
     if ".csv" in path:
         df = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=schema)
     else:
         reader = spark.read.schema(schema) if schema else spark.read
-        df = normal_records(reader.option("multiLine", path.endswith(".list.json")).json(path), text)
-    if extra_key:
-        df = df.select(f"{extra_key}.*", *[c for c in df.columns if c != extra_key])
+        df = reader.option("multiLine", path.endswith(".list.json")).json(path)
+        df = normal_records(df.select(f"{extra_key}.*") if extra_key else df, text)
     return df.select(*[c for c in (text, label, id_col) if c])
 
 
@@ -81,6 +85,85 @@ def normal_records(df: DataFrame, text: str) -> DataFrame:
     return df
 
 
+def dataset(
+    rows: DataFrame, text: str, label: str | None, test: int | float = 0.2, seed: int = 42, quantiles: tuple[float, float] | None = None, length: Column | None = None,
+    subset: int | None = None, stratify: bool = False, test_subset: int | None = None, id_col: str = "id"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, dev, test) of records: a test part of a share or a number of rows by a seeded hash, dev being the same; of the training part, rows whose
+    ``length`` (words of the text) lies between two quantiles, then a subset, stratified by label or not; ids from 0 over all parts where there are none; of the
+    test part a subset."""
+    keyed = rows if id_col in rows.columns else rows.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    key = id_col if id_col in rows.columns else "_key"
+    train, held = split_rows(keyed, test, key, seed)
+    dev = held
+    if quantiles:
+        train = within_quantiles(train, F.size(whitespace_tokens(F.col(text))) if length is None else length, *quantiles)
+    if subset is not None:
+        if stratify:
+            total = train.count()
+            quotas = {r[0]: round(subset * r[1] / total) for r in train.groupBy(label).count().collect()}  # a row a label
+            train = stratified(train, quotas, label, key, seed)
+        else:
+            train = sample(train, subset, key, seed)
+    if id_col not in rows.columns:
+        train, held = (f.drop("_key") for f in numbered([train, held], "_key", id_col))
+        dev = held
+    return train, dev, sample(held, test_subset, id_col, seed) if test_subset else held
+
+
+def catalogued(spark: SparkSession, entry: dict, root: str) -> dict[str, DataFrame]:
+    """The parts {train, dev, test} of a data set that an entry of a catalogue describes: ``path`` below ``root``, ``kind`` of reader, ``splits`` (names of the files of
+    each part; dev falls back to test, test to a share of train), ``text``, ``label``, and ``names`` of label numbers, which add ``label_name``."""
+    kind, splits = entry.get("kind", "parquet"), entry.get("splits", {"train": "train"})
+    more = {"text": entry["text"], "label": entry.get("label")} if kind == "records" else {}
+    parts = {k: load(spark, kind, f"{root}/{entry['path']}/{name}", **more) for k, name in splits.items()}
+    if "test" not in parts:
+        if "dev" in parts:
+            parts["test"] = parts["dev"]
+        else:
+            parts["train"], _, parts["test"] = dataset(parts["train"], entry["text"], entry.get("label"), entry.get("test", 0.2), entry.get("seed", 42))
+    parts.setdefault("dev", parts["test"])
+    if names := entry.get("names"):
+        named = F.array(*[F.lit(x) for x in names])
+        parts = {k: f.withColumn("label_name", F.get(named, F.col(entry["label"]).cast("int"))) for k, f in parts.items()}
+    return parts
+
+
+def small_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, value): JSON and YAML files, whole, as JSON."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.withColumn("value", F.when(F.col("path").rlike(r"\.ya?ml$"), yaml_as_json(F.col("value"))).otherwise(F.col("value")))
+
+
+def yaml_as_json(text: Column) -> Column:
+    """YAML texts as JSON; null where a text is not YAML. Needs the yaml package."""
+    try:
+        import yaml  # noqa: F401
+    except ImportError as e:
+        raise ImportError("reading YAML needs the yaml package") from e
+
+    @F.pandas_udf("string")
+    def convert(texts: pd.Series) -> pd.Series:
+        import json
+
+        import yaml
+
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(yaml.safe_load(t), default=str)
+            except yaml.YAMLError:
+                return None
+
+        return texts.map(one).astype(object)
+
+    return convert(text)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, nulls included."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def reviews(spark: SparkSession, path: str, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, dev, test) of JSON lines with a rating from 1: label = overall - 1; test is a tenth, dev 7/9 of another split of the rest."""
     df = spark.read.schema("reviewText string, overall double").json(path).select(F.col("reviewText").alias("text"), (F.col("overall") - 1).cast("int").alias("label"))
@@ -127,7 +210,16 @@ def append_metrics(spark: SparkSession, path: str, experiment: str, seed: int, i
 
 
 Reader = Callable[..., DataFrame]
-READERS: dict[str, Reader] = {"conll": conll, "records": records, "word_vectors": word_vectors, "sentences": plain_sentences, "parquet": lambda spark, path: spark.read.parquet(path)}
+READERS: dict[str, Reader] = {
+    "conll": conll,
+    "records": records,
+    "word_vectors": word_vectors,
+    "sentences": plain_sentences,
+    "files": small_files,
+    "folders": lambda spark, path, **kw: reduce(DataFrame.unionByName, folders(spark, path, **kw)[::2]),
+    "reviews": lambda spark, path, **kw: reduce(DataFrame.unionByName, reviews(spark, path, **kw)),
+    "parquet": lambda spark, path: spark.read.parquet(path),
+}
 
 
 def load(spark: SparkSession, kind: str, path: str, **kwargs) -> DataFrame:  # noqa: ANN003

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolsieve.operators import density, greedy, neighbours
 
@@ -97,7 +98,7 @@ def test_mahalanobis(data):
         assert r["distance"] == pytest.approx(want, rel=1e-6)
 
 
-@pytest.mark.parametrize("name", ["gmm_density", "batched_mahalanobis_k2", "mahalanobis_centroids_whole", "unicentroid_mahalanobis_whole"])
+@pytest.mark.parametrize("name", ["gmm_density", "batched_mahalanobis_k2", "mahalanobis_per_class"])
 def test_queries_over_whole_vectors(spark, tmp_path, name):
     import __spark_entry__ as e
 
@@ -127,11 +128,9 @@ def test_queries_over_whole_vectors(spark, tmp_path, name):
                 z = x[[k for k in lab if y[k] == c]]
                 cov, d = np.cov(z.T), x[i] - z.mean(0)
                 want += np.exp((-0.5 * d @ np.linalg.inv(cov) @ d - 0.5 * (6 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1])) / 768) * len(z) / len(lab)
-        elif name == "mahalanobis_centroids_whole":
-            want = far(i, lab)[0]
         else:
-            d = x[i] - x[lab].mean(0)
-            want = np.sqrt(d @ np.linalg.inv(np.cov(x[lab].T)) @ d)
+            half = np.arange(0, 400, 2)
+            want = min(np.sqrt((x[i] - z.mean(0)) @ np.linalg.inv(np.cov(z.T, bias=True)) @ (x[i] - z.mean(0))) for z in (x[[k for k in half if y[k] == c]] for c in (0, 1)))
         assert next(v for k, v in r.asDict().items() if k != "vec_id") == pytest.approx(want, rel=1e-4)
 
 
@@ -163,3 +162,82 @@ def test_mmr(spark):
     for _ in sets:
         picked.append(naive_pick(picked))
     assert got.ids == picked
+
+
+def test_mmr_f1(spark):
+    """Of two orders, with the F1 of grams on both sides, naively."""
+    words = {0: "a b c d", 1: "a b d", 2: "x y z", 3: "a b", 4: "b c d x"}
+    grams = {(n, i): [tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)] for i, t in words.items() for n in (1, 2)}
+    common = lambda n, i, j: len(set(grams[n, i]) & set(grams[n, j]))
+    pairs = [(n, i, j, common(n, i, j)) for n in (1, 2) for i in words for j in words if common(n, i, j)]
+    overlap = spark.createDataFrame(pairs, "n int, i long, j long, common long")
+    counts = spark.createDataFrame([(n, i, len(g)) for (n, i), g in grams.items()], "n int, i long, total long")
+    got = greedy.mmr(overlap, counts, 4, f1=True)
+
+    def f1(n, i, j):
+        return 2 * common(n, i, j) / (len(grams[n, i]) + len(grams[n, j]))
+
+    picked = []
+    for _ in range(4):
+        left = [i for i in words if i not in picked]
+
+        def s(i, left=left):
+            v = [0.5 * (sum(f1(n, i, j) for j in left) - 1) / max(1, len(left) - 1) - 0.5 * max((f1(n, i, q) for q in picked), default=0) for n in (1, 2)]
+            return round(np.prod([max(z, 0) for z in v]) ** 0.5 if min(v) >= 0 else np.prod([max(z + 1, 0) for z in v]) ** 0.5 - 1, 9)
+
+        picked.append(max(left, key=lambda i: (s(i), -i)))
+    assert got.ids == picked
+
+
+@pytest.mark.parametrize("similarity", ["scalar_product", "cosine_similarity", "euclidean_distance", "euclidean_normalized_distance", "mahalanobis_similarity", "mahalanobis_distance"])
+def test_idds_similarities(data, similarity):
+    x, lab, pool = data
+    z = x / np.linalg.norm(x, axis=1, keepdims=True) if similarity in ("cosine_similarity", "euclidean_normalized_distance") else x
+    if similarity.startswith("mahalanobis"):
+        inv = np.linalg.inv(np.cov(x.T))
+        sim = x @ inv @ x.T if similarity.endswith("similarity") else -np.stack([[(a - b) @ inv @ (a - b) for b in x] for a in x])
+    else:
+        sim = z @ z.T if "distance" not in similarity else -((z[:, None] - z[None]) ** 2).sum(-1)
+    known, left, out = list(range(10)), list(range(10, 40)), []
+    for _ in range(4):
+        score = {i: round(0.667 * (sim[i, left].sum() - 1) / (len(left) - 1) - 0.333 * sim[i, known].mean(), 9) for i in left}
+        best = max(left, key=lambda i: (score[i], -i))
+        out.append(best)
+        known.append(best)
+        left.remove(best)
+    assert greedy.idds(pool, lab, 4, "id", "v", similarity=similarity).ids == out
+
+
+def test_idds_leaves_outliers_out(data):
+    """From the third pick on, rows farthest from the single centre of the labelled and picked ones can't be picked."""
+    x, lab, pool = data
+    known, left, out = list(range(10)), list(range(10, 40)), []
+    for step in range(4):
+        far = []
+        if step > 1:
+            inv = density.inverse(np.cov(x[known].T))
+            d = {i: np.sqrt((x[i] - x[known].mean(0)) @ inv @ (x[i] - x[known].mean(0))) for i in range(40)}
+            far = sorted(d, key=lambda i: (-d[i], i))[: round(0.2 * 40)]
+        score = {i: round(0.667 * (x[i] @ x[left].sum(0) - 1) / (len(left) - 1) - 0.333 * (x[i] @ x[known].T).mean(), 9) for i in left}
+        best = max((i for i in left if i not in far), key=lambda i: (score[i], -i))
+        out.append(best)
+        known.append(best)
+        left.remove(best)
+    assert greedy.idds(pool, lab, 4, "id", "v", outliers=0.2).ids == out
+
+
+def test_k_means_fills_up_equal_rows(spark):
+    rows = spark.createDataFrame([(i, [float(i // 5) * 9, 1.0]) for i in range(10)], "id long, v array<double>")
+    assert sorted(len({r["id"] for r in neighbours.k_means(rows, k, "id", "v", 3).collect()}) for k in (2, 5)) == [2, 5]
+
+
+def test_filtering_by_the_single_centre(data):
+    x, lab, pool = data
+    inv = density.inverse(np.cov(x[:10].T))
+    far = {i: np.sqrt((x[i] - x[:10].mean(0)) @ inv @ (x[i] - x[:10].mean(0))) for i in range(10, 40)}
+    stay = sorted(far, key=lambda i: (-far[i], i))[3:]
+    want = sorted(stay, key=lambda i: (-x[i][0], i))[:5]
+    assert [r["id"] for r in density.filtered_scores(lab, pool, 5, "id", "label", "v", F.col("v")[0], 0.1).orderBy("ord").collect()] == want
+    near = {r["id"]: r["distance"] for r in density.mahalanobis(lab, pool, "label", "v").collect()}
+    want = sorted(stay, key=lambda i: (-near[i], i))[:5]
+    assert [r["id"] for r in density.filtered_scores(lab, pool, 5, "id", "label", "v", "mahalanobis", 0.1).orderBy("ord").collect()] == want

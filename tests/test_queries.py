@@ -32,11 +32,11 @@ def test_query_matches_sql(spark, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["min_center_distance_all", "kcenter_k5_all"])
+@pytest.mark.parametrize("name", ["min_center_distance", "kcenter_k5"])
 def test_all_labelled_rows_are_centres(spark, name):
     test_query_matches_sql(spark, name)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-def test_corpus_bleu_score(spark):
-    test_query_matches_sql(spark, "corpus_bleu_score")
+def test_corpus_bleu(spark):
+    test_query_matches_sql(spark, "corpus_bleu")
