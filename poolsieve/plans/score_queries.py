@@ -252,6 +252,15 @@ def idds_cosine_k5(spark, d):  # noqa: ANN001, ANN201
     return _picks(spark, greedy.idds(pool, lab, 5, "vec_id", "embedding", cosine=True))
 
 
+_EUCLID = "-(list_distance(a.embedding, b.embedding) ** 2)"
+
+
+@query("idds_euclid_k5", _idds_sql(5, _POOL_MEAN).replace("list_dot_product(a.embedding, b.embedding)", _EUCLID))
+def idds_euclid_k5(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = split_vectors(spark, d)
+    return _picks(spark, greedy.idds(pool, lab, 5, "vec_id", "embedding", similarity="euclidean_distance"))
+
+
 @query("idds_unc_k5", _idds_sql(5, "any_value(u)", ", unc as (select vec_id, embedding[1] as u0 from pool), un as (select vec_id, (u0 - min(u0) over ()) / (max(u0) over () - min(u0) over ()) as u from unc)").replace("from sims where", "from sims join un on un.vec_id = i where"))
 def idds_unc_k5(spark, d):  # noqa: ANN001, ANN201
     lab, pool = split_vectors(spark, d)

@@ -142,6 +142,16 @@ def mmr_k3(spark, d):  # noqa: ANN001, ANN201
     return picks.frame(spark, "item_id").select("ord", "item_id", F.round("score", 6).alias("score"))
 
 
+_F1 = ORACLES["mmr_k3"].replace("common / b.s as precision from", "common / b.s as precision, 2 * common / (a.s + b.s) as f1 from").replace("sum(precision)", "sum(f1)").replace("max(recall)", "max(f1)")
+
+
+@query("mmr_f1_k3", _F1)
+def mmr_f1_k3(spark, d):  # noqa: ANN001, ANN201
+    g, pairs = _pairs(spark, d)
+    picks = greedy.mmr(pairs.select("n", "i", "j", "common"), g.groupBy("n", "i").agg(F.sum("c").alias("total")), 3, f1=True)
+    return picks.frame(spark, "item_id").select("ord", "item_id", F.round("score", 6).alias("score"))
+
+
 @query("accuracy_f1", f"""with {PROBAS}, r as (select label, list_position(p, list_max(p)) - 1 as pred from probas), k as (select label as k, count(*) as support from r group by 1), s as (select pred as k, count(*) as said from r group by 1), h as (select label as k, count(*) as hit from r where label = pred group by 1),
 f as (select k, coalesce(support, 0) as support, coalesce(hit, 0) as hit, 2 * coalesce(hit, 0) / (coalesce(support, 0) + coalesce(said, 0))::double as f1 from k full join s using (k) left join h using (k))
 select round(sum(hit) / sum(support), 6) as accuracy, round(sum(hit) / sum(support), 6) as f1_micro, round(avg(f1), 6) as f1_macro, round(sum(f1 * support) / sum(support), 6) as f1_weighted from f""")

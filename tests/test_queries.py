@@ -40,3 +40,9 @@ def test_all_labelled_rows_are_centres(spark, name):
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_corpus_bleu(spark):
     test_query_matches_sql(spark, "corpus_bleu")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["source_records_json", "source_conll", "source_folders", "sink_selection", "source_runs_yaml", "idds_euclid_k5", "mmr_f1_k3", "entity_f1"])
+def test_sources_and_strategies_match_sql(spark, name):
+    test_query_matches_sql(spark, name)
