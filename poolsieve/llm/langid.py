@@ -180,7 +180,7 @@ def held_out(id_col: str = "doc_id"):
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, any others) whose language is found and not ambiguous."""
     model = train(docs.where(~held_out()))
-    found = predict(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, keep=["_row"])
+    found = predict(docs.select(F.struct(*common.columns(docs)).alias("_row"), "text"), model, keep=["_row"])
     return found.where("lang_pred <> 'und' and not ambiguous").select("_row.*")
 
 

@@ -145,7 +145,7 @@ def mix(sized: DataFrame, weights: dict[str | None, float] | None = None, most:
     spark = sized.sparkSession
     members = F.array_sort(F.array_distinct(F.coalesce("members", F.array(F.lit(None).cast("string")))))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    own = F.struct(*[F.col(f"`{c}`") for c in sized.columns if c not in RESULTS]).alias("row")
+    own = F.struct(*common.columns(sized, RESULTS)).alias("row")
     rows = sized.select(own, F.to_json(members).alias("pattern"), order.alias("mark"), F.shiftrightunsigned(order, 54).cast("int").alias("range"), F.col("size").cast("long").alias("size"), F.col("doc_id").alias("doc"))
     ranges = common.stored(rows.groupBy("pattern", "range").agg(F.sum("size").alias("z")), "ranges", 0)
     found = ranges.groupBy("pattern").agg(F.sum("z").alias("z")).collect()
@@ -188,7 +188,7 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, any others) that the mix takes, each as often as it does."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    whole = F.struct(*common.columns(docs)).alias("_row")
     rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text").cast("string")).alias("size"), F.array(F.col("source").cast("string")).alias("members"))
     taken = mix(rows).where("copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")

@@ -83,9 +83,11 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shape = _class[data].astype(np.uint64)
     if len(shape) > 3:
         four = shingles.mixed(shape[:-3] + shape[1:-2] * np.uint64(40) + shape[2:-1] * np.uint64(1600) + shape[3:] * np.uint64(64000) + np.uint64(1))
-        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-        doc = np.concatenate([doc, np.searchsorted(offsets, np.arange(len(four)), side="right") - 1])
-        word = np.concatenate([word, four])
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        own = np.searchsorted(ends, np.arange(len(four)))
+        inside = np.arange(len(four)) + 3 < ends[own]  # four bytes of one text
+        doc = np.concatenate([doc, own[inside]])
+        word = np.concatenate([word, four[inside]])
     key = (doc.astype(np.int64) << BITS) | (word >> np.uint64(64 - BITS)).astype(np.int64)
     key, n = np.unique(key, return_counts=True)
     doc = key >> BITS

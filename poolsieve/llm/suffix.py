@@ -422,9 +422,9 @@ def removed_bytes(own: Block, answers: pa.Table) -> Iterator[tuple[int, np.ndarr
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_bytes: bool = True, carry: list[str] | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_bytes: bool = True, carry: str | None = None) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one a row of ``docs``; ``kept``, the remaining
-    bytes, is null without ``keep_bytes``. Columns named in ``carry`` come along in a struct ``row``. Blocks and ranges have the same
+    bytes, is null without ``keep_bytes``. The column named by ``carry`` comes along as ``row``. Blocks and ranges have the same
     size at any size of the corpus; a block sends a message to each range it has names for, so messages are never more than names. An empty table gives an empty result."""
     text = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
     common.modest_batches(docs.sparkSession)
@@ -433,7 +433,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranges = max(1, -(-total // (block_bytes * RANGE_BYTES // BLOCK_BYTES)))
     bits = min(64, max(40, total.bit_length() + 16))
     block = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_blocks)).alias("block")
-    along = [F.struct(*carry).alias("row")] if carry else []
+    along = [F.col(carry).alias("row")] if carry else []
     blocks = docs.select(block, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *along)
 
     def one(key, rows):  # noqa: ANN001, ANN202
@@ -472,7 +472,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def cut_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any others) with repeated strings cut out of ``text`` and ``n_chars``, if it is there,
     counted anew. Bytes of a character that was cut in part go too. A row of which nothing is left goes."""
-    found = deduplicate(docs.withColumn("_null", F.col("text").isNull()), carry=[*[c for c in docs.columns if c != "text"], "_null"])
+    row = F.struct(*common.columns(docs, ("text",)), F.col("text").isNull().alias("_null of text"))
+    found = deduplicate(docs.select(row.alias("row"), F.col("doc_id"), F.col("text")), carry="row")
     found = found.where("n_removed < n_bytes or n_removed = 0")
 
     def decode(batches):  # noqa: ANN001, ANN202
@@ -482,11 +483,11 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
     schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])
     plain = found.select("row", "kept").mapInArrow(decode, schema)
-    text = F.when(~F.col("row._null"), F.col("text"))
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
+    null = F.col("row")["_null of text"]
+    named = {c: F.col("row")[c].alias(c) for c in docs.columns if c != "text"} | {"text": F.when(~null, F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("row._null"), F.col("row.n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.select(*[columns[c].alias(c) for c in docs.columns])
+        named["n_chars"] = F.when(null, F.col("row")["n_chars"]).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return plain.select(*[named[c] for c in docs.columns])
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
