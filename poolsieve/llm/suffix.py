@@ -16,7 +16,8 @@ compact messages; texts are shuffled once, into blocks, and all three passes ove
 3. A block marks its windows by the answers.
 
 Hot strings do not gather: a block mentions a name or a context once, however often it has it, so a string in all
-documents is one entry a block. Null text is empty; a null id counts as larger than all others; rows with
+documents is one entry a block; and names that many blocks have are told apart by the bytes beside their gram, so that the many contexts of a
+common phrase go to many ranges. Null text is empty; a null id counts as larger than all others; rows with
 the same id do not remove each other's bytes.
 """
 
@@ -36,6 +37,8 @@ from . import common
 LENGTH = 50
 GRAM = 20
 SEGMENT = 1 << 19
+#: A name that more blocks than HOT have is told apart by BESIDE bytes more.
+HOT, BESIDE = 24, 15
 RUN = 32  # windows a context has at most: bits of a mask
 TRANSFORM_BYTES = 1 << 19  # text of one transform, about
 NULL_ID = np.iinfo(np.int64).max
@@ -54,8 +57,8 @@ def _messages(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
-def _names(data: np.ndarray) -> np.ndarray:
-    """For each window of LENGTH bytes, the smallest mixed hash of its GRAM-grams (20 = 16 + 4 bytes)."""
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The mixed hash of each GRAM-gram (20 = 16 + 4 bytes)."""
     base = 0x9E3779B97F4A7C15
     power = lambda n: np.uint64(pow(base, n, 1 << 64))
     h1 = data.astype(np.uint64) + np.uint64(1)
@@ -69,7 +72,12 @@ def _names(data: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    m, width = h, 1
+    return h
+
+
+def _names(data: np.ndarray) -> np.ndarray:
+    """For each window of LENGTH bytes, the smallest hash of its grams."""
+    m, width = _grams(data), 1
     want = LENGTH - GRAM + 1
     while 2 * width <= want:
         m = np.minimum(m[:-width], m[width:])
@@ -113,6 +121,28 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(names)
 
 
+def refined(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with names that also tell BESIDE bytes next to the first gram that gave the name: those behind it, or, where the window ends
+    before, those before it. Equal windows still have equal names."""
+    row = np.repeat(np.arange(len(starts)), counts)
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    key = np.empty(len(at), np.uint64)
+    wide = np.arange(LENGTH)
+    for i in range(0, len(at), 1 << 14):
+        own = slice(i, i + (1 << 14))
+        windows = data[at[own][:, None] + wide]
+        flat = _grams(windows.reshape(-1))
+        gram = np.lib.stride_tricks.as_strided(flat, (len(windows), LENGTH - GRAM + 1), (LENGTH * 8, 8)).argmin(1)
+        from_ = np.where(gram + GRAM + BESIDE <= LENGTH, gram + GRAM, gram - BESIDE)
+        h = names[row[own]] + (from_ > gram).astype(np.uint64)
+        for k in range(BESIDE):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + windows[np.arange(len(windows)), from_ + k] + np.uint64(1)
+        h ^= h >> np.uint64(32)
+        key[own] = h * np.uint64(0xD6E8FEB86659FD93)
+    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(at) else np.empty(0, np.int64)
+    return at[head], np.diff(head, append=len(at)), key[head]
+
+
 class Block:
     """The documents of a block, in order of id: their ids, bytes end to end, and where each begins."""
 
@@ -214,12 +244,14 @@ def repeated_names(rows: pa.Table, r: int) -> pa.Table:
         again = np.zeros(len(every), bool)
         again[order[1:][same]] = again[order[:-1][same]] = True
         again[np.isin(every, every[several])] = True
+        _, place, often = np.unique(every, return_inverse=True, return_counts=True)
+        hot = (often > HOT)[place]
         at = 0
         for block, names, _ in sets:
-            chosen = names[again[at : at + len(names)]]
+            own = np.flatnonzero(again[at : at + len(names)])
+            if len(own):
+                out.append((r, block, NAME, pack_sorted(names[own]), np.packbits(hot[at + own]).tobytes()))
             at += len(names)
-            if len(chosen):
-                out.append((r, block, NAME, pack_sorted(chosen)))
     return _messages(out)
 
 
@@ -235,12 +267,21 @@ def context_messages(rows: pa.Table, answers: pa.Table, block: int, ranges: int,
     copies = np.array([own.ids[i] > first.get(d, NULL_ID) for i, d in enumerate(own.digests())], bool)
     data, array, offsets = own.joined(np.flatnonzero(~copies))
     ids = own.ids[~copies]
-    repeated = np.sort(np.concatenate([np.empty(0, np.uint64), *(unpack_sorted(a[i]) for i, k in enumerate(kinds) if k == NAME)]))
+    told = [(unpack_sorted(a[i]), b[i]) for i, k in enumerate(kinds) if k == NAME]
+    repeated = np.concatenate([np.empty(0, np.uint64), *(x for x, _ in told)])
+    hot = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(y, np.uint8), count=len(x)).astype(bool) for x, y in told)])
+    order = np.argsort(repeated)
+    repeated, hot = repeated[order], hot[order]
     starts, counts, names = runs(array, offsets)
     short = names >> np.uint64(64 - bits)
     at = np.minimum(np.searchsorted(repeated, short), max(0, len(repeated) - 1))
     keep = repeated[at] == short if len(repeated) else np.zeros(len(short), bool)
+    warm = hot[at[keep]] if len(repeated) else np.empty(0, bool)
     starts, counts, names = starts[keep], counts[keep], names[keep]
+    parts = zip(refined(array, starts[warm], counts[warm], names[warm]), (starts[~warm], counts[~warm], names[~warm]), strict=True)
+    starts, counts, names = (np.concatenate(x) for x in parts)
+    order = np.argsort(starts, kind="stable")
+    starts, counts, names = starts[order], counts[order], names[order]
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(data[s:e], len(number)) for s, e in zip(starts.tolist(), (starts + counts + LENGTH - 1).tolist(), strict=True)], np.int64)
     lead = np.unique(which, return_index=True)[1]  # where each context occurs first: in the smallest document

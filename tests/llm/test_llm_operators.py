@@ -403,7 +403,7 @@ def test_edits_are_located(spark):
 def check_repeats(spark, given):
     df = spark.createDataFrame([(n, *x) for n, x in enumerate(given)], "n long, doc_id long, text string").repartition(4)
     gone = brute.repeated_bytes(given)
-    got = {r["row"]["n"]: r for r in suffix.deduplicate(df, block_bytes=900, carry=["n"]).collect()}
+    got = {r["row"]: r for r in suffix.deduplicate(df, block_bytes=900, carry="n").collect()}
     assert len(got) == len(given)
     for n, mask in gone.items():
         data = (given[n][1] or "").encode()
@@ -421,6 +421,19 @@ def test_repeats_of_few_letters(spark):
     check_repeats(spark, [(i, "".join(rng.choice("ab") * rng.randint(1, 30) for _ in range(20))) for i in range(12)])
 
 
+def test_repeats_of_hot_phrases(spark, rows, monkeypatch):
+    """A phrase of more than a gram in all documents, in many contexts; names that several blocks have are told apart."""
+    monkeypatch.setattr(suffix, "HOT", 1)
+    rng = random.Random(18)
+    phrase, tails = "the same phrase in all documents", [prose(rng, "yy", 9) for _ in range(12)]
+    made = [(i, " ".join(prose(rng, "xx", rng.randint(0, 6)) + phrase + rng.choice(tails) for _ in range(4))) for i in range(60)]
+    for given in (made, [(r[0], r[1]) for r in rows], [(i, ("ab" * rng.randint(10, 60) + "c") * 3) for i in range(20)]):
+        df = spark.createDataFrame(given, "doc_id long, text string")
+        got = {r["doc_id"]: r["n_removed"] for r in suffix.deduplicate(df, block_bytes=3000).collect()}
+        want = brute.repeated_bytes(given)
+        assert got == {i: int(want[k].sum()) for k, (i, _) in enumerate(given)} and sum(got.values()) > 500
+
+
 def test_repeats_edges(docs, empty):
     assert suffix.deduplicate(empty).count() == 0
     cut = suffix.cut_documents(docs.withColumn("row", F.lit(1)).withColumn("block", F.lit(2)))
