@@ -75,6 +75,12 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _even(least: np.ndarray) -> np.ndarray:
+    """Least hashes crowd near zero: one to one, they are spread over all numbers, as names are dealt out by their size."""
+    names = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (names ^ (names >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
 def _names(data: np.ndarray) -> np.ndarray:
     """For each window of LENGTH bytes, the smallest hash of its grams."""
     m, width = _grams(data), 1
@@ -115,7 +121,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             s, n = np.repeat(s, parts) + RUN * nth, np.minimum(RUN, np.repeat(n, parts) - RUN * nth)
         starts.append(s + at)
         counts.append(n)
-        names.append(m[s])
+        names.append(_even(m[s]))
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(names)
@@ -182,9 +188,6 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def _range(names: np.ndarray, ranges: int) -> np.ndarray:
-    """Names are least hashes, so small ones are frequent: they are mixed before they are dealt out."""
-    names = (names ^ (names >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    names = (names ^ (names >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
@@ -211,10 +214,8 @@ def name_messages(rows: pa.Table, block: int, ranges: int, bits: int) -> pa.Tabl
     head = np.flatnonzero(np.diff(names, prepend=~names[:1]))
     if len(head):
         several = np.minimum.reduceat(docs, head) != np.maximum.reduceat(docs, head)
-        part = _range(names[head], ranges)
-        order = np.argsort(part, kind="stable")
-        names, several = names[head][order], several[order]
-        cut = np.searchsorted(part[order], np.arange(ranges + 1))
+        names = names[head]
+        cut = np.searchsorted(_range(names << np.uint64(64 - bits), ranges), np.arange(ranges + 1))
         for r in np.flatnonzero(np.diff(cut)):
             a, b = cut[r], cut[r + 1]
             out.append((int(r), block, NAME, pack_sorted(names[a:b]), np.packbits(several[a:b]).tobytes()))
