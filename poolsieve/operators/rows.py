@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,3 +165,15 @@ def initial_split(df: DataFrame, size: int | float, id_col: str, seed: int, labe
 def normalised_image(pixels: Column, mean: float = 0.1307, deviation: float = 0.3081) -> Column:
     """Rows of pixels from 0 to 255 as standardised values."""
     return F.transform(pixels, lambda row: F.transform(row, lambda x: (x / 255.0 - mean) / deviation))
+
+
+def batched_map(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str, size: int = 1000) -> DataFrame:
+    """``function`` from columns to columns, over batches of ``size`` rows at most (fewer at the end of a partition). For what no
+    built-in function expresses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                yield pa.RecordBatch.from_pydict(function(batch.slice(at, size).to_pydict()))
+
+    return df.mapInArrow(run, schema)

@@ -239,3 +239,9 @@ def resume_from_log(spark, d):  # noqa: ANN001, ANN201
     log = p.where("doc_id % 7 = 0").select("doc_id", (F.col("doc_id") % 3).cast("int").alias("iteration"))
     state = resume(q, p, "doc_id", log)
     return state.labelled.withColumn("labelled", F.lit(True)).union(state.pool.withColumn("labelled", F.lit(False)))
+
+
+@query("batched_map", "select doc_id, length(text) as chars from documents where text is not null")
+def batched_map(spark, d):  # noqa: ANN001, ANN201
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return rows.batched_map(docs, lambda b: {"doc_id": b["doc_id"], "chars": [len(t) for t in b["text"]]}, "doc_id long, chars long", 100)

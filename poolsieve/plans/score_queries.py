@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import proba
 from ..functions.vector import group_means, scatter
-from ..operators import acquire, density, greedy, neighbours, pseudo, rows
+from ..operators import acquire, density, greedy, influence, neighbours, pseudo, rows
 from ..session import table
 from .providers import _MEANS, PASS_SQL, PROBAS, VECTORS, split_vectors, with_passes, with_probas
 from .registry import ORACLES, query
@@ -130,6 +130,22 @@ _neighbours("dot_topk_neighbors", "dot", "list_dot_product(p.embedding, l.embedd
 _neighbours("neg_sq_euclidean_nn", "euclid", "-(list_distance(p.embedding, l.embedding) ** 2)")
 
 
+@query("cosine_pairs", f"with {VECTORS} select p.vec_id, l.vec_id as other, round(list_cosine_similarity(p.embedding, l.embedding), 6) as sim from pool p cross join lab l")
+def cosine_pairs(spark, d):  # noqa: ANN001, ANN201
+    lab, pool = split_vectors(spark, d)
+    return neighbours.similarities(pool, lab, "vec_id", "embedding").select(F.col("id").alias("vec_id"), "other", F.round("sim", 6).alias("sim"))
+
+
+@query("self_influence", """with g as (select vec_id, unnest(range(4)) as checkpoint, embedding::double[] as x, label + 1 as length from embeddings),
+n as (select vec_id, 0.5 * list_sum(list_transform(x[16 * checkpoint + 1:16 * checkpoint + 16], lambda v: v * v)) / length as s from g)
+select vec_id, round(avg(s), 6) as score from n group by vec_id""")
+def self_influence(spark, d):  # noqa: ANN001, ANN201
+    """Sixteen components stand for the gradient at each of four checkpoints."""
+    x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") + 1).alias("length"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("checkpoint"))
+    x = x.withColumn("g", F.slice("x", 16 * F.col("checkpoint") + 1, F.lit(16)))
+    return influence.self_influence(x, "vec_id", "g", 0.5, "length").select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query("mean_similarity_linear", f"with {VECTORS} select a.vec_id, round(avg(list_dot_product(a.embedding, b.embedding)), 6) as sim from pool a cross join pool b group by a.vec_id")
 def mean_similarity_linear(spark, d):  # noqa: ANN001, ANN201
     from ..functions.vector import dot

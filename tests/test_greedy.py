@@ -241,3 +241,22 @@ def test_filtering_by_the_single_centre(data):
     near = {r["id"]: r["distance"] for r in density.mahalanobis(lab, pool, "label", "v").collect()}
     want = sorted(stay, key=lambda i: (-near[i], i))[:5]
     assert [r["id"] for r in density.filtered_scores(lab, pool, 5, "id", "label", "v", "mahalanobis", 0.1).orderBy("ord").collect()] == want
+
+
+def test_mahalanobis_pairs(data):
+    x, lab, pool = data
+    inv = np.linalg.inv(np.cov(x.T))
+    for r in neighbours.similarities(pool, lab, "id", "v", "mahalanobis").collect():
+        d = x[r["id"]] - x[r["other"]]
+        assert r["sim"] == pytest.approx(-(d @ inv @ d), rel=1e-6, abs=1e-9)
+    got = {(r["id"], r["other"]): r["sim"] for r in neighbours.similarities(pool, lab, "id", "v", "mahalanobis_dot").collect()}
+    assert len(got) == 300 and got[12, 3] == pytest.approx(x[12] @ inv @ x[3])
+
+
+def test_influence(spark):
+    from poolsieve.operators import influence
+
+    g = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)] + [(3, [5.0, 0.0])], "id long, g array<double>")
+    got = {r["id"]: r["score"] for r in influence.self_influence(g, "id", "g", 0.5).collect()}
+    assert got[3] == (0.5 * 10 + 0.5 * 25) / 2 and got[0] == 0.5
+    assert sorted(r["id"] for r in influence.least_influential(influence.self_influence(g, "id", "g"), 0.2, "id").collect()) == list(range(8))
