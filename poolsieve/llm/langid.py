@@ -103,13 +103,19 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     y = np.array([languages.index(s) for s in labels])
     weight = 1 / np.bincount(y)[y]
     weight /= weight.mean()
-    mean = np.average(x, axis=0, weights=weight)
-    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-5
-    z = ((x - mean) / scale * np.sqrt(weight)[:, None]).astype(np.float64)
-    kernel = z @ z.T / x.shape[1]  # rows are fewer than dimensions
+    # in place: the driver holds the sample twice at most
+    mean = weight @ x / weight.sum()
+    z = x.astype(np.float64)
+    z -= mean
+    scale = np.sqrt(np.einsum("ij,ij,i->j", z, z, weight) / weight.sum()) + 1e-5
+    z /= scale
+    z *= np.sqrt(weight)[:, None]
+    kernel = z @ z.T  # rows are fewer than dimensions
+    kernel /= x.shape[1]
+    kernel.flat[:: len(x) + 1] += RIDGE * len(x)
     target = code[y]
     mid = np.average(target, axis=0, weights=weight)
-    dual = np.linalg.solve(kernel + RIDGE * len(x) * np.eye(len(x)), (target - mid) * np.sqrt(weight)[:, None])
+    dual = np.linalg.solve(kernel, (target - mid) * np.sqrt(weight)[:, None])
     w = z.T @ dual / x.shape[1] / scale[:, None]
     return Model(languages, code, w, mid - mean @ w)
 
@@ -139,8 +145,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     by: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r["mark"], r["x"])):
         by.setdefault(r["lang"], []).append(r["x"])
+    del found
     pairs = [(x, s) for s in sorted(by) for x in by[s][:each]]
-    return fit(np.stack([np.frombuffer(x, np.float32) for x, _ in pairs]), [s for _, s in pairs])
+    sampled = np.empty((len(pairs), DIMENSIONS), np.float32)
+    for n, (x, _) in enumerate(pairs):
+        sampled[n] = np.frombuffer(x, np.float32)
+    labels = [s for _, s in pairs]
+    del by, pairs
+    model = fit(sampled, labels)
+    common.trim(0)
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
