@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,7 +20,7 @@ def _path(spark: SparkSession, name: str) -> str:
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir")
+        folder = tempfile.mkdtemp(prefix="poolsieve-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
