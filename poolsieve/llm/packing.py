@@ -28,8 +28,9 @@ from . import common
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of a length are numbered in independent parts of about so many.
-PART = 1_000_000
+#: Pieces of a length are numbered in independent parts of about so many, or of all pieces / 2^17 if these are more: parts are
+#: never more than 2^17 and one for each length.
+PART = 1000
 #: Words whose ids a task remembers; others are worked out each time.
 REMEMBERED = 150_000
 
@@ -316,13 +317,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = pieces.where(F.col("length") == capacity).select(*PIECES.names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     pieces = pieces.where(F.col("length") < capacity)
     histogram = Counter({r[0]: r[1] for r in pieces.groupBy("length").count().collect()})  # less than capacity rows
-    salts = [-(-histogram[n] // PART) or 1 for n in range(capacity + 1)]
+    part = max(PART, sum(histogram.values()) >> 17)
+    salts = [-(-histogram[n] // part) or 1 for n in range(capacity + 1)]
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1) if max(salts) > 1 else F.lit(1)).cast("int")
     pieces = pieces.withColumn("salt", salt)
-    counts = pieces.groupBy("length", "salt").count().collect()  # a row for PART pieces, and for each length
+    counts = pieces.groupBy("length", "salt").count().collect()  # a row for each part
     base = {n: np.zeros(k, np.int64) for n, k in enumerate(salts)}
-    for n, part, k in counts:
-        base[n][part] = k
+    for n, own, k in counts:
+        base[n][own] = k
     base = {n: np.cumsum(x) - x for n, x in base.items()}
     shared = spark.sparkContext.broadcast((base, plan_of(histogram, capacity)))
 
