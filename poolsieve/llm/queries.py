@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, merkle, mixing, neardup, packing, quality, suffix, vectors, warc
+from . import audit, chat, harmonic, langid, merkle, mixing, neardup, packing, quality, ranking, suffix, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
     "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_ranked_ties": ranking.op11_ranked_ties,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_packing": harmonic.op13_packing,
 }
 ORACLES: dict[str, str] = {
     "op4_warc": warc.OP4_SQL,
@@ -26,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op7_document_fingerprints": merkle.OP7_SQL,
     "op8_suffix_array_dedup": suffix.OP8_SQL,
     "op9_embedding_near_dedup": vectors.OP9_SQL,
+    "op11_ranked_ties": ranking.OP11_SQL,
+    "op12_filter_audit": audit.OP12_SQL,
 }
