@@ -44,13 +44,3 @@ def group_means(df: DataFrame, key: str, vector: str) -> DataFrame:
     sums = flat.groupBy(key, "pos").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
     packed = sums.groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p"))
     return packed.select(key, "n", F.transform("p", lambda s: s["m"]).alias("centroid"))
-
-
-def scatter(df: DataFrame, vector: str, centroid: str | None = None) -> DataFrame:
-    """Rows (i, j, s): sums of products of components, of ``vector`` less ``centroid`` if given. One pass; each
-    task sends d x d sums at most."""
-    x = doubles(F.col(vector))
-    x = F.zip_with(x, doubles(F.col(centroid)), lambda a, b: a - b) if centroid else x
-    a = df.select(x.alias("v")).select("v", F.posexplode("v").alias("i", "a"))
-    pairs = a.select("i", "a", F.posexplode("v").alias("j", "b"))
-    return pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))

@@ -1,4 +1,4 @@
-"""Class centroids, covariances and Mahalanobis distances. Only d-vectors and d x d matrices reach the driver."""
+"""Class centroids, covariances and Mahalanobis distances. Only d-vectors and d x d matrices reach the driver, each fit by one scan."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import doubles, group_means, scatter
-
-# fixed values: what is added to the diagonal until no eigenvalue is negative
-JITTER = [0.0, *[10.0**e for e in range(-15, 0)]]
+from ..functions.vector import doubles, group_means
+from .greedy import Picks, _kept
+from .moments import ALL, JITTER, OWN, Running, inverse, moments, whitener
 
 
 def centroids(df: DataFrame, label: str, vector: str, classes: list | None = None) -> DataFrame:
@@ -25,47 +24,15 @@ def centroids(df: DataFrame, label: str, vector: str, classes: list | None = Non
     return every.join(found, label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("centroid", zero).alias("centroid"), F.col("n").isNull().alias("empty"))
 
 
-def _matrix(rows: list, d: int) -> np.ndarray:
-    m = np.zeros((d, d))
-    for r in rows:
-        m[r["i"], r["j"]] = r["s"]
-    return m
-
-
 def covariance(df: DataFrame, label: str | None, vector: str, ddof: int = 1) -> np.ndarray:
-    """Pooled covariance within classes, or of all rows without a label: sum of x x' less n m m' by class, over N -
-    ddof. One pass; the difference is taken of the driver's matrices."""
-    sums = _matrix(scatter(df, vector).collect(), df.select(F.size(vector)).first()[0])
-    means = group_means(df.withColumn("_all", F.lit(0)) if label is None else df, label or "_all", vector).collect()
-    n = 0
-    for r in means:
-        m = np.array(r["centroid"])
-        sums -= r["n"] * np.outer(m, m)
-        n += r["n"]
-    return sums / max(1, n - ddof)
+    """Pooled covariance within classes, or of all rows without a label, over N - ddof."""
+    return moments(df, label, vector).covariance(ddof)
 
 
 def class_covariances(df: DataFrame, label: str, vector: str, ddof: int = 0) -> dict:
     """Covariance of each class, over n - ddof."""
-    return {r[0]: covariance(df.where(F.col(label).eqNullSafe(F.lit(r[0]))), None, vector, ddof) for r in df.select(label).distinct().orderBy(label).collect()}
-
-
-def inverse(cov: np.ndarray) -> np.ndarray:
-    """Inverse, after the smallest jitter that leaves no negative eigenvalue; the pseudo-inverse of a singular matrix."""
-    for j in JITTER:
-        m = cov + j * np.eye(len(cov))
-        if np.linalg.eigvalsh(m).min() >= 0:
-            break
-    try:
-        return np.linalg.inv(m)
-    except np.linalg.LinAlgError:
-        return np.linalg.pinv(m)
-
-
-def whitener(inv: np.ndarray) -> np.ndarray:
-    """W with W'W = inv: a distance under ``inv`` is a plain one after W."""
-    values, vectors = np.linalg.eigh((inv + inv.T) / 2)
-    return np.sqrt(np.maximum(values, 0))[:, None] * vectors.T
+    fit = moments(df, label, vector, OWN)
+    return dict(zip(fit.labels, fit.covariances(ddof), strict=True))
 
 
 def squared_distances(vector: Column, centres: list[tuple[np.ndarray, np.ndarray] | None]) -> Column:
@@ -111,16 +78,16 @@ def distances(df: DataFrame, centres: list[tuple], vector: str, inverses: np.nda
 
 def mahalanobis(train: DataFrame, pool: DataFrame, label: str, vector: str, per_class: bool = False) -> DataFrame:
     """The pool with distances to the training classes, under their pooled covariance or each class's own."""
-    centres = [(r[0], r["centroid"], r["empty"]) for r in centroids(train, label, vector).orderBy(label).collect()]
-    inv = {k: inverse(c) for k, c in class_covariances(train, label, vector).items()} if per_class else inverse(covariance(train, label, vector))
+    fit = moments(train, label, vector, OWN if per_class else ALL)
+    centres = [(k, m, False) for k, m in zip(fit.labels, fit.mean, strict=True)]
+    inv = {k: inverse(c) for k, c in zip(fit.labels, fit.covariances(), strict=True)} if per_class else inverse(fit.covariance())
     return distances(pool, centres, vector, inv)
 
 
 def single_centre(train: DataFrame, pool: DataFrame, vector: str) -> DataFrame:
     """The pool with the distance to the mean of all training rows."""
-    one = train.withColumn("_all", F.lit(0))
-    centres = [(0, r["centroid"], False) for r in group_means(one, "_all", vector).collect()]
-    return distances(pool, centres, vector, inverse(covariance(train, None, vector)))
+    fit = moments(train, None, vector)
+    return distances(pool, [(0, m, False) for m in fit.mean], vector, inverse(fit.covariance()))
 
 
 def triplet(train: DataFrame, pool: DataFrame, label: str, vector: str, lam: float = 0.25) -> DataFrame:
@@ -130,21 +97,44 @@ def triplet(train: DataFrame, pool: DataFrame, label: str, vector: str, lam: flo
     return b.withColumn("score", lam * F.col("_class") - (1 - lam) * F.col("distance")).drop("_class", "distance")
 
 
-def batched(train: DataFrame, pool: DataFrame, n: int, label: str, id_col: str, vector: str) -> list[int]:
-    """Farthest first from the class centres, which are fitted anew after each pick (labelled by its nearest class)."""
-    picked: list[int] = []
+def batched_picks(train: DataFrame, pool: DataFrame, n: int, label: str, id_col: str, vector: str, lam: float | None = None, outliers: list | None = None) -> Picks:
+    """Farthest first from the class centres; each pick joins its class before the next, which moves the centre and the covariance (see ``Running``): one scan
+    for the fit, one a pick. A pick's class is its own label where the pool has one, else the nearest class. With ``lam`` the score is lam x distance - (1 - lam) x
+    distance to the single centre of the training rows, which stays. Ids in ``outliers`` are never picked. Ties go to the smaller id.
+
+    Null vectors are never picked; without training rows there are no centres and no picks."""
+    fit = moments(train, label, vector)
+    picks = Picks()
+    if not fit.labels:
+        return picks
+    run = Running(fit)
+    own = F.col(label) if label in pool.columns else F.lit(None).cast(train.schema[label].dataType)
+    rows = pool.where(F.col(vector).isNotNull()).select(id_col, doubles(F.col(vector)).alias("_x"), own.alias("_own"))
+    if outliers:
+        rows = rows.where(~F.col(id_col).isin(list(outliers)))
+    if lam is not None:
+        rows = single_centre(train.select(F.col(vector).alias("_x")), rows, "_x").drop("distances").withColumnRenamed("distance", "_one")
+    rows = _kept(rows.withColumn("_q", run.forms(F.col("_x"))))
     for _ in range(n):
-        scored = mahalanobis(train, pool.where(~F.col(id_col).isin(picked)) if picked else pool, label, vector)
-        nearest = F.array_min(F.transform("distances", lambda s: F.struct(s["distance"], s["key"])))["key"]
-        best = scored.select(id_col, F.col(vector), nearest.alias(label), "distance").orderBy(F.col("distance").desc(), id_col).limit(1)
-        row = best.first()
-        if row is None:
+        near = F.array_min(F.transform("_q", lambda q, i: F.struct(q.alias("q"), i.alias("i"))))
+        score = F.sqrt(near["q"] * F.lit(run.weight))
+        score = score if lam is None else lam * score - (1 - lam) * F.col("_one")
+        left = rows.where(~F.col(id_col).isin(picks.ids)) if picks.ids else rows
+        best = left.agg(F.max(F.struct(score.alias("s"), (-F.col(id_col)).alias("i"), F.col("_own"), near["i"].alias("k"), F.col("_x"))).alias("b")).first()["b"]
+        if best is None:
             break
-        picked.append(row[id_col])
-        spark = train.sparkSession
-        schema = train.select(label, vector).schema
-        train = train.select(label, vector).union(spark.createDataFrame([(row[label], row[vector])], schema))
-    return picked
+        picks.ids.append(-best["i"])
+        picks.scores.append(best["s"])
+        changed = run.add(run.labels[best["k"]] if best["_own"] is None else best["_own"], np.array(best["_x"]))
+        rows = rows.withColumn("_q", changed(F.col("_q"), F.col("_x")) if changed else run.forms(F.col("_x")))
+        if len(picks.ids) % 8 == 0:
+            rows = _kept(rows)
+    return picks
+
+
+def batched(train: DataFrame, pool: DataFrame, n: int, label: str, id_col: str, vector: str) -> list[int]:
+    """The ids of ``batched_picks``, in order."""
+    return batched_picks(train, pool, n, label, id_col, vector).ids
 
 
 def without_farthest(scored: DataFrame, distance: str, c: int, id_col: str) -> DataFrame:
@@ -176,17 +166,16 @@ def filtered_scores(train: DataFrame, pool: DataFrame, n: int, id_col: str, labe
 def gaussian_density(train: DataFrame, pool: DataFrame, label: str, vector: str, scale: float | None = 768.0) -> DataFrame:
     """Adds ``density``: sum over classes of exp(log N(x; mean, covariance) / scale) x share of the class; without a scale, the logarithm
     of the sum of the classes' densities."""
-    total = train.count()
+    fit = moments(train, label, vector, OWN)
     given, parts = [], []
-    for r in centroids(train, label, vector).orderBy(label).collect():
-        cov = covariance(train.where(F.col(label).eqNullSafe(F.lit(r[0]))), None, vector, 1)
+    for cov, mean, n in zip(fit.covariances(1), fit.mean, fit.n, strict=True):
         for j in JITTER:
             m = cov + j * np.eye(len(cov))
             if np.linalg.eigvalsh(m).min() > 0:
                 break
-        given.append((whitener(np.linalg.inv(m)), np.array(r["centroid"])))
+        given.append((whitener(np.linalg.inv(m)), mean))
         log_p = -0.5 * F.col("_far")[len(parts)] - F.lit(0.5 * (len(cov) * np.log(2 * np.pi) + np.linalg.slogdet(m)[1]).item())
-        parts.append(log_p if scale is None else F.exp(log_p / scale) * F.lit(r["n"] / total))
+        parts.append(log_p if scale is None else F.exp(log_p / scale) * F.lit(float(n / fit.n.sum())))
     far = pool.withColumn("_far", squared_distances(F.col(vector), given))
     if scale is None:
         # the largest term goes before the exponential, which would vanish

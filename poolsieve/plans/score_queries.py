@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import proba
-from ..functions.vector import group_means, scatter
-from ..operators import acquire, density, greedy, influence, neighbours, pseudo, rows
+from ..functions.vector import group_means
+from ..operators import acquire, density, greedy, influence, moments, neighbours, pseudo, rows
 from ..session import table
 from .providers import _MEANS, PASS_SQL, PROBAS, VECTORS, split_vectors, with_passes, with_probas
 from .registry import ORACLES, query
@@ -105,15 +105,10 @@ def class_centroids(spark, d):  # noqa: ANN001, ANN201
 m as (select label, pos, avg(x) as m from f group by all), c as (select vec_id, pos, x - m as x from f join m using (label, pos))
 select a.pos as i, b.pos as j, round(sum(a.x * b.x) / ((select count(*) from embeddings) - 1), 6) as s from c a join c b using (vec_id) group by all""")
 def within_class_scatter(spark, d):  # noqa: ANN001, ANN201
-    return _within_class(table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
-
-
-def _within_class(x):  # noqa: ANN001, ANN202
-    total = scatter(x, "v")
-    means = group_means(x, "label", "v").select("n", F.posexplode("centroid").alias("i", "a"), "centroid").select("n", "i", "a", F.posexplode("centroid").alias("j", "b"))
-    between = means.groupBy("i", "j").agg(F.sum(F.col("n") * F.col("a") * F.col("b")).alias("m"))
-    n = x.count()
-    return total.join(between, ["i", "j"]).select(F.col("i").cast("long"), F.col("j").cast("long"), F.round((F.col("s") - F.col("m")) / F.lit(float(n - 1)), 6).alias("s"))
+    x = table(spark, d, "embeddings")
+    s = moments.moments(x, "label", "embedding").covariance()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(s)], "i long, v array<double>")  # d x d
+    return rows.select("i", F.posexplode("v").alias("j", "s")).select("i", F.col("j").cast("long"), F.round("s", 6).alias("s"))
 
 
 def _neighbours(name: str, measure: str, sql: str) -> None:
@@ -203,9 +198,39 @@ def mahalanobis_centroids(spark, d):  # noqa: ANN001, ANN201
     return density.mahalanobis(lab, pool, "label", "v").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("mahalanobis_per_class")
+def _fit_sql(tag: str, rows: str, own: bool = False) -> str:
+    """Means and the inverse of the pooled covariance of ``rows`` (vec_id, label, x), or each class's own with the logarithm of its determinant, by
+    Gauss and Jordan; ``w_{tag}`` has them by label. Own ones are over n - ``own``."""
+    over = "any_value(n) - 1" if own == 1 else "any_value(n)"
+    cov = f"select label, a.i, b.i as j, sum(a.d * b.d) / ({over}) as s from off_{tag} a join off_{tag} b using (vec_id, label) join (select label, count(*) as n from {rows} group by label) using (label) group by label, a.i, b.i"
+    if own is False:
+        cov = f"select 0 as label, a.i, b.i as j, sum(a.d * b.d) / ((select count(*) from {rows}) - 1) as s from off_{tag} a join off_{tag} b using (vec_id) group by a.i, b.i"
+    return f"""flat_{tag} as (select vec_id, label, unnest(x) as v, generate_subscripts(x, 1) as i from {rows}),
+mean_{tag} as (select label, i, avg(v) as m from flat_{tag} group by all),
+off_{tag} as (select f.vec_id, f.label, f.i, v - m as d from flat_{tag} f join mean_{tag} using (label, i)),
+steps_{tag}(label, k, m, ld) as (
+    select label, 1, list(list_concat(r, list_transform(range(1, len(r) + 1), lambda k: case when k = i then 1.0::double else 0.0::double end)) order by i), 0.0::double
+    from (select label, i, list(s order by j) as r from ({cov}) group by label, i) group by label
+    union all select label, k + 1, list_transform(m, lambda row, i: case when i = k then p else list_transform(list_zip(row, p), lambda z: z[1] - row[k] * z[2]) end), ld + ln(m[k][k])
+    from (select label, k, m, ld, list_transform(m[k], lambda v: v / m[k][k]) as p from steps_{tag} where k <= len(m))),
+w_{tag} as (select label, list_transform(m, lambda r: r[len(m) + 1:]) as w, ld from steps_{tag} where k = len(m) + 1),
+centre_{tag} as (select label, list(m order by i) as c from mean_{tag} group by label)"""
+
+
+_FORM = "list_sum(list_transform(list_zip(w, d), lambda z: list_dot_product(z[1], d) * z[2]))"
+_TWO = """with recursive v as (select vec_id, label % 2 as label, embedding::double[] as x from embeddings),
+l as (select * from v where vec_id % 2 = 0), p as (select * from v where vec_id % 2 = 1)"""
+_OWN = """diff as (select vec_id, c.label, w, ld, list_transform(list_zip(x, c), lambda z: z[1] - z[2]) as d from p cross join centre_l c join w_l on w_l.label = c.label)"""
+
+
+def _two_classes(spark, d):  # noqa: ANN001, ANN202
+    """Halves with two classes: ten classes have too few rows on small tables for a regular covariance of their own."""
+    return (x.withColumn("label", F.col("label") % 2) for x in _halves(spark, d))
+
+
+@query("mahalanobis_per_class", f"{_TWO}, {_fit_sql('l', 'l', own=2)}, {_OWN} select vec_id, round(min(sqrt({_FORM})), 6) as distance from diff group by vec_id")
 def mahalanobis_per_class(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = _halves(spark, d)
+    lab, pool = _two_classes(spark, d)
     return density.mahalanobis(lab, pool, "label", "v", per_class=True).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -326,16 +351,27 @@ def cluster_pool(spark, d):  # noqa: ANN001, ANN201
     return neighbours.cluster_pool(lab, pool, 10, "vec_id", "embedding").select("vec_id", "cluster")
 
 
-@query("gmm_density")
+@query("gmm_density", f"""{_TWO}, {_fit_sql('l', 'l', own=1)}, {_OWN}, share as (select label, count(*) / sum(count(*)) over () as s from l group by label)
+select vec_id, round(sum(exp((-0.5 * {_FORM} - 0.5 * (len(d) * ln(2 * pi()) + ld)) / 768) * s), 9) as density from diff join share using (label) group by vec_id""")
 def gmm_density(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = split_vectors(spark, d)
-    return density.gaussian_density(lab, pool, "label", "embedding").select("vec_id", F.round("density", 9).alias("density"))
+    lab, pool = _two_classes(spark, d)
+    return density.gaussian_density(lab, pool, "label", "v").select("vec_id", F.round("density", 9).alias("density"))
+
 
+def _pick_sql(tag: str, pool: str) -> str:
+    """The row of ``pool`` whose nearest centre, under the fit ``tag``, is farthest."""
+    return f"""near_{tag} as (select vec_id, any_value(own) as label, any_value(x) as x, min(sqrt({_FORM})) as far from (
+    select p.vec_id, p.label as own, x, w, list_transform(list_zip(x, c), lambda z: z[1] - z[2]) as d from {pool} p cross join centre_{tag} cross join w_{tag}) group by vec_id),
+pick_{tag} as (select * from near_{tag} order by far desc, vec_id limit 1)"""
 
-@query("batched_mahalanobis_k2")
+
+@query("batched_mahalanobis_k2", f"""with recursive v as (select vec_id, label, embedding::double[] as x from embeddings), l as (select * from v where vec_id % 2 = 0), p as (select * from v where vec_id % 2 = 1),
+{_fit_sql('a', 'l')}, {_pick_sql('a', 'p')}, l2 as (select * from l union all select vec_id, label, x from pick_a), p2 as (select * from p where vec_id not in (select vec_id from pick_a)),
+{_fit_sql('b', 'l2')}, {_pick_sql('b', 'p2')}
+select 0::bigint as ord, vec_id, round(far, 6) as score from pick_a union all select 1, vec_id, round(far, 6) from pick_b""")
 def batched_mahalanobis_k2(spark, d):  # noqa: ANN001, ANN201
-    lab, pool = split_vectors(spark, d)
-    return spark.createDataFrame(list(enumerate(density.batched(lab, pool, 2, "label", "vec_id", "embedding"))), "ord long, vec_id long")
+    lab, pool = _halves(spark, d)
+    return _picks(spark, density.batched_picks(lab, pool, 2, "label", "vec_id", "v"))
 
 
 @query("cluster_round_robin", f"""with {PROBAS}, m as (select vec_id, label, round(1 + list_sort(p)[len(p) - 1] - list_max(p), 6) as margin from probas), z as (select label, count(*) as size from m group by label),
