@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import doubles, group_means
-from .greedy import Picks, _kept
+from ..session import kept
+from .greedy import Picks
 from .moments import ALL, JITTER, OWN, Running, inverse, moments, whitener
 
 
@@ -114,7 +115,7 @@ def batched_picks(train: DataFrame, pool: DataFrame, n: int, label: str, id_col:
         rows = rows.where(~F.col(id_col).isin(list(outliers)))
     if lam is not None:
         rows = single_centre(train.select(F.col(vector).alias("_x")), rows, "_x").drop("distances").withColumnRenamed("distance", "_one")
-    rows = _kept(rows.withColumn("_q", run.forms(F.col("_x"))))
+    rows = kept(rows.withColumn("_q", run.forms(F.col("_x"))))
     for _ in range(n):
         near = F.array_min(F.transform("_q", lambda q, i: F.struct(q.alias("q"), i.alias("i"))))
         score = F.sqrt(near["q"] * F.lit(run.weight))
@@ -128,7 +129,7 @@ def batched_picks(train: DataFrame, pool: DataFrame, n: int, label: str, id_col:
         changed = run.add(run.labels[best["k"]] if best["_own"] is None else best["_own"], np.array(best["_x"]))
         rows = rows.withColumn("_q", changed(F.col("_q"), F.col("_x")) if changed else run.forms(F.col("_x")))
         if len(picks.ids) % 8 == 0:
-            rows = _kept(rows)
+            rows = kept(rows)
     return picks
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, doubles, normalised, squared_distance
-from ..session import hash01, literal_vector
+from ..session import hash01, kept, literal_vector
 
 
 @dataclass
@@ -152,7 +152,7 @@ def k_center(pool: DataFrame, centres: DataFrame, n: int, id_col: str, vector: s
 
     vectors = pool.select(id_col, doubles(F.col(vector)).alias("_x"))
     far = centre_distance(vectors, centres.select(id_col, F.col(vector).alias("_x")), id_col, "_x")
-    rows = _kept(far.select(id_col, "_x", (F.col("distance") * F.col("distance")).alias("_d")))
+    rows = kept(far.select(id_col, "_x", (F.col("distance") * F.col("distance")).alias("_d")))
     picks = Picks()
     for _ in range(n):
         left = rows.where(~F.col(id_col).isin(picks.ids)) if picks.ids else rows
@@ -163,14 +163,14 @@ def k_center(pool: DataFrame, centres: DataFrame, n: int, id_col: str, vector: s
         picks.scores.append(best["d"])
         rows = rows.withColumn("_d", F.least("_d", squared_distance(F.col("_x"), literal_vector(best["_x"]))))
         if len(picks.ids) % 8 == 0:
-            rows = _kept(rows)
+            rows = kept(rows)
     return picks
 
 
 def k_means_pp(vectors: DataFrame, n: int, id_col: str, vector: str, seed: int) -> Picks:
     """k-means++ seeding: each pick is drawn with a chance in proportion to its squared distance to the nearest pick.
     A draw is the largest of d^2-weighted exponential races, log(u) / d^2, u a seeded hash: one pass, no running sums."""
-    rows = _kept(vectors.select(id_col, doubles(F.col(vector)).alias("_x"), F.lit(1.0).alias("_d")))
+    rows = kept(vectors.select(id_col, doubles(F.col(vector)).alias("_x"), F.lit(1.0).alias("_d")))
     picks = Picks()
     for step in range(n):
         race = F.log(F.greatest(hash01(seed + step, id_col), F.lit(1e-12))) / F.col("_d")
@@ -181,7 +181,7 @@ def k_means_pp(vectors: DataFrame, n: int, id_col: str, vector: str, seed: int)
         picks.ids.append(-best["i"])
         picks.scores.append(best["_d"])
         d = squared_distance(F.col("_x"), literal_vector(best["_x"]))
-        rows = _kept(rows.withColumn("_d", d if step == 0 else F.least("_d", d)))
+        rows = kept(rows.withColumn("_d", d if step == 0 else F.least("_d", d)))
     return picks
 
 
@@ -190,10 +190,6 @@ def badge(gradients: DataFrame, n: int, id_col: str, vector: str, seed: int) ->
     return k_means_pp(gradients, n, id_col, vector, seed)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def mmr(overlap: DataFrame, counts: DataFrame, n: int, lam: float = 0.5, digits: int = 9, f1: bool = False) -> Picks:
     """Maximal marginal relevance on shared n-grams. ``overlap``: (n, i, j, common) for pairs with something in common,
     i = j included, both directions; ``counts``: (n, i, total).
@@ -210,7 +206,7 @@ def mmr(overlap: DataFrame, counts: DataFrame, n: int, lam: float = 0.5, digits:
     shares = shares.withColumns({"share": out, "back": inner}).drop("total", "total_j").persist()
     base = counts.join(shares.groupBy("n", "i").agg(F.sum("share").alias("out")), ["n", "i"], "left")
     state = base.select("n", "i", "total", F.coalesce("out", F.lit(0.0)).alias("out"), F.lit(0.0).alias("in"))
-    state = _kept(state)
+    state = kept(state)
     orders = max(1, counts.select("n").distinct().count())
     left = counts.select("i").distinct().count()
     picks = Picks()
@@ -226,7 +222,7 @@ def mmr(overlap: DataFrame, counts: DataFrame, n: int, lam: float = 0.5, digits:
         mine = shares.where(F.col("j") == pick).select("n", "i", F.col("share").alias("gone"), "back")
         state = state.join(mine, ["n", "i"], "left")
         state = state.select("n", "i", "total", (F.col("out") - F.coalesce("gone", F.lit(0.0))).alias("out"), F.greatest("in", F.coalesce("back", F.lit(0.0))).alias("in"))
-        state = _kept(state)
+        state = kept(state)
         left -= 1
     shares.unpersist()
     return picks

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder (``spark.checkpoint.dir``) and read back: lineage ends there, a lost executor costs nothing, and sizes
+    are those of the files (a checkpoint keeps the estimates of its plan, which multiply over rounds of joins). Only where driver and executors are one process may the folder
+    be unset; a temporary one is set then. Files are not deleted by us."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="poolsieve-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Roles:
     """Which columns of a table hold what."""

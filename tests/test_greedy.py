@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from poolsieve.operators import density, greedy, moments, neighbours
+from poolsieve.operators import density, greedy, linkage, moments, neighbours
 
 
 @pytest.fixture(scope="module")
@@ -76,9 +76,45 @@ def test_nearest(data):
         assert near == np.argsort(-(x[i] @ x[:10].T), kind="stable")[:3].tolist()
 
 
-def test_average_linkage():
-    x = np.array([[0, 0], [0, 1], [9, 9], [9, 10], [50, 50]], float)
-    assert neighbours.average_linkage(x, 3).tolist() == [0, 0, 1, 1, 2]
+def linked(x, clusters, metric):
+    """One merge at a time over the matrix of all distances; clusters named by the first member."""
+    z = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+    d = 1 - z @ z.T if metric == "cosine" else ((z[:, None] - z[None]) ** 2).sum(2)
+    d = np.sqrt(d) if metric == "euclidean" else d
+    groups = {i: [i] for i in range(len(x))}
+    while len(groups) > clusters:
+        names = list(groups)
+        at = np.array([[np.inf if a >= b else d[np.ix_(groups[a], groups[b])].mean() for b in names] for a in names]) if len(groups) == len(x) else at  # noqa: F821
+        i, j = divmod(int(at.argmin()), len(names))
+        a, b = names[i], names[j]
+        groups[a] += groups.pop(b)
+        at = np.delete(np.delete(at, j, 0), j, 1)
+        names.pop(j)
+        for k, name in enumerate(names):
+            if k != i:
+                at[min(i, k), max(i, k)] = d[np.ix_(groups[a], groups[name])].mean()
+    return {m: min(g) for g in groups.values() for m in g}
+
+
+@pytest.mark.parametrize(("metric", "clusters"), [("euclidean", 3), ("euclidean", 40), ("sqeuclidean", 40), ("cosine", 3)])
+def test_average_linkage(spark, monkeypatch, metric, clusters):
+    """Rounds over blocks, then few on the driver, against one merge at a time; 40 clusters undo merges of the rounds."""
+    monkeypatch.setattr(linkage, "FEW", 30)
+    monkeypatch.setattr(linkage, "BLOCK", 40)
+    monkeypatch.setattr(linkage, "CHUNK", 3)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(n, 3)) * s + rng.normal(size=3) * 6 for n, s in ((30, 1), (25, 0.2), (15, 2), (2, 0.1))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in linkage.average_linkage(df, clusters, "id", "v", metric).collect()}
+    assert got == linked(x, clusters, metric)
+
+
+def test_average_linkage_of_ties_and_few_rows(spark):
+    df = spark.createDataFrame([(i, [float(i // 3)]) for i in range(9)], "id long, v array<double>")
+    assert sorted(tuple(r) for r in linkage.average_linkage(df, 3, "id", "v").collect()) == [(i, i // 3 * 3) for i in range(9)]
+    assert linkage.average_linkage(df, 20, "id", "v").where("id <> cluster").count() == 0
+    assert linkage.average_linkage(df, 1, "id", "v").select("cluster").distinct().collect() == [(0,)]
+    assert linkage.average_linkage(df.limit(0), 2, "id", "v").count() == 0
 
 
 def test_late_groups_have_a_cluster(spark):
