@@ -22,7 +22,7 @@ from ..session import kept
 #: Rows of a block.
 BLOCK = 2048
 #: Clusters whose matrix the driver holds.
-FEW = 1024
+FEW = 4096
 #: Rows of a cluster that meet those of another at once, about.
 CHUNK = 128
 #: Distances that differ by less than this share are compared over the rows.
@@ -174,10 +174,12 @@ def finish(d: np.ndarray, n: np.ndarray, h: np.ndarray) -> list[tuple[int, int,
     """Merges (i, j, height) of clusters 0, 1, ... of sizes n with average distances d, until one is left; i < j goes on. h: their heights."""
     d, n, h, merges = d.copy(), n.astype(float), h.copy(), []
     np.fill_diagonal(d, np.inf)
-    alive = np.ones(len(n), bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(d.argmin()), len(n))
-        i, j = min(i, j), max(i, j)
+    every = np.arange(len(n))
+    at = d.argmin(1)
+    least = d[every, at]
+    for _ in range(len(n) - 1):
+        i = int(least.argmin())
+        i, j = sorted((i, int(at[i])))
         h[i] = max(d[i, j], h[i], h[j])
         merges.append((i, j, float(h[i])))
         row = (n[i] * d[i] + n[j] * d[j]) / (n[i] + n[j])
@@ -185,7 +187,10 @@ def finish(d: np.ndarray, n: np.ndarray, h: np.ndarray) -> list[tuple[int, int,
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         n[i] += n[j]
-        alive[j] = False
+        # an average is never below the smaller of the two, so only rows whose nearest was merged look again
+        again = np.union1d(np.flatnonzero((at == i) | (at == j)), [i, j])
+        at[again] = d[again].argmin(1)
+        least[again] = d[again, at[again]]
     return merges
 
 
