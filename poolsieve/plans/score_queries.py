@@ -125,6 +125,15 @@ _neighbours("dot_topk_neighbors", "dot", "list_dot_product(p.embedding, l.embedd
 _neighbours("neg_sq_euclidean_nn", "euclid", "-(list_distance(p.embedding, l.embedding) ** 2)")
 
 
+@query("self_topk_neighbors", f"""with {VECTORS} select p.vec_id, l.vec_id as other, round(list_dot_product(p.embedding, l.embedding), 6) as sim from vec p cross join vec l
+qualify row_number() over (partition by p.vec_id order by list_dot_product(p.embedding, l.embedding) desc, l.vec_id) <= 4""")
+def self_topk_neighbors(spark, d):  # noqa: ANN001, ANN201
+    """All vectors against all, each other's cells skipped where their bounds allow."""
+    x = table(spark, d, "embeddings")
+    near = neighbours.nearest(x, x, "vec_id", "embedding", 4)
+    return near.select(F.col("id").alias("vec_id"), F.explode("near").alias("x")).select("vec_id", "x.other", F.round("x.sim", 6).alias("sim"))
+
+
 @query("cosine_pairs", f"with {VECTORS} select p.vec_id, l.vec_id as other, round(list_cosine_similarity(p.embedding, l.embedding), 6) as sim from pool p cross join lab l")
 def cosine_pairs(spark, d):  # noqa: ANN001, ANN201
     lab, pool = split_vectors(spark, d)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from poolsieve.operators import density, greedy, linkage, moments, neighbours
+from poolsieve.operators import density, greedy, linkage, moments, neighbours, topk
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +76,29 @@ def test_nearest(data):
         assert near == np.argsort(-(x[i] @ x[:10].T), kind="stable")[:3].tolist()
 
 
+@pytest.mark.parametrize("measure", ["dot", "cosine", "euclid"])
+def test_nearest_skips_cells_and_loses_nothing(spark, monkeypatch, measure):
+    """Clustered rows with ties, cells smaller than k, rows without a vector."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "CELL", 8)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(8, 4)) * 20
+    x = np.concatenate([c + rng.normal(size=(n, 4)) for c, n in zip(centres, (30, 30, 20, 20, 20, 10, 2, 2), strict=True)])
+    x[5] = x[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None)], "id long, v array<double>").repartition(3)
+    z = x / np.linalg.norm(x, axis=1, keepdims=True) if measure == "cosine" else x
+    sim = -((z[:, None] - z[None]) ** 2).sum(2) if measure == "euclid" else z @ z.T
+    report = {}
+    got = {r["id"]: [(n["other"], n["sim"]) for n in r["near"]] for r in topk.nearest(df, df, "id", "v", 4, measure, report).collect()}
+    assert set(got) == set(range(len(x)))
+    for i, near in got.items():
+        assert [s for _, s in near] == pytest.approx(np.sort(sim[i])[::-1][:4].tolist(), abs=1e-6)
+        assert all(s == pytest.approx(sim[i, j], abs=1e-6) for j, s in near) and len({j for j, _ in near}) == 4
+    assert report["pairs"] == len(x) ** 2
+    if measure == "euclid":
+        assert report["met"] < report["pairs"] / 2
+
+
 def linked(x, clusters, metric):
     """One merge at a time over the matrix of all distances; clusters named by the first member."""
     z = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
