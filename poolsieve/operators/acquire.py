@@ -121,11 +121,13 @@ def minmax(pool: DataFrame, score: str, out: str = "normalised") -> DataFrame:
 
 
 def bleu_variance(pool: DataFrame, generations: str, id_col: str) -> DataFrame:
-    """Rows (id, score): mean over ordered pairs of a row's generations of (1 - BLEU / 100)^2; an empty generation is ``CLS``."""
-    from .overlap import sentence_bleu
-
-    texts = F.transform(F.col(generations), lambda t: F.when(F.length(F.trim(t)) == 0, "CLS").otherwise(t))
-    a = pool.select(F.col(id_col), texts.alias("g")).select(id_col, "g", F.posexplode("g").alias("i", "hyp"))
-    pairs = a.select(id_col, "i", "hyp", F.posexplode("g").alias("j", "ref")).where("i <> j")
-    scored = pairs.withColumn("b", F.round(sentence_bleu("hyp", "ref"), 4))
-    return scored.groupBy(id_col).agg(F.avg((1 - F.col("b") / 100) * (1 - F.col("b") / 100)).alias("score"))
+    """Rows (id, score): mean over ordered pairs of a row's generations of (1 - BLEU / 100)^2; an empty generation is ``CLS``, a null one
+    is left out. Null where there are fewer than two. Ids are different."""
+    from .overlap import group_bleu
+
+    known = F.filter(F.col(generations), lambda t: t.isNotNull())
+    texts = pool.select(id_col, F.transform(known, lambda t: F.when(F.length(F.trim(t)) == 0, "CLS").otherwise(t)).alias("g"))
+    off = 1 - F.round("bleu", 4) / 100
+    found = group_bleu(texts, id_col, "g").groupBy(id_col).agg(F.sum(off * off - 1).alias("less"))
+    pairs = F.size("g") * (F.size("g") - 1)
+    return texts.join(found, id_col, "left").select(id_col, F.when(pairs > 0, 1 + F.coalesce("less", F.lit(0.0)) / pairs).alias("score"))

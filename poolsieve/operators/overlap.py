@@ -6,7 +6,7 @@ import math
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,38 @@ def pair_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("n", "i", "j", "common", r.alias("recall"), p.alias("precision"), (2 * r * p / (r + p + 1e-15)).alias("f1"))
 
 
+def pairs_above(left: DataFrame, right: DataFrame, bound: float) -> DataFrame:
+    """Rows (n, i, j, common, f1) of pairs with f1 = 2 common / (grams of i + grams of j) of at least ``bound`` (above 0), from two ``gram_counts``: those rows of
+    ``pair_overlap``, without its pairs below the bound.
+
+    As common is at most the grams of either text, such a pair shares bound / (2 - bound) of the grams of each. So, with grams in any one order, it shares one among the
+    first t - ceil(that share of t) + 1 of each text's t. The order is by how many texts have the gram, rare ones first: a gram that most texts have is hardly ever among the first,
+    and the only pairs that arise are those that share a rare one and have sizes that allow the bound. These alone are counted out.
+    """
+    if not 0 < bound <= 1:
+        raise ValueError(f"a bound lies in (0, 1]: {bound}")
+    share = bound / (2 - bound)
+    texts = left.select("n", "gram").union(right.select("n", "gram")).groupBy("n", "gram").agg(F.count("*").alias("df"))
+
+    def firsts(counts: DataFrame, id_: str, size: str, own: str) -> DataFrame:
+        order = Window.partitionBy("n", "i").orderBy("df", "gram")
+        whole = Window.partitionBy("n", "i")
+        rows = counts.join(texts, ["n", "gram"]).withColumn(size, F.sum("c").over(whole))
+        before = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
+        # a little below, so that no rounding leaves a pair out
+        rows = rows.withColumn("before", before).where(F.col("before") < F.col(size) - F.ceil(F.col(size) * share - 1e-9) + 1)
+        return rows.select("n", "gram", F.col("i").alias(id_), size)
+
+    a, b = firsts(left, "i", "ti", "c"), firsts(right, "j", "tj", "d")
+    fits = (F.col("tj") >= share * F.col("ti") - 1e-9) & (F.col("ti") >= share * F.col("tj") - 1e-9)
+    found = a.join(b, ["n", "gram"]).where(fits).select("n", "i", "j", "ti", "tj").distinct()
+    other = right.select("n", F.col("i").alias("j"), "gram", F.col("c").alias("d"))
+    common = found.join(left, ["n", "i"]).join(other, ["n", "j", "gram"])
+    common = common.groupBy("n", "i", "j").agg(F.sum(F.least("c", "d")).alias("common"), F.any_value("ti").alias("ti"), F.any_value("tj").alias("tj"))
+    f1 = 2 * F.col("common") / (F.col("ti") + F.col("tj"))
+    return common.select("n", "i", "j", "common", f1.alias("f1")).where(F.col("f1") >= bound)
+
+
 def rouge_parts(df: DataFrame, id_col: str, pred: str, label: str, stem: bool = False) -> DataFrame:
     """Rows (id, n, common, n_pred, n_label) for n = 1, 2: exploded grams joined on (id, gram), no pair of texts but the own."""
     own = lambda c: stemmed(tokens(F.col(c))) if stem else tokens(F.col(c))
@@ -82,17 +114,27 @@ def _cut(text: str | None) -> list[list[str]]:
 
 
 def _matches(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    """Places in ``a`` of a longest common subsequence with ``b``, those of the table of suffixes read from the start.
+
+    Bit q of the p-th row is 0 where the longest common subsequence of the last p items of ``a`` and the last q + 1 of ``b`` is longer than that of the last q. A row follows from
+    the one before by an addition of whole integers; rows are kept, and lengths are counts of bits."""
+    n, m = len(a), len(b)
+    where: dict[str, int] = {}
+    for q, item in enumerate(reversed(b)):
+        where[item] = where.get(item, 0) | 1 << q
+    row = full = (1 << m) - 1
+    rows = [row]
+    for item in reversed(a):
+        hit = row & where.get(item, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    length = lambda p, q: q - (rows[p] & (1 << q) - 1).bit_count()
     out, i, j = set(), 0, 0
-    while i < len(a) and j < len(b):
+    while i < n and j < m:
         if a[i] == b[j]:
             out.add(i)
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif length(n - i - 1, m - j) >= length(n - i, m - j - 1):
             i += 1
         else:
             j += 1
@@ -132,20 +174,26 @@ def bleu(matches: list[int], possible: list[int], hyp: int, ref: int, smooth: bo
     return 100 * min(1.0, math.exp(1 - ref / hyp)) * math.exp(sum(logs) / len(logs))
 
 
-def _bleu_of(hyp: str, ref: str) -> float:
-    a, b = hyp.split(), ref.split()
-    matches, possible = [], []
-    for n in range(1, 5):
-        x, y = (Counter(zip(*[t[i:] for i in range(n)], strict=False)) for t in (a, b))
-        matches.append(sum((x & y).values()))
-        possible.append(max(0, len(a) - n + 1))
-    return bleu(matches, possible, len(a), len(b), smooth=True)
-
-
-@F.pandas_udf(T.DoubleType())
-def sentence_bleu(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    """Smoothed BLEU, 0 to 100, of white-space tokens, orders 1 to 4."""
-    return pd.Series([None if h is None or r is None else _bleu_of(h, r) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
+def group_bleu(groups: DataFrame, id_col: str, texts: str) -> DataFrame:
+    """Rows (id, i, j, bleu): smoothed BLEU, 0 to 100, of white-space tokens, orders 1 to 4, of text i of a row against text j of the same row, for each pair that has a
+    token in common; all others have 0. Grams of all texts of a row are counted at once; a gram then brings together the few texts of its row that have it."""
+    split = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    flat = groups.select(F.col(id_col).alias("g"), F.posexplode(texts).alias("i", "t")).where("t is not null").select("g", "i", split(F.col("t")).alias("w"))
+    by_order = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("w"), n).alias("x")) for n in (1, 2, 3, 4)])
+    flat = flat.select("g", "i", F.size("w").alias("l"), F.explode(by_order).alias("o")).select("g", "i", "l", "o.n", F.explode("o.x").alias("gram"))
+    counts = flat.groupBy("g", "n", "gram", "i", "l").agg(F.count("*").alias("c"))
+    having = counts.groupBy("g", "n", "gram").agg(F.collect_list(F.struct("i", "l", "c")).alias("h"))
+    pairs = having.select("g", "n", "h", F.explode("h").alias("p")).select("g", "n", "p", F.explode("h").alias("q")).where("p.i <> q.i")
+    match = [F.sum(F.when(F.col("n") == n, F.least("p.c", "q.c")).otherwise(0)).alias(f"m{n}") for n in (1, 2, 3, 4)]
+    sums = pairs.groupBy("g", F.col("p.i").alias("i"), F.col("q.i").alias("j"), F.col("p.l").alias("hyp"), F.col("q.l").alias("ref")).agg(*match)
+    logs, orders, none = F.lit(0.0), F.lit(0), F.lit(0)
+    for n in (1, 2, 3, 4):
+        m, possible = F.col(f"m{n}"), F.col("hyp") - (n - 1)
+        none = none + F.when(m == 0, 1).otherwise(0)  # orders without a match count 1 / 2, 1 / 4, ... of one
+        logs = logs + F.when(possible > 0, F.log(F.when(m > 0, m.cast("double")).otherwise(F.pow(F.lit(2.0), -none)) / possible)).otherwise(0.0)
+        orders = orders + F.when(possible > 0, 1).otherwise(0)
+    short = F.least(F.lit(1.0), F.exp(1 - F.col("ref") / F.col("hyp")))
+    return sums.where("m1 > 0").select(F.col("g").alias(id_col), "i", "j", (100 * short * F.exp(logs / orders)).alias("bleu"))
 
 
 def corpus_bleu(df: DataFrame, id_col: str, pred: str, label: str) -> float:

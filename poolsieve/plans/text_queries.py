@@ -93,10 +93,19 @@ def corpus_bleu(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(overlap.corpus_bleu(replies(spark, d), "id", "pred", "ref"),)], "bleu double").select(F.round("bleu", 6).alias("bleu"))
 
 
-@query("bleuvar_topk")
+@query("bleuvar_topk", f"""with {REPLIES}, g as (select id, unnest([0, 1, 2]) as i, unnest([pred, ref, pred || ' ' || ref]) as t from replies),
+w as (select id, i, list_filter(regexp_split_to_array(case when trim(t) = '' then 'CLS' else t end, '\\s+'), lambda x: x <> '') as w from g),
+x as (select id, i, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda k: array_to_string(w[k:k + n - 1], ' '))) as gram from w, (select unnest([1, 2, 3, 4]) as n)),
+c as (select id, i, n, gram, count(*) as c from x group by all),
+m as (select a.id, a.i, b.i as j, a.n, sum(least(a.c, b.c)) as m from c a join c b using (id, n, gram) where a.i <> b.i group by all),
+p as (select a.id, a.i, b.i as j, n, len(a.w) as hyp, len(b.w) as ref, len(a.w) - n + 1 as possible from w a join w b on a.id = b.id and a.i <> b.i, (select unnest([1, 2, 3, 4]) as n)),
+z as (select p.*, coalesce(m, 0) as m, count(*) filter (where coalesce(m, 0) = 0) over (partition by id, i, j order by n) as none from p left join m using (id, i, j, n)),
+b as (select id, i, j, case when max(m) filter (where n = 1) = 0 then 0 else 100 * least(1, exp(1 - any_value(ref) / any_value(hyp))) * exp(avg(ln(case when m > 0 then m else 2.0 ** -none end / possible)) filter (where possible > 0)) end as bleu from z group by all)
+select id, round(avg((1 - round(bleu, 4) / 100) ** 2), 6) as score from b group by id order by score desc, id limit 10""")
 def bleuvar_topk(spark, d):  # noqa: ANN001, ANN201
     r = replies(spark, d).select("id", F.array("pred", "ref", F.concat_ws(" ", "pred", "ref")).alias("g"))
-    return acquire.bleu_variance(r, "g", "id").orderBy(F.col("score").desc(), "id").limit(10)
+    scored = acquire.bleu_variance(r, "g", "id").select("id", F.round("score", 6).alias("score"))
+    return scored.orderBy(F.col("score").desc(), "id").limit(10)
 
 
 @query("gen_len", f"with {REPLIES} select round(avg(len(list_filter(regexp_split_to_array(pred, '\\s+'), lambda x: length(x) > 2))), 6) as gen_len from replies")
@@ -126,6 +135,16 @@ def pairwise_rouge_precision(spark, d):  # noqa: ANN001, ANN201
     return _pairs(spark, d)[1].select(F.col("n").cast("long"), "i", "j", F.round("precision", 6).alias("precision"), F.round("f1", 6).alias("f1"))
 
 
+@query("pairwise_rouge_above", f"""with t as (select doc_id, {TOKENS_SQL.format('text')} as t from documents), g as (select doc_id, unnest({_GRAMS.format('t', 2)}) as gram from t),
+c as (select doc_id, gram, count(*) as c from g group by all), s as (select doc_id, sum(c) as s from c group by all),
+o as (select x.doc_id as i, y.doc_id as j, sum(least(x.c, y.c)) as common from c x join c y on x.gram = y.gram and x.doc_id < y.doc_id group by all)
+select i, j, common::bigint as common, round(2 * common / (a.s + b.s), 6) as f1 from o join s a on a.doc_id = i join s b on b.doc_id = j where 2 * common / (a.s + b.s) >= 0.5""")
+def pairwise_rouge_above(spark, d):  # noqa: ANN001, ANN201
+    """Pairs of documents that share half of their bigrams."""
+    g = overlap.gram_counts(table(spark, d, "documents"), "doc_id", tx.tokens(F.col("text")), (2,))
+    return overlap.pairs_above(g, g, 0.5).where("i < j").select("i", "j", "common", F.round("f1", 6).alias("f1"))
+
+
 @query("mmr_k3", _PAIRS.replace("with b as", "with recursive b as").replace("p as (", "p as materialized (", 1) + """,
 items as (select distinct i from p),
 step(k, picked, scores) as (select 0, []::bigint[], []::double[] union all

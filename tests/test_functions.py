@@ -1,9 +1,11 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from poolsieve.functions import proba, text, vector
-from poolsieve.operators import analytics, metrics, overlap
+from poolsieve.operators import acquire, analytics, metrics, overlap
 
 
 def one(spark, **cols):
@@ -74,11 +76,76 @@ def test_lcs_against_table():
         assert text._lcs(a, b) == t[-1, -1]
 
 
-def test_bleu():
-    assert overlap._bleu_of("a b c d e", "a b c d e") == pytest.approx(100)
-    assert overlap._bleu_of("", "a") == 0
-    assert 0 < overlap._bleu_of("a b x d", "a b c d") < 100
+def plain_bleu(hyp, ref):
+    a, b = hyp.split(), ref.split()
+    matches, possible = [], []
+    for n in range(1, 5):
+        x, y = (Counter(zip(*[t[i:] for i in range(n)], strict=False)) for t in (a, b))
+        matches.append(sum((x & y).values()))
+        possible.append(max(0, len(a) - n + 1))
+    return overlap.bleu(matches, possible, len(a), len(b), smooth=True)
+
+
+def test_bleu(spark):
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join(rng.choice(["a", "b", "c", "d", "e"], n))
+    groups = [(i, [some(rng.integers(0, 9)) for _ in range(4)]) for i in range(12)]
+    groups += [(100, ["a b c d e", "a b c d e", "z"]), (101, ["x"]), (102, []), (103, ["", " ", "CLS"]), (104, [None, "a b", "a c"]), (105, ["a " * 3000, "a b " * 2000]), (106, None)]
+    df = spark.createDataFrame(groups, "id long, g array<string>")
+    got = {(r["id"], r["i"], r["j"]): r["bleu"] for r in overlap.group_bleu(df, "id", "g").collect()}
+    for i, g in groups:
+        for p in range(len(g or [])):
+            for q in range(len(g)):
+                if p != q and g[p] is not None and g[q] is not None:
+                    assert got.get((i, p, q), 0) == pytest.approx(plain_bleu(g[p], g[q])), (g[p], g[q])
+    assert got[100, 0, 1] == pytest.approx(100) and (100, 0, 2) not in got
+    scores = {r["id"]: r["score"] for r in acquire.bleu_variance(df, "g", "id").collect()}
+    for i, g in groups:
+        known = [t if t.strip() else "CLS" for t in g or [] if t is not None]
+        pairs = [(1 - round(plain_bleu(a, b), 4) / 100) ** 2 for m, a in enumerate(known) for n, b in enumerate(known) if m != n]
+        assert scores[i] == (pytest.approx(np.mean(pairs), abs=1e-9) if pairs else None)
+
+
+def table_matches(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = set(), 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_subsequence_by_bits_equals_the_table():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 5, 40, 150):
+        for _ in range(8):
+            a, b = (rng.integers(0, rng.choice([2, 5, 30]), rng.integers(0, size + 1)).tolist() for _ in range(2))
+            assert overlap._matches(a, b) == table_matches(a, b)
     assert overlap._lsum("a b\nc d", "c d\na b") == pytest.approx(1)
+    assert overlap._lsum(None, "a") == 0
+
+
+@pytest.mark.parametrize("bound", [0.3, 0.5, 1.0])
+def test_pairs_above_a_bound_are_those_of_all_pairs(spark, bound):
+    """A gram that all texts have, copies, texts without a gram, repeated grams."""
+    rng = np.random.default_rng(5)
+    texts = ["hot " * int(rng.integers(0, 3)) + " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 9))) for _ in range(50)]
+    texts += texts[:5] + ["", "hot", "hot hot hot hot"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    g = overlap.gram_counts(df, "id", text.tokens(F.col("t")))
+    every = overlap.pair_overlap(g, g).select("n", "i", "j", "common", "recall", "precision").collect()
+    want = {(r["n"], r["i"], r["j"]): r["common"] for r in every if 2 / (1 / r["recall"] + 1 / r["precision"]) >= bound - 1e-12}
+    got = {(r["n"], r["i"], r["j"]): r["common"] for r in overlap.pairs_above(g, g, bound).collect()}
+    assert got == want and len(want) > 50
+    assert overlap.pairs_above(g, g.limit(0), bound).count() == 0
 
 
 def test_entity_spans(spark):
