@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,19 +122,22 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model of a bounded sample of rows: of each language the ``sample`` / languages first in order of a hash
-    of id and text; None if no row is labelled. Rows with equal id, text and language count once in the sample, whatever their number. Only
+    of id and text; of more languages than ``sample`` the most frequent are learned; None if no row is labelled. Rows with equal id, text and language count once in the sample, whatever their number. Only
     hashed features of the sample reach the driver."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     mark = F.xxhash64(F.col(id_col).cast("string"), F.lit(3), F.col(text_col).cast("string"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return None
-    each = max(1, sample // len(counts))
+    counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:sample])
+    each = sample // len(counts)
     # the share of each language whose marks, uniform, hold a little more than ``each`` rows, then the first of them
     top = {s: min(1.0, (each + 4 * each**0.5 + 8) / n) for s, n in counts.items()}
     limit = F.create_map(*[F.lit(v) for s, t in top.items() for v in (s, int(-(2**63) + t * (2**64 - 1)) if t < 1 else 2**63 - 1)])
     few = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), mark.alias("mark")).where(F.col("mark") <= limit[F.col("lang")])
-    few = few.groupBy("lang", "mark").agg(F.any_value("text").alias("text")).select("text", "lang", "mark")
+    few = few.groupBy("lang", "mark").agg(F.any_value("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))  # of the sample only
+    few = few.withColumn("k", first).where(F.col("k") <= each).select("text", "lang", "mark")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +162,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``. ``und``, score 0, where the text is null or has no
-    letter, or there is no model. All other columns are kept (or ``keep`` of
+    letter, or there is no model. All other columns are kept, whatever their names (or ``keep`` of
     them; columns with names of the results are replaced); equal texts get equal results."""
-    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "ambiguous", "_text", "_letter")]
+    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    own_text, own_letter = (max([name, *[c + "_" for c in docs.columns if c.startswith(name)]], key=len) for name in ("_text", "_letter"))
     common.modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -169,7 +173,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
         model = shared.value
         for batch in batches:
             common.trim()
-            text, letter = batch.column("_text"), batch.column("_letter").to_pylist()
+            text, letter = batch.column(own_text), batch.column(own_letter).to_pylist()
             n = batch.num_rows
             pred, score, unsure = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
             rows = [i for i in range(n) if letter[i]] if model else []
@@ -181,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)], names=[*keep, "lang_pred", "score", "ambiguous"])
 
     letter = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(*keep, F.col(text_col).cast("string").alias("_text"), letter.alias("_letter"))
+    given = docs.select(*keep, F.col(text_col).cast("string").alias(own_text), letter.alias(own_letter))
     more = T.StructType().add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     out = T.StructType([*docs.select(*keep).schema.fields, *more.fields])
     return given.mapInArrow(run, out)

@@ -27,7 +27,7 @@ RIDGE = 1e-4
 
 
 def labellers(text: Column) -> dict[str, Column]:
-    """Overlapping heuristics: good, bad, or null where they abstain. Counts are over the whole text."""
+    """Overlapping heuristics: good, bad, or null where they abstain. Counts are over the whole text. All say bad of a text without words."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     words, chars = count(r"[^\x20\x09-\x0D]+"), F.char_length(text)
     letters, capitals = count(r"\p{L}"), count(r"\p{Lu}")
@@ -36,14 +36,14 @@ def labellers(text: Column) -> dict[str, Column]:
     runs = count(r"([^\p{L}\p{N}\s])\1")
     again = count(r"(?<![^\s])([^\s]{2,}) \1(?: \1)+")
     share = F.try_divide
-    vote = lambda good, bad: F.when(good, GOOD).when(bad, BAD)
+    vote = lambda good, bad: F.when(words == 0, BAD).when(good, GOOD).when(bad, BAD)
     return {
         "letters": vote(share(letters, chars) >= 0.72, share(letters, chars) < 0.6),
         "capitals": vote(share(capitals, letters) <= 0.12, share(capitals, letters) > 0.3),
         "sentences": vote(share(words, ends).between(2, 60), (words > 60) & ((ends == 0) | (share(words, ends) > 120))),
         "symbols": vote(share(odd, words) <= 0.02, share(odd, words) > 0.1),
         "runs": vote(share(runs, words) <= 0.01, share(runs, words) > 0.08),
-        "repeats": vote((words > 0) & (again == 0), again > 0),
+        "repeats": vote(again == 0, again > 0),
     }
 
 
@@ -115,7 +115,7 @@ def fit(row: np.ndarray, feature: np.ndarray, share: np.ndarray, y: np.ndarray,
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Rows (id, posterior, score, keep): the weak labels' posterior, the scorer's probability of good, and whether it is 1/2 or
-    more. Null text is empty: all labellers that need words abstain or say bad, the score is the scorer's at no words. Labellers run once over each
+    more. Null text is empty. A text without words has nothing to score: its score is its posterior, which is that of six bad votes. Labellers run once over each
     text. The scorer's sample is of different (id, text) pairs, so repeated rows do not fill it. Other columns are not read; an empty table gives none."""
     spark = docs.sparkSession
     common.modest_batches(spark)
@@ -159,13 +159,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
                 doc, feature, share = hashed(texts[first:last])
                 out[first:last] += np.bincount(doc, share * w[feature], last - first)
             out = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(out)], names=["id", "mark", "score"])
+            blank = np.array([not t.strip() for t in texts], bool)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(out, mask=blank)], names=["id", "mark", "score"])
             common.trim()
 
     # equal (id, text) rows have one mark and one posterior; both sides are shuffled for the join, so a hot mark can be split
     scored = base.select("id", "mark", "text").mapInArrow(score, "id long, mark long, score double")
     scored = scored.join(common.stored(posterior, "posteriors", n), "mark")
-    return scored.select("id", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))
+    return scored.withColumn("score", F.coalesce("score", "posterior")).select("id", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
