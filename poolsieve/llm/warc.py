@@ -8,7 +8,8 @@ that repeat are written once (``response``); the others become ``revisit`` recor
 Reader: files are parsed record by record. Each record is
 checked (version line, header, length, terminator, block and payload digest). After a failed check the
 reader searches for the next gzip member or version line, goes on there, and logs the bytes between as a
-quarantined gap. Plain records and gzip members, of one record or of many, are read; of a damaged member, what can be inflated before the
+quarantined gap. A failed record whose length leads to a sound end and the next record goes as a whole; otherwise records found where its block should be are told as
+``doubtful``: they may have been part of its payload. Plain records and gzip members, of one record or of many, are read; of a damaged member, what can be inflated before the
 damage is read, to the byte. A file is one row of Spark's binary source, 2 GB at most, and is read by one task; the writer's files are of some TARGET_BYTES.
 """
 
@@ -30,6 +31,7 @@ from . import common
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+BEGIN = re.compile(VERSION.pattern + b"|" + re.escape(MEMBER))
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 TARGET_BYTES = 16 << 20
 RECORD_SCHEMA = (
@@ -48,40 +50,63 @@ class Record:
     length: int
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
+    doubtful: bool = False
 
 
 UNENDED, DAMAGED, CHECK = "record without end", "damaged gzip member", "gzip member fails its check"
 
 
+#: A header is no longer than this; beyond it a version line was none.
+HEADER_BYTES = 1 << 20
+
+
 class Broken(ValueError):
-    """A record that fails a check."""
+    """A record that fails a check; ``end``: where its length says that it ends, if it has one."""
+
+    def __init__(self, reason: str, end: int | None = None) -> None:
+        super().__init__(reason)
+        self.end = end
+
+
+class Ahead:
+    """The next place of a pattern, remembered: places asked for rise, so that a file is searched once."""
+
+    def __init__(self, data: bytes, pattern: re.Pattern[bytes]) -> None:
+        self.data, self.pattern, self.asked, self.hit = data, pattern, 0, -1
+
+    def after(self, at: int) -> int:
+        if not self.asked <= at <= self.hit:
+            found = self.pattern.search(self.data, at)
+            self.asked, self.hit = at, found.start() if found else len(self.data)
+        return self.hit
 
 
 def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     """The record that begins at ``at`` and where it ends; raises Broken."""
     if not (start := VERSION.match(data, at)):
         raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", start.end() - 2)
-    if stop < 0:
-        raise Broken(UNENDED)
     headers: dict[str, str] = {}
-    for line in data[start.end() : stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    first = start.end()
+    while True:
+        stop = data.find(b"\r\n", first, at + HEADER_BYTES)
+        if stop < 0:
+            raise Broken(UNENDED if len(data) < at + HEADER_BYTES else "header too long")
+        line, first = data[first:stop], stop + 2
         if not line:
-            continue
+            break
+        name, colon, value = line.partition(b":")
         if not colon or not name.strip() or b"\n" in line:
             raise Broken("malformed header line")
         headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"\d{1,18}", headers.get("content-length", "")):
         raise Broken("no content length")
-    first = stop + 4
     last = first + int(headers["content-length"])
     if data[last : last + 4] != b"\r\n\r\n":
-        raise Broken(UNENDED if last + 4 > len(data) else "no terminator where the length says")
+        raise Broken(UNENDED if last + 4 > len(data) else "no terminator where the length says", last + 4)
     block = data[first:last]
     said = headers.get("warc-block-digest", "")
     if said and said != f"sha1:{base32_sha1(block)}":
-        raise Broken("block digest differs")
+        raise Broken("block digest differs", last + 4)
     return Record(at, last + 4 - at, headers, block), last + 4
 
 
@@ -105,13 +130,6 @@ def inflate_member(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(inner), len(data), DAMAGED
 
 
-def _next(data: bytes, at: int, inside: bool) -> int:
-    """Where the next member or version line begins."""
-    line = VERSION.search(data, at)
-    later = [line.start() if line else -1, -1 if inside else data.find(MEMBER, at)]
-    return min((x for x in later if x >= 0), default=len(data))
-
-
 def _inflated(data: bytes, at: int) -> tuple[list[Record | tuple[int, int, str]], int, str]:
     """What the member that begins at ``at`` holds, where its sound part ends, and what is wrong with it. A record that one member does
     not end goes on in the next."""
@@ -144,27 +162,39 @@ def salvage(data: bytes, inside: tuple[int, int] | None = None) -> Iterator[Reco
 
     A gzip member may hold one record or many. Of a damaged member, the records before the damage are
     recovered; the gap begins where the damage shows, or with the member if nothing in it was sound. ``inside``: the place of the member that
-    ``data`` was inflated from, told instead of places in ``data``.
+    ``data`` was inflated from, told instead of places in ``data``. Records that begin before a failed one should end, or after one of unknown (or
+    impossible) length without a terminator before them, are ``doubtful``.
     """
     at, gap, reason = 0, None, ""
+    begins = Ahead(data, VERSION if inside else BEGIN)
+    block, unsure = 0, False  # a failed record's block goes on to here; or nobody knows
     while at < len(data):
         found: list[Record | tuple[int, int, str]] = []
+        whole = None
         try:
             if not inside and data.startswith(MEMBER, at):
                 found, end, wrong = _inflated(data, at)
             else:
                 record, end = parse_record(data, at)
                 found, wrong = [record], ""
+                record.doubtful = at < block or (unsure and data[at - 4 : at] != b"\r\n\r\n")
+                unsure = unsure and record.doubtful
                 if inside:
                     record.offset, record.length = inside
         except Broken as e:
             end, wrong = at, str(e)
+            if e.end is None or e.end > len(data):
+                unsure = unsure or bool(VERSION.match(data, at))
+            elif at >= block and data[e.end - 4 : e.end] == b"\r\n\r\n" and (e.end == len(data) or BEGIN.match(data, e.end)):
+                whole = e.end
+            else:
+                block = max(block, e.end)
         if gap is not None and (found or not wrong):
             yield (*(inside or (gap, at - gap)), reason)
             gap = None
         yield from found
         if wrong:
-            later = _next(data, at + 1, bool(inside))
+            later = begins.after(at + 1) if whole is None else whole
             if gap is None:
                 gap, reason = min(end, later) if found else at, wrong
             at = later
@@ -182,7 +212,7 @@ def read_rows(name: str, data: bytes) -> Iterator[dict]:
             yield empty | {"file": name, "offset": x[0], "length": x[1], "status": "gap", "reason": x[2]}
             continue
         h = x.headers
-        row = empty | {"file": name, "offset": x.offset, "length": x.length, "status": "record", "record_type": h.get("warc-type"), "uri": h.get("warc-target-uri")}
+        row = empty | {"file": name, "offset": x.offset, "length": x.length, "status": "doubtful" if x.doubtful else "record", "record_type": h.get("warc-type"), "uri": h.get("warc-target-uri")}
         row["page_id"] = page_of(h.get("warc-record-id", ""))
         row["refers_to"] = page_of(h.get("warc-refers-to", ""))
         row["payload_digest"] = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -283,7 +313,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, target_bytes:
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Rows of RECORD_SCHEMA: a row for each record, status ``record``, and each gap, status ``gap``.
+    """Rows of RECORD_SCHEMA: a row for each record, status ``record`` or ``doubtful``, and each gap, status ``gap``.
     Without ``payloads`` they are checked but not returned."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
