@@ -38,6 +38,17 @@ def quadratic(a: Column, matrix: list[list[float]]) -> Column:
     return F.aggregate(F.zip_with(a, F.transform(rows, lambda r: dot(r, a)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """Mean of those vectors of an array whose ``mask`` is 1, as the vector of a text from those of its tokens; null where none is."""
+
+    def mean(kept: Column) -> Column:
+        total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), F.get(kept, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+        return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
+
+    held = F.filter(F.arrays_zip(vectors.cast("array<array<double>>").alias("v"), mask.alias("m")), lambda z: (z["m"] == 1) & z["v"].isNotNull())
+    return let(F.transform(held, lambda z: z["v"]), mean)
+
+
 def group_means(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Rows (key, n, centroid): mean vector by key. Partial sums by (key, position) combine before the shuffle."""
     flat = df.select(key, F.posexplode(doubles(F.col(vector))).alias("pos", "x"))

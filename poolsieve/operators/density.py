@@ -140,9 +140,14 @@ def batched(train: DataFrame, pool: DataFrame, n: int, label: str, id_col: str,
 
 def without_farthest(scored: DataFrame, distance: str, c: int, id_col: str) -> DataFrame:
     """Leaves out the c rows of the largest distance; of equal ones, those with the smaller id."""
+    from .rows import nth_largest
+
     if not c:
         return scored
-    d, i = scored.orderBy(F.col(distance).desc(), id_col).offset(c - 1).limit(1).select(distance, id_col).first()
+    last = nth_largest(scored, F.col(distance), id_col, c)
+    if last is None:
+        return scored.limit(0)
+    d, i = last
     return scored.where((F.col(distance) < d) | ((F.col(distance) == d) & (F.col(id_col) > i)))
 
 

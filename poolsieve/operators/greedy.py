@@ -69,7 +69,8 @@ def idds(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector: str,
 
     Similarity of a row with itself counts as 1 and is taken off. With ``uncertainty`` the first term is that column.
     Ties, after rounding to ``digits``, go to the smaller id; equal vectors are one row. ``similarity``: one of SIMILARITIES. From the third pick on,
-    the share ``outliers`` of all rows that is farthest from the single centre of the labelled and picked ones can't be picked.
+    the share ``outliers`` of all rows that is farthest from the single centre of the labelled and picked ones can't be picked. The covariance is fitted once and
+    each pick updates inverse, centre and kept distances (``moments.Running``); where the last outlier lies is found by counts (``rows.nth_largest``).
     """
     similarity = similarity or ("cosine_similarity" if cosine else "scalar_product")
     pool, labelled = _sides(pool, labelled, id_col, vector, similarity)
@@ -81,20 +82,21 @@ def idds(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector: str,
     size, known = pool.count(), labelled.count()
     total = size + known
     others = others or [0.0] * len(inside)
-    picks, chosen = Picks(), []
+    picks = Picks()
+    far_off = Outliers(pool, labelled, id_col, vector, round(outliers * total)) if outliers else None
     for step in range(min(n, size)):
         near = F.col("_u") if uncertainty else (dot(F.col("_q"), literal_vector(inside)) - 1) / F.lit(float(max(1, size - 1)))
         far = dot(F.col("_q"), literal_vector(others)) / F.lit(float(known)) if known else F.lit(0.0)
         picks.last = F.round(lam * near - (1 - lam) * far, digits)
-        left = pool.where(~F.col(id_col).isin(picks.ids)) if picks.ids else pool
-        if outliers and step > 1:
-            left = _inliers(pool, labelled, left, id_col, vector, chosen, round(outliers * total))
+        rows = far_off.inliers() if far_off and step > 1 else pool
+        left = rows.where(~F.col(id_col).isin(picks.ids)) if picks.ids else rows
         best = left.select(id_col, "_x", "_v", picks.last.alias("s")).agg(F.max(F.struct(F.col("s"), (-F.col(id_col)).alias("i"), F.col("_x"), F.col("_v"))).alias("b")).first()["b"]
         if best is None:
             break
         picks.ids.append(-best["i"])
         picks.scores.append(best["s"])
-        chosen.append((-best["i"], best["_v"]))
+        if far_off:
+            far_off.add(best["_v"])
         inside = [a - b for a, b in zip(inside, best["_x"], strict=True)]
         others = [a + b for a, b in zip(others, best["_x"], strict=True)]
         size, known = size - 1, known + 1
@@ -102,14 +104,46 @@ def idds(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector: str,
     return picks
 
 
-def _inliers(pool: DataFrame, labelled: DataFrame, left: DataFrame, id_col: str, vector: str, chosen: list[tuple], c: int) -> DataFrame:
-    """Rows of ``left`` that are not among the c rows, of all, farthest from the single centre of the labelled and chosen ones."""
-    from .density import single_centre, without_farthest
-
-    known = labelled.select(id_col, doubles(F.col(vector)).alias("_v"))
-    train = known.union(pool.sparkSession.createDataFrame(chosen, known.schema)) if chosen else known
-    every = single_centre(train, known.union(pool.select(id_col, "_v")), "_v").select(id_col, "distance")
-    return left.join(without_farthest(every, "distance", c, id_col).select(id_col), id_col, "left_semi")
+class Outliers:
+    """Squared Mahalanobis forms of all rows to the single centre of the labelled and picked ones, kept by row while rows are picked."""
+
+    def __init__(self, pool: DataFrame, labelled: DataFrame, id_col: str, vector: str, count: int) -> None:
+        from .moments import Running, moments
+
+        self.id, self.count, self.added, self.run = id_col, count, 0, None
+        fit = moments(labelled, None, vector)
+        if fit.labels:
+            self.run = Running(fit)
+        known = labelled.select(id_col, doubles(F.col(vector)).alias("_v"), F.lit(False).alias("_pool"))
+        self.rows = pool.withColumn("_pool", F.lit(True)).unionByName(known, allowMissingColumns=True).where("_v is not null")
+        if self.run:
+            self.rows = kept(self.rows.withColumn("_far", self.run.forms(F.col("_v"))))
+
+    def add(self, x: list[float]) -> None:
+        """A picked row joins the labelled ones."""
+        import numpy as np
+
+        from .moments import Moments, Running
+
+        x = np.array(x, float)
+        if self.run is None:
+            self.run, change = Running(Moments([0], np.ones(1), x[None], np.zeros((len(x), len(x))))), None
+        else:
+            change = self.run.add(self.run.labels[0], x)
+        self.added += 1
+        self.rows = self.rows.withColumn("_far", change(F.col("_far"), F.col("_v")) if change else self.run.forms(F.col("_v")))
+        if self.added % 8 == 0:
+            self.rows = kept(self.rows)
+
+    def inliers(self) -> DataFrame:
+        """Rows of the pool that are not among the ``count`` farthest of all; of equally far ones those with the smaller id are farther."""
+        from .rows import nth_largest
+
+        far, pool = F.col("_far")[0], self.rows.where("_pool")
+        last = nth_largest(self.rows, far, self.id, self.count)
+        if self.count and last is None:
+            return pool.limit(0)
+        return pool if last is None else pool.where((far < last[0]) | ((far == last[0]) & (F.col(self.id) > last[1])))
 
 
 def idds_top(pool: DataFrame, labelled: DataFrame, n: int, id_col: str, vector: str, u_top: int, l_top: int, lam: float = 0.667, digits: int = 9) -> Picks:

@@ -9,6 +9,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import hash01
 
@@ -74,6 +75,35 @@ def fixed_length(df: DataFrame, n: int, id_col: str, seed: int) -> DataFrame:
     return made.orderBy("copy", hash01(seed, id_col, "copy"), id_col).limit(n)
 
 
+def nth_largest(df: DataFrame, value: Column, id_col: str, n: int, few: int = 1 << 16, accuracy: int = 10_000, by_id: bool = True) -> tuple | None:
+    """(value, id) of the n-th row by falling ``value`` and, of equal ones, rising id; None if there are fewer or n is 0. Nulls are left out.
+
+    Approximate quantiles enclose the row, and exact counts tell whether they do; what they enclose shrinks by some thousand times a scan, until ``few`` rows or
+    rows of one value are left, which are told apart by their ids in the same way (``by_id``, whole numbers), so that no task sorts a share of the table."""
+    rows = df.select(value.cast("double").alias("v"), F.col(id_col).alias("i")).where("v is not null")
+    size, low, high = rows.count(), None, None
+    if not 0 < n <= size:
+        return None
+    while size > few:
+        share, slack = 1 - n / size, 2 / accuracy
+        at = [max(0.0, share - slack), min(1.0, share + slack)]
+        low, high = rows.agg(F.percentile_approx("v", F.array(*map(F.lit, at)), F.lit(accuracy)).alias("q")).first()["q"]
+        above, within = rows.agg(F.count_if(F.col("v") > high), F.count_if(F.col("v").between(low, high))).first()
+        if n <= above:
+            rows, left = rows.where(F.col("v") > high), above
+        elif n <= above + within:
+            rows, left, n = rows.where(F.col("v").between(low, high)), within, n - above
+        else:
+            rows, left, n = rows.where(F.col("v") < low), size - above - within, n - above - within
+        if left == size:
+            break
+        size = left
+    if by_id and size > few and low == high and isinstance(df.schema[id_col].dataType, T.IntegralType):
+        return (low, nth_largest(rows, -F.col("i"), "i", n, few, accuracy, False)[1])
+    found = rows.orderBy(F.col("v").desc(), "i").offset(n - 1).limit(1).first()
+    return (found["v"], found["i"])
+
+
 def replicate(df: DataFrame, times: int) -> DataFrame:
     """Each row ``times`` times, column ``copy`` from 0."""
     if times <= 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import proba
-from ..functions.vector import group_means
+from ..functions.vector import group_means, masked_mean
 from ..operators import acquire, density, greedy, influence, moments, neighbours, pseudo, rows
 from ..session import table
 from .providers import _MEANS, PASS_SQL, PROBAS, VECTORS, split_vectors, with_passes, with_probas
@@ -318,6 +318,57 @@ def idds_unc_k5(spark, d):  # noqa: ANN001, ANN201
     return _picks(spark, greedy.idds(pool, lab, 5, "vec_id", "embedding", uncertainty="u"))
 
 
+def _mahalanobis_sql(k: int) -> str:
+    white = f"rows_z as (select vec_id, 0 as label, embedding as x from vec), {_fit_sql('z', 'rows_z')}, white as (select vec_id, list_transform(w, lambda r: list_dot_product(r, embedding)) as u from pool cross join w_z), sims as"
+    return _idds_sql(k, _POOL_MEAN).replace("a.embedding, b.embedding", "a.u, b.embedding").replace("from pool a", "from white a").replace("sims as", white, 1)
+
+
+@query("idds_mahalanobis_k5", _mahalanobis_sql(5))
+def idds_mahalanobis_k5(spark, d):  # noqa: ANN001, ANN201
+    """Similarity under the inverse covariance of all rows."""
+    lab, pool = split_vectors(spark, d)
+    return _picks(spark, greedy.idds(pool, lab, 5, "vec_id", "embedding", similarity="mahalanobis_similarity"))
+
+
+def _averaged_sql() -> str:
+    token = "list_transform(range(16), lambda c: list_avg([embedding[16 * b + c + 1]::double for b in range(4) if b < 3 or vec_id % 3 > 0]))"
+    return _idds_sql(5, _POOL_MEAN).replace(VECTORS, f"vec as (select vec_id, {token} as embedding from embeddings), pool as (select * from vec where vec_id % 10 <> 0)")
+
+
+@query("idds_averaged_k5", _averaged_sql())
+def idds_averaged_k5(spark, d):  # noqa: ANN001, ANN201
+    """A text's vector is the mean of its tokens' (four blocks of components; every third text has three tokens and padding)."""
+    x = table(spark, d, "embeddings")
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.slice("embedding", b * 16 + 1, 16))
+    mask = F.when(F.col("vec_id") % 3 > 0, F.array(*[F.lit(1)] * 4)).otherwise(F.array(*map(F.lit, (1, 1, 1, 0))))
+    x = x.select("vec_id", masked_mean(blocks, mask).alias("embedding"))
+    return _picks(spark, greedy.idds(x.where("vec_id % 10 <> 0"), x.where("vec_id % 10 = 0"), 5, "vec_id", "embedding"))
+
+
+def _outliers_sql(k: int, share: float) -> str:
+    """A fit, distances and a pick a step; the first two picks see all rows."""
+    steps = []
+    for n in range(k):
+        far = ""
+        if n > 1:
+            steps.append(f"rows_{n} as (select vec_id, 0 as label, x from v where vec_id % 2 = 0 or vec_id in (select vec_id from got_{n})), {_fit_sql(str(n), f'rows_{n}')}")
+            steps.append(f"""far_{n} as (select vec_id from (select vec_id, row_number() over (order by {_FORM} desc, vec_id) as r from
+                (select vec_id, w, list_transform(list_zip(x, c), lambda z: z[1] - z[2]) as d from v cross join centre_{n} cross join w_{n})) where r <= (select round({share} * count(*)) from v))""")
+            far = f" and i not in (select vec_id from far_{n})"
+        out = f"j % 2 = 1 and j not in (select vec_id from got_{n})"
+        steps.append(f"""pick_{n} as (select i as vec_id, s as score from (select i, round(0.667 * (sum(s) filter (where {out}) - 1) / (count(*) filter (where {out}) - 1) - 0.333 * avg(s) filter (where not ({out})), 9) as s
+            from sims where i not in (select vec_id from got_{n}){far} group by i) order by s desc, i limit 1), got_{n + 1} as (select vec_id from got_{n} union all select vec_id from pick_{n})""")
+    return f"""with recursive v as (select vec_id, embedding::double[] as x from embeddings), sims as materialized (select a.vec_id as i, b.vec_id as j, list_dot_product(a.x, b.x) as s from v a cross join v b where a.vec_id % 2 = 1),
+got_0 as (select vec_id from v where false), {", ".join(steps)} {" union all ".join(f"select {n}::bigint as ord, vec_id, round(score, 6) as score from pick_{n}" for n in range(k))}"""
+
+
+@query("idds_outliers_k4", _outliers_sql(4, 0.3))
+def idds_outliers_k4(spark, d):  # noqa: ANN001, ANN201
+    """The three tenths of all rows that are farthest from the labelled and picked ones can't be picked from the third pick on."""
+    lab, pool = _halves(spark, d)
+    return _picks(spark, greedy.idds(pool, lab, 4, "vec_id", "v", outliers=0.3))
+
+
 _U = "((list_sum(list_reverse_sort(list(s) filter (where not known and not list_contains(picked, j)))[1:6]) - 1) / 5)"
 _L = "list_avg(list_reverse_sort(list(s) filter (where known or list_contains(picked, j)))[1:4])"
 

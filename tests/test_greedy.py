@@ -372,3 +372,38 @@ def test_batched_with_a_singular_scatter(spark):
     df = spark.createDataFrame([(i, 0, v) for i, v in enumerate(x)], "id long, label int, v array<double>")
     assert density.batched(df.where("id < 3"), df.where("id >= 3"), 2, "label", "id", "v") == [4, 3]
     assert density.batched(df.where("id < 0"), df, 2, "label", "id", "v") == []
+
+
+def test_outliers_without_labelled_rows_and_many_picks(spark):
+    """The first pick begins the fit; more picks than a refresh of kept files; ids picked never come again."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 3))
+    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    known, left = [], list(range(30))
+    for _ in range(2):
+        score = {i: round(0.667 * (x[i] @ x[left].sum(0) - 1) / (len(left) - 1) - (0.333 * (x[i] @ x[known].T).mean() if known else 0), 9) for i in left}
+        known.append(max(left, key=lambda i: (score[i], -i)))
+        left.remove(known[-1])
+    assert greedy.idds(pool, pool.limit(0), 4, "id", "v", outliers=0.2).ids[:2] == known
+    got = greedy.idds(pool, pool.where("id < 0"), 10, "id", "v", outliers=0.2).ids
+    assert len(set(got)) == 10
+
+
+@pytest.mark.parametrize("few", [1, 7, 1000])
+def test_nth_largest(spark, few):
+    from poolsieve.operators.rows import nth_largest
+
+    rng = np.random.default_rng(few)
+    rows = [(i, float(v)) for i, v in enumerate(rng.integers(0, 6, 60))] + [(100 + i, float(v)) for i, v in enumerate(rng.normal(size=60))] + [(500, None), (7, 5.0), (7, 5.0)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0]))
+    for n in (1, 3, 8, 40, 77, 121, 122):
+        assert nth_largest(df, F.col("v"), "id", n, few, 50) == (order[n - 1][1], order[n - 1][0])
+    assert nth_largest(df, F.col("v"), "id", 123, few) is None and nth_largest(df, F.col("v"), "id", 0, few) is None
+
+
+def test_masked_mean(spark):
+    from poolsieve.functions.vector import masked_mean
+
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0]), ([], []), ([[4.0, 1.0], None], [1, 1])], "v array<array<double>>, m array<int>")
+    assert [r[0] for r in df.select(masked_mean(F.col("v"), F.col("m"))).collect()] == [[2.0, 4.0], None, None, [4.0, 1.0]]
