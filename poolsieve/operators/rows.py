@@ -145,10 +145,18 @@ def rank_by(df: DataFrame, *order: Column, name: str = "_rank") -> DataFrame:
 
 
 def split(df: DataFrame, size: int | float, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(rest, part): a part of exactly ``size`` rows, or of round(share x N), drawn by a seeded hash."""
+    """(rest, part): a part of ``size`` rows, or of round(share x N), drawn by a seeded hash. The part ends at a place in the hashes' order that counts find
+    (``nth_largest``), so that both parts are filters: nothing is sorted or joined. Rows that share an id go to the same part."""
     n = size if isinstance(size, int) else round(size * df.count())
-    part = sample(df, n, id_col, seed)
-    return without(df, part, id_col), part
+    drawn = hash01(seed, id_col)
+    if n <= 0:
+        return df, df.limit(0)
+    last = nth_largest(df, -drawn, id_col, n)
+    if last is None:
+        return df.limit(0), df
+    tie = F.col(id_col).isNull() if last[1] is None else F.col(id_col).isNull() | (F.col(id_col) <= F.lit(last[1]))
+    part = (drawn < -last[0]) | ((drawn == -last[0]) & tie)
+    return df.where(~part), df.where(part)
 
 
 def token_budget(df: DataFrame, tokens: Column, budget: int, *order: Column, include_last: bool = True, buckets: int = 1024) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics
 from ..session import table
-from ..sources import readers
+from ..sources import catalogue, readers
+from .providers import hash_sql
 from .registry import query
 
 
@@ -112,3 +113,54 @@ def source_runs_yaml(spark, d):  # noqa: ANN001, ANN201
     config = back.where("file = 'config.yaml'").select("run", analytics.flat_config(readers.yaml_as_json(F.col("value"))).alias("c"))
     found = analytics.first_file(back, "run", "file").select("run", F.posexplode(analytics.first_metric(F.from_json("value", "map<string, array<double>>"), "f1")).alias("iteration", "value"))
     return found.join(config, "run").select("c.strategy", "c.al_type", "c.seed", "iteration", "value")
+
+
+def _catalogue(spark, d, name, parts):  # noqa: ANN001, ANN202
+    """Documents as a data set of a catalogue, a folder a part."""
+    root = _path(spark, "catalogue")
+    docs = table(spark, d, "documents").where("text is not null and lang is not null").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"), "n_chars", parts.alias("part"))
+    docs.write.partitionBy("part").parquet(f"{root}/{name}")
+    return root
+
+
+def _parts(train, dev, test):  # noqa: ANN001, ANN202
+    rows = [f.select(F.lit(k).alias("part"), F.col("id").alias("doc_id"), "label", F.md5("text").alias("text_md5")) for k, f in (("train", train), ("dev", dev), ("test", test))]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+_WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::double"
+_THREE = "case when doc_id % 10 < 6 then 'train' when doc_id % 10 < 8 then 'validation' else 'test' end"
+
+
+def _chain_sql(part: str, dev: str, test: str, subset: int, test_subset: int, gone: str) -> str:
+    """The chain from parts to subsets."""
+    return f"""with r as (select doc_id, lang as label, text, {part} as part from documents where text is not null and lang is not null), s as (select * from r where label not in ({gone})),
+t as (select *, {_WORDS} as n from s where part = 'train'), q as (select quantile_cont(n, 0.05) as lo, quantile_cont(n, 0.9) as hi from t),
+k as (select doc_id, label, text, row_number() over (order by {hash_sql(5, "doc_id")}, doc_id) as k from t, q where n between lo and hi),
+e as (select doc_id, label, text, row_number() over (order by {hash_sql(5, "doc_id")}, doc_id) as k from s where part = '{test}')
+select 'train' as part, doc_id, label, md5(text) as text_md5 from k where k <= {subset} union all select 'dev', doc_id, label, md5(text) from s where part = '{dev}' union all select 'test', doc_id, label, md5(text) from e where k <= {test_subset}"""
+
+
+@query("source_catalogue", _chain_sql(_THREE, "validation", "test", 100, 40, "'fr'"))
+def source_catalogue(spark, d):  # noqa: ANN001, ANN201
+    """Three parts; of train, a language less, lengths between quantiles, and a subset; a subset of test."""
+    root = _catalogue(spark, d, "news", F.expr(_THREE))
+    about = catalogue.Description("datasets", "text", "label", "news", labels_to_remove=("fr",), quantiles=(0.05, 0.9), subset=100, test_subset=40, seed=5)
+    return _parts(*catalogue.load(spark, root, about, "cls")[:3])
+
+
+@query("source_catalogue_unlabelled_test", _chain_sql(_THREE, "validation", "validation", 100, 40, "'fr', 'de'"))
+def source_catalogue_unlabelled_test(spark, d):  # noqa: ANN001, ANN201
+    """The test part of such a data set has no labels, so dev serves as test."""
+    root = _catalogue(spark, d, "glue-news", F.expr(_THREE))
+    about = catalogue.Description("datasets", "text", "label", "glue-news", labels_to_remove=("fr", "de"), quantiles=(0.05, 0.9), subset=100, test_subset=40, seed=5)
+    return _parts(*catalogue.load(spark, root, about, "cls")[:3])
+
+
+@query("source_held_out", f"""with r as (select doc_id, lang as label, text, row_number() over (order by {hash_sql(5, "doc_id")}, doc_id) as k, count(*) over () as n from documents where text is not null and lang is not null),
+p as (select *, k <= round_even(n * 0.25, 0) as held from r)
+select 'train' as part, doc_id, label, md5(text) as text_md5 from p where not held union all select unnest(['dev', 'test']), doc_id, label, md5(text) from p where held""")
+def source_held_out(spark, d):  # noqa: ANN001, ANN201
+    """Only a train part: a quarter of it is dev and test."""
+    root = _catalogue(spark, d, "news", F.lit("train"))
+    return _parts(*catalogue.load(spark, root, catalogue.Description("datasets", "text", "label", "news", test=0.25, seed=5), "cls")[:3])
