@@ -9,7 +9,7 @@ from ..functions import proba
 from ..functions.text import whitespace_tokens
 from ..functions.vector import cosine, doubles, group_means
 from ..operators.rows import within, without
-from ..session import literal_vector, table
+from ..session import kept, literal_vector, table
 
 PASSES = 4
 CLASSES = 10
@@ -24,15 +24,25 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return within(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
+#: So many of the most frequent words go to every task; all others meet their totals in a join.
+FREQUENT = 1 << 16
+
+
 def seq_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Rows (doc_id, seq_score): mean log frequency of the tokens of each pool document over the whole corpus."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(whitespace_tokens(F.col("text"))).alias("w"))
-    counted = docs.groupBy("doc_id", "w").agg(F.count("*").alias("c"))
-    words = counted.groupBy("w").agg(F.sum("c").alias("total"))
-    n = counted.agg(F.sum("c")).first()[0]
-    scored = without(counted, table(spark, d, "labels"), "doc_id").join(words, "w")
-    score = F.sum(F.col("c") * F.log(F.col("total") / F.lit(float(n)))) / F.sum("c")
-    return scored.groupBy("doc_id").agg(F.round(score, 6).alias("seq_score"))
+    """Rows (doc_id, seq_score): mean log frequency of the tokens of each pool document over the whole corpus.
+
+    Words are counted within the tasks first. A document's frequent words are summed up where its text is read, so that only its rare words are shuffled. The scores
+    are kept, a row a document: those who use them more than once don't work them out anew."""
+    flat = table(spark, d, "documents").select("doc_id", F.explode(whitespace_tokens(F.col("text"))).alias("w"))
+    words = kept(flat.groupBy("w").agg(F.count("*").alias("total")))
+    n = words.agg(F.sum("total")).first()[0]
+    log = F.log(F.col("total") / F.lit(float(n or 1)))
+    frequent = words.orderBy(F.col("total").desc(), "w").limit(FREQUENT).select("w", log.alias("log"))
+    rare = F.when(F.col("log").isNull(), F.col("w"))
+    summed = flat.join(F.broadcast(frequent), "w", "left").groupBy("doc_id", rare.alias("w")).agg(F.count("*").alias("c"), F.sum("log").alias("s"))
+    met = summed.where("w is not null").join(words, "w").select("doc_id", "c", (F.col("c") * log).alias("s"))
+    both = summed.where("w is null").select("doc_id", "c", "s").unionByName(met).groupBy("doc_id").agg((F.sum("s") / F.sum("c")).alias("mean"))
+    return kept(without(both, table(spark, d, "labels"), "doc_id").select("doc_id", F.round("mean", 6).alias("seq_score")))
 
 
 SEQ_SCORES = r"""tok as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) as w from documents),
