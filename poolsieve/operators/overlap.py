@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.proba import let
 from ..functions.text import lcs_length, ngrams, stemmed, tokens
+from ..session import kept
 
 
 def gram_counts(df: DataFrame, id_col: str, items: Column, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -20,6 +22,32 @@ def gram_counts(df: DataFrame, id_col: str, items: Column, orders: tuple[int, ..
     return flat.groupBy("n", "i", "gram").agg(F.count("*").alias("c"))
 
 
+def gram_totals(df: DataFrame, id_col: str, items: Column, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Rows (n, i, total, different): how many grams a text has, and how many different ones; texts without grams of an order have no row for it. Grams of an id with one row are
+    counted where it is read; only rows that share an id are taken apart and shuffled."""
+    # nulls are one id, as in a grouping
+    shared = kept(df.groupBy(F.col(id_col).alias("_i")).agg(F.count("*").alias("_n")).where("_n > 1").select("_i"))
+
+    def sizes(w: Column, n: int) -> Column:
+        return let(ngrams(w, n), lambda g: F.struct(F.lit(n).alias("n"), F.size(g).cast("long").alias("t"), F.size(F.array_distinct(g)).cast("long").alias("u")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        by_order = let(items, lambda w: F.array(*[sizes(w, n) for n in orders]))
+        flat = rows.select(F.col(id_col).alias("i"), F.explode(by_order).alias("o"))
+        return flat.where("o.t > 0").select("o.n", "i", F.col("o.t").alias("total"), F.col("o.u").alias("different"))
+
+    if shared.isEmpty():
+        return counted(df)
+    same = F.col(id_col).eqNullSafe(F.col("_i"))
+    several = gram_counts(df.join(shared, same, "left_semi"), id_col, items, orders).groupBy("n", "i").agg(F.sum("c").alias("total"), F.count("*").alias("different"))
+    return counted(df.join(shared, same, "left_anti")).unionByName(several)
+
+
+def placed(df: DataFrame, id_col: str) -> DataFrame:
+    """Rows dealt by id: all that is grouped by id and more after this stays in its task, so that texts are shuffled and not their grams."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+
+
 def pair_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (n, i, j, common, recall, precision, f1) of pairs of texts with a gram in common, from two ``gram_counts``.
 
@@ -176,9 +204,10 @@ def bleu(matches: list[int], possible: list[int], hyp: int, ref: int, smooth: bo
 
 def group_bleu(groups: DataFrame, id_col: str, texts: str) -> DataFrame:
     """Rows (id, i, j, bleu): smoothed BLEU, 0 to 100, of white-space tokens, orders 1 to 4, of text i of a row against text j of the same row, for each pair that has a
-    token in common; all others have 0. Grams of all texts of a row are counted at once; a gram then brings together the few texts of its row that have it."""
+    token in common; all others have 0. Grams of all texts of a row are counted at once; a gram then brings together the few texts of its row that have it. Texts are shuffled,
+    by their row's id, their grams are not."""
     split = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    flat = groups.select(F.col(id_col).alias("g"), F.posexplode(texts).alias("i", "t")).where("t is not null").select("g", "i", split(F.col("t")).alias("w"))
+    flat = placed(groups.select(F.col(id_col).alias("g"), F.col(texts).alias("ts")), "g").select("g", F.posexplode("ts").alias("i", "t")).where("t is not null").select("g", "i", split(F.col("t")).alias("w"))
     by_order = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("w"), n).alias("x")) for n in (1, 2, 3, 4)])
     flat = flat.select("g", "i", F.size("w").alias("l"), F.explode(by_order).alias("o")).select("g", "i", "l", "o.n", F.explode("o.x").alias("gram"))
     counts = flat.groupBy("g", "n", "gram", "i", "l").agg(F.count("*").alias("c"))
@@ -197,11 +226,16 @@ def group_bleu(groups: DataFrame, id_col: str, texts: str) -> DataFrame:
 
 
 def corpus_bleu(df: DataFrame, id_col: str, pred: str, label: str) -> float:
-    """BLEU of a corpus: clipped matches are summed up by order in the cluster, nine numbers reach the driver."""
+    """BLEU of a corpus: clipped matches are summed up by order in the cluster, ten numbers reach the driver. Pairs of texts are shuffled once, by id, their grams are not."""
     split = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
     orders = (1, 2, 3, 4)
-    a, b = gram_counts(df, id_col, split(pred), orders), gram_counts(df, id_col, split(label), orders).withColumnRenamed("c", "d")
-    possible = {r[0]: r[1] for r in a.groupBy("n").agg(F.sum("c")).collect()}
-    matches = {r[0]: r[1] for r in a.join(b, ["n", "i", "gram"]).groupBy("n").agg(F.sum(F.least("c", "d"))).collect()}
-    hyp, ref = df.agg(F.sum(F.size(split(pred))), F.sum(F.size(split(label)))).first()
-    return bleu([matches.get(n, 0) for n in orders], [possible.get(n, 0) for n in orders], hyp or 0, ref or 0, smooth=False)
+    texts = placed(df.select(F.col(id_col).alias("i"), split(pred).alias("p"), split(label).alias("q")), "i")
+    grams = [F.struct(F.lit(n).alias("n"), F.lit(own).alias("own"), ngrams(F.col(c), n).alias("g")) for n in orders for c, own in (("p", 1), ("q", 0))]
+    sizes = [F.struct(F.lit(0).alias("n"), F.lit(own).alias("own"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("g")) for c, own in (("p", 1), ("q", 0))]
+    flat = texts.select("i", F.explode(F.array(*sizes, *grams)).alias("o")).select("i", "o.n", "o.own", F.explode("o.g").alias("gram"))
+    counts = flat.groupBy("i", "n", "gram").agg(F.sum("own").alias("c"), F.sum(1 - F.col("own")).alias("d"))
+    # order 0: all words, for the lengths
+    sums = {r["n"]: r for r in counts.groupBy("n").agg(F.sum("c").alias("c"), F.sum("d").alias("d"), F.sum(F.when(F.col("i").isNotNull(), F.least("c", "d")).otherwise(0)).alias("m")).collect()}
+    of = lambda n, x: sums[n][x] if n in sums else 0
+    # a null id is no key: its texts count in lengths and possible grams, and match nothing
+    return bleu([of(n, "m") for n in orders], [of(n, "c") for n in orders], of(0, "c"), of(0, "d"), smooth=False)

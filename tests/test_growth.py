@@ -30,3 +30,28 @@ def test_sequence_scores_are_worked_out_once(spark, tables, monkeypatch, frequen
     n = sum(total.values())
     want = {i: round(sum(math.log(total[w] / n) for w in t.split()) / len(t.split()), 6) for i, t in enumerate(texts) if t and t.split() and i != 5}
     assert {r[0]: r[1] for r in got.collect()} == pytest.approx(want, abs=2e-6)
+
+
+def test_grams_of_a_text_are_counted_where_it_is_read(spark):
+    from pyspark.sql import functions as F
+
+    from poolsieve.functions.text import tokens
+    from poolsieve.operators.overlap import gram_counts, gram_totals
+
+    rows = [(1, "a b a b a"), (2, None), (3, ""), (4, "x"), (5, "p q"), (5, "q p q"), (None, "n o"), (None, "n o")]
+    one, all_ = (spark.createDataFrame(r, "id long, text string") for r in (rows[:5], rows))
+    assert "Exchange" not in _plan(gram_totals(one, "id", tokens(F.col("text"))))
+    plain = gram_counts(all_, "id", tokens(F.col("text"))).groupBy("n", "i").agg(F.sum("c").alias("total"), F.count("*").alias("different"))
+    key = lambda r: (r[0], -1 if r[1] is None else r[1])
+    assert sorted(map(tuple, gram_totals(all_, "id", tokens(F.col("text"))).collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
+def test_bleu_shuffles_texts_and_not_grams(spark):
+    from poolsieve.operators.overlap import corpus_bleu, group_bleu
+
+    df = spark.createDataFrame([(1, ["a b c d", "a b c e", None]), (2, ["x", "y x", ""])], "id long, g array<string>")
+    plan = _plan(group_bleu(df, "id", "g"))
+    assert plan.count("Exchange hashpartitioning") == 1
+    pairs = spark.createDataFrame([(1, "a b c d e", "a b c d f"), (1, "a b c d", "g"), (2, "x y", None), (None, "a b c d", "a b c d")], "id long, p string, q string")
+    # id 1 has two rows, whose grams count together; a null id matches nothing
+    assert corpus_bleu(pairs, "id", "p", "q") == pytest.approx(100 * min(1, math.exp(1 - 10 / 15)) * (4 / 15 * 3 / 11 * 2 / 7 * 1 / 4) ** 0.25)
