@@ -55,3 +55,34 @@ def test_bleu_shuffles_texts_and_not_grams(spark):
     pairs = spark.createDataFrame([(1, "a b c d e", "a b c d f"), (1, "a b c d", "g"), (2, "x y", None), (None, "a b c d", "a b c d")], "id long, p string, q string")
     # id 1 has two rows, whose grams count together; a null id matches nothing
     assert corpus_bleu(pairs, "id", "p", "q") == pytest.approx(100 * min(1, math.exp(1 - 10 / 15)) * (4 / 15 * 3 / 11 * 2 / 7 * 1 / 4) ** 0.25)
+
+
+@pytest.mark.parametrize("measure", ["dot", "cosine", "euclid"])
+def test_rows_are_copied_by_regions_not_by_cells(spark, monkeypatch, measure):
+    import numpy as np
+
+    from poolsieve.operators import topk
+
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "CELL", 8)
+    monkeypatch.setattr(topk, "TILE", 640)
+    x = np.random.default_rng(1).normal(size=(300, 12))
+    x[40:60] = x[40]  # equal rows: ties go to smaller ids
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    report = {}
+    got = {r["id"]: [n["other"] for n in r["near"]] for r in topk.nearest(df, df, "id", "v", 3, measure, report).collect()}
+    # 38 cells, all of which most rows meet, are 5 regions or a few more
+    assert report["copies"] <= 10 * len(x)
+    y = x / np.linalg.norm(x, axis=1)[:, None] if measure == "cosine" else x
+    sim = np.round(-((y[:, None] - y[None]) ** 2).sum(2) if measure == "euclid" else y @ y.T, 9)
+    assert got == {i: np.argsort(-sim[i], kind="stable")[:3].tolist() for i in range(300)}
+
+
+def test_all_pairs_are_not_shuffled(spark):
+    from poolsieve.operators.neighbours import similarities
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0]), (3, None)], "id long, v array<double>")
+    got = similarities(df, df, "id", "v", "dot")
+    # both sides are dealt to their blocks; nothing comes after these
+    assert _plan(got).count("Exchange") == 2 and "Aggregate" not in _plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 5.0), (1, 2, 2.0), (2, 1, 2.0), (2, 2, 1.0)]
