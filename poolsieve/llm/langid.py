@@ -26,6 +26,7 @@ DIMENSIONS = 1 << 12
 #: The classifiers are fitted on at most so many labelled documents (of each language SAMPLE / number of languages).
 SAMPLE = 2000
 RIDGE = 3e-3
+COLUMNS = 256
 SLICE = 1 << 18
 #: Below this gap between the losses of the two nearest codewords, relative to their sum, a prediction is ambiguous.
 AMBIGUOUS = 0.02
@@ -103,20 +104,33 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     y = np.array([languages.index(s) for s in labels])
     weight = 1 / np.bincount(y)[y]
     weight /= weight.mean()
-    # in place: the driver holds the sample twice at most
-    mean = weight @ x / weight.sum()
-    z = x.astype(np.float64)
-    z -= mean
-    scale = np.sqrt(np.einsum("ij,ij,i->j", z, z, weight) / weight.sum()) + 1e-5
-    z /= scale
-    z *= np.sqrt(weight)[:, None]
-    kernel = z @ z.T  # rows are fewer than dimensions
+    # by columns: beside the sample and the kernel the driver holds ``COLUMNS`` features of each row
+    root = np.sqrt(weight)[:, None]
+    mean, scale, kernel = np.empty(x.shape[1]), np.empty(x.shape[1]), np.zeros((len(x), len(x)))  # rows are fewer than dimensions
+
+    def columns() -> Iterator[tuple[slice, np.ndarray]]:
+        for at in range(0, x.shape[1], COLUMNS):
+            yield slice(at, at + COLUMNS), x[:, at : at + COLUMNS].astype(np.float64)
+
+    for part, z in columns():
+        mean[part] = weight @ z / weight.sum()
+        z -= mean[part]
+        scale[part] = np.sqrt(np.einsum("ij,ij,i->j", z, z, weight) / weight.sum()) + 1e-5
+        z /= scale[part]
+        z *= root
+        kernel += z @ z.T
     kernel /= x.shape[1]
     kernel.flat[:: len(x) + 1] += RIDGE * len(x)
     target = code[y]
     mid = np.average(target, axis=0, weights=weight)
-    dual = np.linalg.solve(kernel, (target - mid) * np.sqrt(weight)[:, None])
-    w = z.T @ dual / x.shape[1] / scale[:, None]
+    dual = np.linalg.solve(kernel, (target - mid) * root)
+    del kernel
+    w = np.empty((x.shape[1], code.shape[1]))
+    for part, z in columns():
+        z -= mean[part]
+        z /= scale[part]
+        z *= root
+        w[part] = z.T @ dual / x.shape[1] / scale[part][:, None]
     return Model(languages, code, w, mid - mean @ w)
 
 

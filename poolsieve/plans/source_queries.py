@@ -15,6 +15,10 @@ from .providers import hash_sql
 from .registry import query
 
 
+#: Most records of a CoNLL file: a file is read as one row, whatever the size of the table.
+RECORDS = 2000
+
+
 def _path(spark: SparkSession, name: str) -> str:
     """A new place in the folder all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -44,7 +48,7 @@ def source_conll(spark, d):  # noqa: ANN001, ANN201
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), whitespace_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     lines = F.transform("t", lambda w: F.concat_ws(" ", w, F.col("id").cast("string"), F.get(tag, F.length(w) % 3)))
     text = c.select(F.concat(F.lit("-DOCSTART- -X- O\n\n"), F.array_join(lines, "\n"), F.lit("\n\n")).alias("value"))
-    text.write.text(path)
+    text.write.option("maxRecordsPerFile", RECORDS).text(path)
     ids = readers.conll(spark, path, 0).select("path", "sentence", F.col("tags")[0].cast("long").alias("id"))
     rows = readers.conll(spark, path).select("path", "sentence", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "z")).join(ids, ["path", "sentence"])
     return rows.select("id", F.length("z.tokens").cast("long").alias("n"), F.col("z.tokens").alias("token"), F.col("z.tags").alias("tag"), F.col("pos").cast("long"))

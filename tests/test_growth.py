@@ -86,3 +86,32 @@ def test_all_pairs_are_not_shuffled(spark):
     # both sides are dealt to their blocks; nothing comes after these
     assert _plan(got).count("Exchange") == 2 and "Aggregate" not in _plan(got)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 5.0), (1, 2, 2.0), (2, 1, 2.0), (2, 2, 1.0)]
+
+
+def test_conll_files_hold_bounded_numbers_of_records(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from poolsieve.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "RECORDS", 2, raising=False)
+    monkeypatch.setattr(source_queries, "_path", lambda *_: f"{tmp_path}/conll")
+    rows = [(i, 0, "user", "a bb ccc"[: i + 2]) for i in range(7)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = source_queries.source_conll(spark, str(tmp_path))
+    assert max(p.read_text().count("-DOCSTART-") for p in Path(f"{tmp_path}/conll").glob("part*")) == 2
+    assert got.count() == sum(len(r[3].split()) for r in rows)
+
+
+def test_language_fit_holds_its_sample_once(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from poolsieve.llm import langid
+
+    x = np.random.default_rng(0).random((200, 4096), dtype=np.float32)
+    tracemalloc.start()
+    langid.fit(x, [("a", "b", "c")[i % 3] for i in range(200)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes
