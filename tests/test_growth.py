@@ -115,3 +115,36 @@ def test_language_fit_holds_its_sample_once(monkeypatch):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < x.nbytes
+
+
+@pytest.mark.parametrize(("n", "bound"), [(1, 0.3), (2, 0.3), (2, 0.5), (2, 1.0)])
+def test_texts_that_share_grams_meet_in_classes(spark, monkeypatch, n, bound):
+    """Levels, classes in blocks and regions of few texts, copies, a hot gram, texts without a gram, against all pairs."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from poolsieve.functions.text import tokens
+    from poolsieve.operators import overlap, shared
+
+    for name, value in {"SIZE": 3, "BLOCK": 40, "TILE": 64, "SLICE": 16, "REGION": 4, "SENT": 20}.items():
+        monkeypatch.setattr(shared, name, value)
+    rng = np.random.default_rng(8)
+    texts = ["hot " * int(rng.integers(0, 4)) + " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 40) ** 2 // 20)) for _ in range(40)]
+    texts += [t[: len(t) // 2] for t in texts[:8]] + texts[:5] + texts[:3] + [t + " new words" for t in texts[8:20]] + [None, "", "hot", "hot hot hot hot hot"]
+    df = spark.createDataFrame([(i * 7 % 101, t) for i, t in enumerate(texts)], "id long, t string")
+    g = overlap.gram_counts(df, "id", tokens(F.col("t")), (n,))
+    want = {(r["i"], r["j"]): (r["common"], round(r["f1"], 9)) for r in overlap.pairs_above(g, g, bound).where("i < j").collect()}
+    got = [((r["i"], r["j"]), (r["common"], round(r["f1"], 9))) for r in shared.texts_above(df, "id", tokens(F.col("t")), n, bound).collect()]
+    assert dict(got) == want and len(got) == len(want) > 10
+
+
+def test_pairs_above_have_no_row_a_gram(spark, tmp_path):
+    import __spark_entry__ as e
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:i] + ["x"] + words[i + 1 :]) for i in range(12)] + [" ".join(words)] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = e.queries()["pairwise_rouge_above"](spark, str(tmp_path))
+    # texts are shuffled, their grams are not
+    assert "Generate" not in _plan(got)
+    assert got.count() == 14 * 13 // 2 and got.where("i = 12 and j = 13").first()["common"] == 59
