@@ -4,9 +4,9 @@ Average linkage is reducible: two clusters that are each other's nearest are mer
 cluster's nearest one, merges all pairs that are mutual, and goes on with what is left, until FEW clusters remain; the driver finishes
 with their matrix. The tree is the one that merging one pair at a time gives; cutting it undoes its highest merges.
 
-What a cluster is to others follows from sums: its size, mean and mean squared deviation give the average of squared distances and of cosine distances
-exactly, and bounds for the average of plain distances: the distance of the means is never above it, the root of the average square never below. Only pairs
-that the bounds leave open are averaged over their rows. Clusters meet in pairs of blocks, each pair of blocks once, so a task holds two blocks.
+What a cluster is to others follows from its size, mean and mean squared deviation for the average of squared distances and of cosine distances. The average of plain distances
+is summed over rows: rows of a cluster lie in one block, and each round meets all pairs of blocks, so that a round's work is the square of the rows and its memory that of two blocks.
+Clusters meet in pairs of blocks, each pair of blocks once.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from ..session import kept
 BLOCK = 2048
 #: Clusters whose matrix the driver holds.
 FEW = 4096
-#: Rows of a cluster that meet those of another at once, about.
+#: Rows of a block that meet those of another at once, about.
 CHUNK = 128
-#: Distances that differ by less than this share are compared over the rows.
+#: Least number of blocks that rows lie in.
+SPREAD = 8
+#: Rows whose squared distance is less than this share of their squares are subtracted.
 CLOSE = 1e-6
 # fixed values: names of distances
 METRICS = ("euclidean", "sqeuclidean", "cosine")
@@ -37,19 +39,22 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T)
-
-
-def _bounds(x: np.ndarray, y: np.ndarray, v: np.ndarray, w: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the largest that the average distance of clusters of means x and y can be."""
+    p, q = (x * x).sum(1), (y * y).sum(1)
+    s = p[:, None] + q - 2 * x @ y.T
+    # of close rows the difference itself: the sum above has few digits left
+    i, j = np.nonzero(s < CLOSE * (p[:, None] + q))
+    for k in range(0, len(i), 1 << 14):
+        at = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        s[at] = ((x[at[0]] - y[at[1]]) ** 2).sum(1)
+    return s
+
+
+def _distances(x: np.ndarray, y: np.ndarray, v: np.ndarray, w: np.ndarray, metric: str) -> np.ndarray:
+    """The average distance of clusters of means x and y and mean squares v and w; of plain distances only where a cluster is a row."""
     if metric == "cosine":
-        exact = 1 - x @ y.T
-        return exact, exact
-    s = _squares(x, y)
-    if metric == "sqeuclidean":
-        s = s + v[:, None] + w[None, :]
-        return s, s
-    return np.sqrt(s), np.sqrt(s + v[:, None] + w[None, :])
+        return 1 - x @ y.T
+    s = _squares(x, y) + v[:, None] + w[None, :]
+    return np.sqrt(s) if metric == "euclidean" else s
 
 
 def _block_pairs(rows: DataFrame, blocks: int, work, schema: str) -> DataFrame:  # noqa: ANN001
@@ -61,66 +66,95 @@ def _block_pairs(rows: DataFrame, blocks: int, work, schema: str) -> DataFrame:
 
 
 def _candidates(state: DataFrame, m: int, metric: str) -> DataFrame:
-    """Rows (c, other, low, up): of each cluster and block the clusters that can be its nearest there, and the bounds of their distance."""
+    """Rows (c, other, d): of each cluster and block the clusters that are its nearest there, where means and mean squares give the distance."""
     blocks = -(-m // BLOCK)
     rows = state.select(F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("blk"), "c", "v", "mean")
-    slack = CLOSE if metric == "euclidean" else 0.0
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
             a, b = left["c"].to_numpy(), right["c"].to_numpy()
-            low, up = _bounds(_matrix(left["mean"], len(a)), _matrix(right["mean"], len(b)), left["v"].to_numpy(), right["v"].to_numpy(), metric)
+            d = _distances(_matrix(left["mean"], len(a)), _matrix(right["mean"], len(b)), left["v"].to_numpy(), right["v"].to_numpy(), metric)
             same = a[:, None] == b[None, :]
             if left["i"][0].as_py() == left["j"][0].as_py():  # the same both ways, to the last bit
-                (a, low, up), b = (t[np.argsort(a)] for t in (a, low, up)), np.sort(b)
-                low, up = (np.triu(t[:, np.argsort(right["c"].to_numpy())], 1) for t in (low, up))
-                low, up, same = low + low.T, up + up.T, np.eye(len(a), dtype=bool)
-            low, up = np.where(same, np.inf, low), np.where(same, np.inf, up)
-            for one, other, lo, hi in ((a, b, low, up), (b, a, low.T, up.T)):
-                least = hi.min(1, keepdims=True)
-                r, c = np.nonzero((lo <= least * (1 + slack)) & np.isfinite(lo))
-                for o, got in zip(out, (one[r], other[c], lo[r, c], hi[r, c]), strict=True):
+                a, d, b = np.sort(a), d[np.argsort(a)], np.sort(b)
+                d = np.triu(d[:, np.argsort(right["c"].to_numpy())], 1)
+                d, same = d + d.T, np.eye(len(a), dtype=bool)
+            d = np.where(same, np.inf, d)
+            for one, other, far in ((a, b, d), (b, a, d.T)):
+                r, c = np.nonzero((far <= far.min(1, keepdims=True)) & np.isfinite(far))
+                for o, got in zip(out, (one[r], other[c], far[r, c]), strict=True):
                     o.append(got)
                 if left["i"][0].as_py() == left["j"][0].as_py():
                     break
-        return pa.table(dict(zip(("c", "other", "low", "up"), map(np.concatenate, out), strict=True)))
+        return pa.table(dict(zip(("c", "other", "d"), map(np.concatenate, out), strict=True)))
 
-    return _block_pairs(rows, blocks, work, "c long, other long, low double, up double")
+    return _block_pairs(rows, blocks, work, "c long, other long, d double")
 
 
-def _averages(pairs: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows (a, b, d): the average distance of the rows of two clusters, summed over pairs of chunks."""
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))
-    chunks = members.join(sizes, "c").groupBy("c", chunk.alias("k")).agg(F.collect_list("x").alias("xs"), F.any_value("n").alias("n"))
-    left = chunks.select(F.col("c").alias("a"), F.col("xs").alias("xa"), F.col("n").alias("na"))
-    right = chunks.select(F.col("c").alias("b"), F.col("xs").alias("xb"), F.col("n").alias("nb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb")
+def _averages(members: DataFrame, state: DataFrame, whole: int) -> DataFrame:
+    """Rows (c, other, d): of each cluster and block its nearest there by the average distance of rows, and for a cluster beyond a block all others.
 
-    def sums(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            total = np.zeros(batch.num_rows)
-            for r, (p, q) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                x, y = (np.asarray(v.values.flatten(), float).reshape(len(v.values), -1) for v in (p, q))
-                total[r] = sum(np.sqrt(((y - one) ** 2).sum(1)).sum() for one in x)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(total)], ["a", "b", "na", "nb", "s"])
+    Rows lie in blocks by cluster, so a pair of blocks has all rows of its clusters and keeps a row a cluster; the work is each pair of rows once, whatever the clusters are.
+    The rows of a large cluster are dealt over all blocks, and its distances are added up over these."""
+    blocks, large, chunk = max(SPREAD, -(-whole // (4 * BLOCK))), BLOCK, CHUNK
+    sizes = state.select("c", "n")
+    block = F.pmod(F.xxhash64(F.when(F.col("n") > large, F.col("id")).otherwise(F.col("c"))), F.lit(blocks)).cast("int")
+    rows = members.join(sizes, "c").select(block.alias("blk"), "c", "n", "x")
 
-    out = met.mapInArrow(sums, "a long, b long, na long, nb long, s double")
-    return out.groupBy("a", "b").agg((F.sum("s") / F.any_value(F.col("na") * F.col("nb"))).alias("d"))
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, bool)]]
 
+        def put(c: np.ndarray, other: np.ndarray, d: np.ndarray, part: bool) -> None:
+            for o, got in zip(out, (c, other, d, np.full(len(c), part)), strict=True):
+                o.append(got)
 
-def _nearest(state: DataFrame, members: DataFrame, m: int, metric: str) -> DataFrame:
+        if left.num_rows and right.num_rows:
+            one = left["i"][0].as_py() == left["j"][0].as_py()
+            left, right = left.sort_by("c"), right.sort_by("c")
+            (a, p), (b, q) = (np.unique(t["c"].to_numpy(), return_index=True) for t in (left, right))
+            x, y = _matrix(left["x"], left.num_rows), _matrix(right["x"], right.num_rows)
+            na, nb = left["n"].to_numpy()[p], right["n"].to_numpy()[q]
+            p = np.append(p, len(x))
+            best, at = np.full(len(b), np.inf), np.zeros(len(b), np.int64)
+            lo = 0
+            while lo < len(a):  # clusters of some ``chunk`` rows, or one
+                hi = max(lo + 1, int(np.searchsorted(p, p[lo] + chunk, "right")) - 1)
+                s = np.zeros((hi - lo, len(b)))
+                for r in range(p[lo], p[hi], chunk):
+                    far = np.add.reduceat(np.sqrt(_squares(x[r : min(r + chunk, p[hi])], y)), q, axis=1)
+                    s += np.add.reduceat(far, p[lo:hi] - r, axis=0) if p[hi] - p[lo] <= chunk else far.sum(0)
+                # each pair once, so that its distance is the same both ways
+                met = a[lo:hi, None] < b if one else a[lo:hi, None] != b
+                parts = met & ((na[lo:hi, None] > large) | (nb > large))
+                r, c = np.nonzero(parts)
+                put(np.minimum(a[lo + r], b[c]), np.maximum(a[lo + r], b[c]), s[r, c], True)
+                d = np.where(met & ~parts, s / (na[lo:hi, None] * nb), np.inf)
+                k = d.argmin(1)
+                least = d[np.arange(hi - lo), k]
+                got = np.isfinite(least)
+                put(a[lo:hi][got], b[k][got], least[got], False)
+                k = d.argmin(0)
+                least = d[k, np.arange(len(b))]
+                got = least < best
+                best[got], at[got] = least[got], a[lo + k[got]]
+                lo = hi
+            got = np.isfinite(best)
+            put(b[got], at[got], best[got], False)
+        return pa.table(dict(zip(("c", "other", "d", "part"), map(np.concatenate, out), strict=True)))
+
+    found = kept(_block_pairs(rows, blocks, work, "c long, other long, d double, part boolean"))
+    sums = found.where("part").groupBy("c", "other").agg(F.sum("d").alias("s"))
+    sums = sums.join(sizes, "c").join(sizes.select(F.col("c").alias("other"), F.col("n").alias("m")), "other").select("c", "other", (F.col("s") / (F.col("n") * F.col("m"))).alias("d"))
+    return found.where("not part").select("c", "other", "d").union(sums).union(sums.select("other", "c", "d"))
+
+
+def _nearest(state: DataFrame, members: DataFrame, m: int, whole: int, metric: str) -> DataFrame:
     """Rows (c, other, d): each cluster's nearest, ties by the smaller id."""
-    found = _candidates(state, m, metric)
     if metric == "euclidean":
-        found = kept(found)
-        best = found.groupBy("c").agg(F.min("up").alias("best"))
-        left = found.join(best, "c").where(F.col("low") <= F.col("best") * (1 + CLOSE))
-        pairs = left.select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
-        d = kept(_averages(pairs, members, state.select("c", "n")))
-        found = d.select(F.col("a").alias("c"), F.col("b").alias("other"), "d").union(d.select("b", "a", "d"))
+        found = _averages(members, state, whole)
     else:
-        found = found.select("c", "other", F.col("low").alias("d"))
+        found = _candidates(state, m, metric)
     nearest = found.groupBy("c").agg(F.min(F.struct("d", "other")).alias("s"))
     return nearest.select("c", "s.other", "s.d")
 
@@ -210,7 +244,7 @@ def average_linkage(df: DataFrame, clusters: int, id_col: str, vector: str, metr
     whole = m = members.count()
     rounds: list[DataFrame] = []
     while m > FEW:
-        near = kept(_nearest(state, members, m, metric).join(state.select("c", "h"), "c"))
+        near = kept(_nearest(state, members, m, whole, metric).join(state.select("c", "h"), "c"))
         back = near.select(F.col("c").alias("other"), F.col("other").alias("c"), F.col("h").alias("g"))
         # a cluster is never lower than its parts, whatever was rounded
         mutual = near.where("c < other").join(back, ["c", "other"]).select(F.col("c").alias("a"), F.col("other").alias("b"), F.greatest("d", "h", "g").alias("h"))
@@ -222,7 +256,7 @@ def average_linkage(df: DataFrame, clusters: int, id_col: str, vector: str, metr
         return members.select(F.col("id").alias(id_col), F.col("c").alias("cluster"))
     c, n = np.array([r["c"] for r in last]), np.array([r["n"] for r in last], float)
     mean, v = np.array([r["mean"] for r in last]), np.array([r["v"] for r in last])
-    d = _matrix_of_few(members, c, n) if metric == "euclidean" and m < whole else _bounds(mean, mean, v, v, metric)[0]
+    d = _matrix_of_few(members, c, n) if metric == "euclidean" and m < whole else _distances(mean, mean, v, v, metric)
     tail = [(len(rounds) + t, i, j, h) for t, (i, j, h) in enumerate(finish(d, n, np.array([r["h"] for r in last])))]
     undo = max(0, min(clusters, whole) - 1)
     early = [r.select(F.lit(t).alias("t"), "a", "b", "h").orderBy(F.col("h").desc(), F.col("a").desc()).limit(undo) for t, r in enumerate(rounds)] if undo else []

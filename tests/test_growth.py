@@ -148,3 +148,24 @@ def test_pairs_above_have_no_row_a_gram(spark, tmp_path):
     # texts are shuffled, their grams are not
     assert "Generate" not in _plan(got)
     assert got.count() == 14 * 13 // 2 and got.where("i = 12 and j = 13").first()["common"] == 59
+
+
+def test_average_linkage_keeps_a_row_a_cluster_and_block(spark, monkeypatch):
+    """Rows about one centre, whose averages no bound tells apart, and groups larger than a block, against one merge at a time."""
+    import numpy as np
+
+    from poolsieve.operators import linkage
+
+    from .test_greedy import linked
+
+    for name, value in {"FEW": 14, "BLOCK": 8, "CHUNK": 3, "SPREAD": 2}.items():
+        monkeypatch.setattr(linkage, name, value, raising=False)
+    written = []
+    monkeypatch.setattr(linkage, "kept", lambda df, keep=linkage.kept: written.append(keep(df)) or written[-1])
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 12)), rng.normal(size=(30, 12)) * 0.01 + 9])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in linkage.average_linkage(df, 5, "id", "v").collect()}
+    assert got == linked(x, 5, "euclidean")
+    # 90 rows lie in 3 blocks; a cluster has a nearest in each, and those beyond a block have their sums with all others
+    assert max(f.count() for f in written) <= 90 * 8
