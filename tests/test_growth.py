@@ -88,6 +88,28 @@ def test_all_pairs_are_not_shuffled(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1, 5.0), (1, 2, 2.0), (2, 1, 2.0), (2, 2, 1.0)]
 
 
+@pytest.mark.parametrize("measure", ["dot", "cosine", "euclid"])
+def test_all_pairs_copy_no_vector_to_blocks(spark, monkeypatch, measure):
+    """Blocks and parts of few rows, rows without a vector, a side without rows."""
+    import numpy as np
+
+    from poolsieve.operators import topk
+
+    for name, value in {"PAIRED": 4, "PART": 2, "TASKS": 2}.items():
+        monkeypatch.setattr(topk, name, value, raising=False)
+    x = np.random.default_rng(5).normal(size=(70, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = topk.pairs(df, df.where("id < 30"), "id", "v", measure)
+    # a vector lies in one part: nothing is exploded to the blocks that it meets
+    assert "Generate" not in _plan(got) and "CartesianProduct" in _plan(got)
+    y = x / np.linalg.norm(x, axis=1)[:, None] if measure == "cosine" else x
+    sim = -((y[:, None] - y[None]) ** 2).sum(2) if measure == "euclid" else y @ y.T
+    found = [((r["id"], r["other"]), r["sim"]) for r in got.collect()]
+    assert len(found) == 70 * 30 and dict(found) == pytest.approx({(i, j): sim[i, j] for i in range(70) for j in range(30)})
+    assert topk.pairs(df, df.where("id = 99"), "id", "v", measure).count() == 0
+
+
 def test_conll_files_hold_bounded_numbers_of_records(spark, tmp_path, monkeypatch):
     from pathlib import Path
 
