@@ -172,6 +172,41 @@ def test_pairs_above_have_no_row_a_gram(spark, tmp_path):
     assert got.count() == 14 * 13 // 2 and got.where("i = 12 and j = 13").first()["common"] == 59
 
 
+@pytest.mark.parametrize("block", [60, 1 << 20])
+def test_texts_lie_in_blocks_once(spark, monkeypatch, block):
+    """What is written has each different text once, however many blocks meet; copies beyond a part of them; equal sizes on both sides of a bound."""
+    from itertools import combinations
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from poolsieve.functions.text import tokens
+    from poolsieve.operators import shared
+
+    for name, value in {"SIZE": 3, "BLOCK": block, "REGION": 3, "RUN": 2, "ROWS": 7, "MANY": 1}.items():
+        monkeypatch.setattr(shared, name, value, raising=False)
+    written = []
+    monkeypatch.setattr(shared, "kept", lambda df, keep=shared.kept: written.append(keep(df)) or written[-1])
+    rng = np.random.default_rng(3)
+    base = [" ".join(rng.choice(list("abcdefghijklmnop"), 12)) for _ in range(8)]
+    texts = base + [t[:-2] + " zz" for t in base] + [t + " z z" for t in base[:4]] + base[:2] * 4 + [base[0]] * 5
+    df = spark.createDataFrame([(i * 11 % 997, t) for i, t in enumerate(texts)], "id long, t string").repartition(5)
+    got = shared.texts_above(df, "id", tokens(F.col("t")), 1, 0.5)
+    assert "CartesianProduct" in _plan(got)
+    counts = [Counter(t.split()) for t in texts]
+    size = [sum(c.values()) for c in counts]
+    want = {}
+    for i, j in combinations(range(len(texts)), 2):
+        common = sum((counts[i] & counts[j]).values())
+        if 2 * common / (size[i] + size[j]) >= 0.5:
+            want[tuple(sorted((i * 11 % 997, j * 11 % 997)))] = common
+    found = [((r["i"], r["j"]), r["common"]) for r in got.collect()]
+    assert len(found) == len(want) and dict(found) == want
+    blocks = [f for f in written if "e" in f.columns]
+    assert len(blocks) == 1 and (blocks[0].count() > 2) == (block == 60)
+    assert blocks[0].select(F.sum(F.length("e"))).first()[0] == 8 * sum(len(t.split()) for t in set(texts))
+
+
 def test_average_linkage_keeps_a_row_a_cluster_and_block(spark, monkeypatch):
     """Rows about one centre, whose averages no bound tells apart, and groups larger than a block, against one merge at a time."""
     import numpy as np
